@@ -231,5 +231,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("k", id_col)
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language with a score of ``least`` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(sent.value)
+        for b in slices(batches, text_col):
+            langs, scores = own.score(column(b, text_col).to_pylist())
+            yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
     return F.crc32(doc_id.cast("string")) % folds == fold

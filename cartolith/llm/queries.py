@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import bpe, decontaminate, langid, line_dedup, store, token_counts, token_files, url_filter
+from cartolith.llm import bpe, decontaminate, embedding_dedup, jaccard_join, langid, line_dedup, store, substring_dedup, token_counts, token_files, url_filter
 
 
 def tokenizer(name: str) -> str:
@@ -58,6 +58,10 @@ FROM keyed LEFT JOIN owners USING (key) GROUP BY doc_id
 """
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 URL_RULES = [
     url_filter.parse_rule("net/", "block"),
     url_filter.parse_rule("example.net/en/", "allow"),
@@ -100,6 +104,31 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+OP8_SQL = """
+WITH RECURSIVE unit AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id AS id, vec_id AS seen FROM embeddings UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.seen = links.a
+), counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a), grouped AS (SELECT id AS vec_id, min(seen) AS c FROM reach GROUP BY id)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN grouped USING (vec_id) LEFT JOIN counted USING (vec_id)
+"""
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = substring_dedup.apply_repeats(docs, substring_dedup.repeats(docs, window=50), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("byte_bpe_50k.json")
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -107,6 +136,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_decontaminate, op3_line_dedup, op5_url_filter, op6_token_counts, op7_language_id, op10_bpe)
+    f.__name__: f for f in (op1_token_files, op2_decontaminate, op3_line_dedup, op4_jaccard_join, op5_url_filter, op6_token_counts, op7_language_id, op8_embedding_dedup, op9_substring_dedup, op10_bpe)
 }
-SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_url_filter": OP5_SQL}
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_url_filter": OP5_SQL, "op8_embedding_dedup": OP8_SQL}

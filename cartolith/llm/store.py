@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: list[str] = []
-_TABLES: dict[str, list[str]] = {}
+_SCOPES: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,9 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark)}/cartolith-{app}/{uuid.uuid4().hex[:12]}-{name}"
-    _TABLES.setdefault(app, []).append(path)
+    path = f"{shared_folder(spark)}/cartolith-{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}-{name}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return path
 
 
@@ -39,14 +41,16 @@ def drop(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    known = _TABLES.get(spark.sparkContext.applicationId, [])
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-        if path in known:
-            known.remove(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every table this application still keeps; call it only once all results are written."""
-    drop(spark, *list(_TABLES.get(spark.sparkContext.applicationId, [])))
+@contextlib.contextmanager
+def scope(paths: list[str]) -> Iterator[None]:
+    """Notes in ``paths`` what is kept meanwhile, for ``drop`` once the result is written."""
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
