@@ -216,10 +216,10 @@ class MvtSource(DataSource):
     def schema(self) -> str:
         return schema.RAW
 
-    def reader(self, kind) -> MvtReader:
+    def reader(self, schema) -> MvtReader:
         return MvtReader(dict(self.options))
 
-    def writer(self, kind, overwrite: bool) -> MvtWriter:
+    def writer(self, schema, overwrite: bool) -> MvtWriter:
         return MvtWriter(dict(self.options), overwrite)
 
 
