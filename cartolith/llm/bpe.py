@@ -11,9 +11,11 @@ any length are encoded whole. Only the named columns are read, so others, whatev
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from cartolith.llm.wordpool import WordPool, per_document
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NEVER = np.int64(1) << 40
 #: Distinct pieces that a worker remembers; a bound on memory, without effect on results.
-MEMO = 250_000
+MEMO = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -38,21 +40,50 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def token_table(spec: dict) -> tuple[list[bytes], dict[str, int]]:
+    """(bytes of each ordinary id, special tokens)."""
+    letters = byte_letters()
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    out = [b""] * (max([*spec["model"]["vocab"].values(), *special.values()]) + 1)
+    for token, i in spec["model"]["vocab"].items():
+        if token not in special:
+            out[i] = bytes(letters[c] for c in token)
+    return out, special
+
+
+class Decoder:
+    """Ids to bytes by table, all documents of a batch at once."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            tokens, special = token_table(json.load(f))
+        for token, i in special.items():
+            tokens[i] = token.encode()
+        self.lengths = np.array([len(b) for b in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.table = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all texts, offsets)."""
+        lengths = self.lengths[ids]
+        return self.table[ragged(self.starts[ids], lengths)], np.concatenate([[0], np.cumsum(lengths)])[offsets]
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        raw = binary_column(*self.decode(ids, offsets))
+        try:
+            return raw.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
 class ByteBpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        letters = byte_letters()
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.token_bytes: list[bytes] = [b""] * size
-        for token, i in vocab.items():
-            if token not in self.special:
-                self.token_bytes[i] = bytes(letters[c] for c in token)
-        self.by_bytes = {b: i for i, b in enumerate(self.token_bytes) if b}
-        for token, i in self.special.items():
-            self.token_bytes[i] = token.encode()
+        tokens, self.special = token_table(spec)
+        size = len(tokens)
+        self.by_bytes = {b: i for i, b in enumerate(tokens) if b}
         self.reach: dict[bytes, int] = {}  # the longest token by its first two bytes
         for b in self.by_bytes:
             self.reach[b[:2]] = max(len(b), self.reach.get(b[:2], 1))
@@ -77,10 +108,6 @@ class ByteBpe:
         self.pair_ranks = np.fromiter(first.values(), np.int64, len(first))[order]
         self.known: dict[str, list[int]] = {}
         self.whole = self._reachable()
-        body = [np.frombuffer(b, np.uint8) for b in self.token_bytes]
-        self.byte_lengths = np.array([len(b) for b in body], np.int64)
-        self.byte_starts = np.cumsum(self.byte_lengths) - self.byte_lengths
-        self.byte_table = np.concatenate(body)
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(SPLIT)
 
@@ -178,7 +205,7 @@ class ByteBpe:
         """Speculate on all, verify all boundaries at once, merge the failures."""
         out = [self.propose(w) for w in words]
         lengths = np.fromiter(map(len, out), np.int64, len(out))
-        ids = np.fromiter((i for o in out for i in o), np.int64, int(lengths.sum()))
+        ids = np.fromiter(chain.from_iterable(out), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(out)), lengths)
         bad = np.zeros(len(out), bool)
         bad[owner[~self.whole[ids]]] = True
@@ -253,12 +280,6 @@ class DocumentEncoder:
         ids, lengths = self.pool.encode_words(words)
         return ids, per_document(lengths, counts)
 
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes of all texts, offsets)."""
-        lengths = self.bpe.byte_lengths[ids]
-        body = self.bpe.byte_table[ragged(self.bpe.byte_starts[ids], lengths)]
-        return body, np.concatenate([[0], np.cumsum(lengths)])[offsets]
-
 
 @functools.lru_cache(maxsize=2)
 def document_encoder(path: str) -> DocumentEncoder:
@@ -266,6 +287,16 @@ def document_encoder(path: str) -> DocumentEncoder:
     return DocumentEncoder(path)
 
 
+@functools.lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
+def ids_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    body, offsets = flat(array)
+    return (body if body.ctypes.data % 4 == 0 else body.copy()).view("<u4"), offsets // 4
+
+
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (binary: unsigned 32-bit little-endian ids). No shuffle; rows stay where they are."""
 
@@ -286,33 +317,27 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_c
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = document_encoder(tokenizer_path)
+        own = decoder(tokenizer_path)
         for b in slices(batches, ids_col):
-            body, offsets = flat(column(b, ids_col))
-            got, at = own.decode(body.view("<u4") if body.ctypes.data % 4 == 0 else body.copy().view("<u4"), offsets // 4)
-            raw = binary_column(got, at)
-            try:
-                text = raw.cast(pa.string())
-            except pa.ArrowInvalid:
-                text = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names), text], [*names, text_col])
+            yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names), own.texts(*ids_of(column(b, ids_col)))], [*names, text_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{fields}, `{text_col}` string")
 
 
-def digests(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """Replaces the ids by the SHA-256 of their decimals joined by commas."""
-    names = [n for n in encoded.columns if n != ids_col]
+def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the text decoded from those
+    ids, in UTF-8): ``encode`` and ``decode`` one after the other in one worker, so neither ids nor texts leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        for b in slices(batches, ids_col):
-            body, offsets = flat(column(b, ids_col))
-            ids, at = body.tobytes(), offsets.tolist()
-            shas = [hashlib.sha256(",".join(map(str, np.frombuffer(ids, "<u4", (e - s) // 4, s).tolist())).encode()).hexdigest() for s, e in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names), pa.array(shas, pa.string())], [*names, "ids_sha256"])
+        there, back = document_encoder(tokenizer_path), decoder(tokenizer_path)
+        for b in slices(batches, "t"):
+            ids, offsets = there.encode(column(b, "t").to_pylist())
+            at = offsets.tolist()
+            shas = [hashlib.sha256(",".join(map(str, ids[s:e].tolist())).encode()).hexdigest() for s, e in zip(at, at[1:])]
+            decoded = [hashlib.sha256(t.encode()).hexdigest() for t in back.texts(ids, offsets).to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(b, "k"), pa.array(np.diff(offsets)), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != ids_col)
-    return encoded.mapInArrow(run, f"{fields}, ids_sha256 string")
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumnRenamed("k", id_col)

@@ -130,9 +130,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer("byte_bpe_50k.json")
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
-    return bpe.digests(out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256")))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

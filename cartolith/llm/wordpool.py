@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -13,7 +13,7 @@ from cartolith.llm.arrowtext import ragged
 class WordPool:
     """A bounded memo of word -> ids. Overflow keeps the words of the last batch; results never depend on it."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 300_000) -> None:
         self.encode, self.limit = encode, limit
         self.index: dict[str, int] = {}
         self.words: list[str] = []
@@ -22,7 +22,7 @@ class WordPool:
     def _add(self, words: list[str]) -> None:
         got = self.encode(words)
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for g in got for i in g), np.uint32, int(lengths.sum()))
+        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.index.update(zip(words, range(len(self.words), len(self.words) + len(words))))
         self.words += words

@@ -52,8 +52,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digests that prove the round trip."""
     with store.scope(_begin(spark)):
-        path = tokenizer("byte_bpe_50k.json")
-        return bpe.digests(bpe.encode(docs, path), path)
+        return bpe.round_trip(docs, tokenizer("byte_bpe_50k.json"))
 
 
 STAGES = [
