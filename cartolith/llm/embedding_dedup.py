@@ -45,12 +45,15 @@ class Quantiser:
         if axes.shape[1] < min(bits, unit.shape[1]):  # fewer rows than dimensions
             axes = np.eye(unit.shape[1])[:, :bits]
         flat = (unit - mean) @ axes
-        turn, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((flat.shape[1], flat.shape[1])))
-        for _ in range(rounds):
-            signs = np.where(flat @ turn >= 0, 1.0, -1.0)
-            u, _, v = np.linalg.svd(signs.T @ flat)
-            turn = (u @ v).T
-        return cls(mean, axes @ turn)
+        rng, turns = np.random.default_rng(seed), []
+        for _ in range(-(-bits // flat.shape[1])):  # short vectors get several rotations, each from another start
+            turn, _ = np.linalg.qr(rng.standard_normal((flat.shape[1], flat.shape[1])))
+            for _ in range(rounds):
+                signs = np.where(flat @ turn >= 0, 1.0, -1.0)
+                u, _, v = np.linalg.svd(signs.T @ flat)
+                turn = (u @ v).T
+            turns.append(axes @ turn)
+        return cls(mean, np.hstack(turns)[:, :bits])
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
         """Bits of each vector, as booleans."""
@@ -109,13 +112,13 @@ def forest_edges(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _bucket(ids: np.ndarray, unit: np.ndarray, codes: np.ndarray, side: np.ndarray, table: int, least: float) -> tuple[np.ndarray, list]:
-    """(links of each row, edges of a spanning forest) among the rows of a task; ``side`` says which blocks rows are of."""
+def _bucket(ids: np.ndarray, unit: np.ndarray, codes: np.ndarray, side: np.ndarray | None, table: int, least: float) -> tuple[np.ndarray, list]:
+    """(links of each row, edges of a spanning forest) among the rows of a task; ``side`` says which rows are of which of two blocks."""
     linked = unit @ unit.T >= least
     np.fill_diagonal(linked, False)
     for earlier in range(table):
         linked &= codes[:, earlier][:, None] != codes[:, earlier][None, :]
-    if side.min() != side.max():  # two blocks: pairs within one are another task's
+    if side is not None:  # pairs within a block are another task's
         linked &= side[:, None] != side[None, :]
     return linked.sum(1), [(int(ids[i]), int(ids[j])) for i, j in forest_edges(linked)]
 
@@ -148,7 +151,8 @@ def links(own: DataFrame, least: float, size: int, block_rows: int) -> DataFrame
             for s, e in zip(heads, np.append(heads[1:], len(ids))):
                 if e - s < 2:
                     continue
-                count, edges = _bucket(ids[s:e], unit[s:e], codes[s:e], sides[s:e], int(tables[s]), least)
+                side = sides[s:e] if group[s, 3] != group[s, 4] else None
+                count, edges = _bucket(ids[s:e], unit[s:e], codes[s:e], side, int(tables[s]), least)
                 some = np.flatnonzero(count)
                 a += ids[s:e][some].tolist() + [x for x, _ in edges]
                 b += [None] * len(some) + [y for _, y in edges]
