@@ -16,8 +16,9 @@ columns pass through ``clean`` untouched.
 
 from __future__ import annotations
 
+import functools
 import math
-import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -29,19 +30,39 @@ from pyspark.sql import functions as F
 
 from cartolith.llm.arrowtext import column, slices
 
-OTHER = re.compile(r"[\W_]+")
 MIN_CHARS = 32
 Q = 8
 TABLE_BITS = 22
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def compared(text: str | None) -> str:
-    return OTHER.sub(" ", text.lower()).strip() if text else ""
+@functools.lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Of each code point: its lower case if it is a letter or digit (itself where that has several), else 0."""
+    out = np.zeros(sys.maxunicode + 1, np.uint32)
+    for i in range(len(out)):
+        c = chr(i)
+        if c.isalnum():
+            low = c.lower()
+            out[i] = ord(low) if len(low) == 1 else i
+    return out
+
 
+def points(text: str | None) -> np.ndarray:
+    """Code points as they are compared: lower case, one blank for each inner run of others."""
+    if not text:
+        return np.empty(0, np.uint32)
+    out = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    solid = out != 0
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]
+    out = out[keep]
+    out[out == 0] = 0x20
+    return out[:-1] if len(out) and out[-1] == 0x20 else out
 
-def points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+def compared(text: str | None) -> str:
+    return points(text).tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def gram_codes(chars: np.ndarray, q: int = Q) -> np.ndarray:
@@ -74,7 +95,7 @@ class Index:
 def index_items(rows: list[tuple], segment: int = 96, rate: float = 0.1) -> Index:
     chars, sizes, items = [], [], []
     for n, (_, text) in enumerate(rows):
-        whole = points(compared(text))
+        whole = points(text)
         if len(whole) < MIN_CHARS:
             continue
         count = max(1, math.ceil((len(whole) - segment) / (segment // 2)) + 1)
@@ -159,10 +180,10 @@ class Finder:
         """(text, item, segments found, least edits, end of the first region in compared characters)."""
         if not len(self.index.sizes):
             return []
-        gap = "\0" * (2 * int(self.index.sizes.max()))
-        whole = [compared(t) for t in texts]
+        gap = np.zeros(2 * int(self.index.sizes.max()), np.uint32)
+        whole = [points(t) for t in texts]
         starts = np.cumsum([0] + [len(w) + len(gap) for w in whole])
-        text = points(gap.join(whole))
+        text = np.concatenate([x for w in whole for x in (w, gap)]) if whole else gap
         if len(text) < Q:
             return []
         segment, first = bands(text, self.index)
