@@ -112,8 +112,7 @@ def decode(texts: DataFrame, layer_property: str | None = schema.LAYER_PROPERTY,
 
 
 def read(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return decode(files.select(F.col("path").alias("source"), _text(F.col("content")).alias("text")), **options)
+    return decode(mvt.files(spark, paths).select(F.col("path").alias("source"), _text(F.col("content")).alias("text")), **options)
 
 
 def _text(content: Column) -> Column:

@@ -94,12 +94,41 @@ def layer_names(blobs: DataFrame) -> DataFrame:
     return blobs.select("source", "data").mapInArrow(run, "source string, layer string")
 
 
-def blobs(spark: SparkSession, paths: str | list[str], tile: tuple[int, int, int] | None = None, pattern: str | None = None) -> DataFrame:
-    """source, z, x, y, data of files; the tile from the path unless given."""
+def fetched(spark: SparkSession, urls: list[str], timeout: float = 60) -> DataFrame:
+    """path, content of addresses, got by the executors; what can't be got is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import urllib.error
+        import urllib.request
+
+        for b in batches:
+            for url in b.column(0).to_pylist():
+                try:
+                    with urllib.request.urlopen(url, timeout=timeout) as f:
+                        data = f.read()
+                except (urllib.error.URLError, OSError):
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([url]), pa.array([data], pa.binary())], ["path", "content"])
+
+    rows = spark.createDataFrame([(u,) for u in urls], "path string")
+    return rows.repartition(max(1, len(urls) // 8)).mapInArrow(run, "path string, content binary")
+
+
+def files(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
+    """path, content: files of any store that Spark knows, and addresses that begin with ``http``."""
+    own = [paths] if isinstance(paths, str) else list(paths)
+    urls, stored = [p for p in own if p.startswith("http")], [p for p in own if not p.startswith("http")]
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    df = reader.load(paths)
+    found = [reader.load(stored).select("path", "content")] if stored else []
+    found += [fetched(spark, urls)] if urls else []
+    return found[0] if len(found) == 1 else found[0].unionAll(found[1])
+
+
+def blobs(spark: SparkSession, paths: str | list[str], tile: tuple[int, int, int] | None = None, pattern: str | None = None) -> DataFrame:
+    """source, z, x, y, data of files; the tile from the path unless given."""
+    df = files(spark, paths, pattern)
     at = F.struct(*(F.lit(v).alias(n) for n, v in zip("zxy", tile))) if tile else tile_of_path(F.col("path"))
     return df.select(F.col("path").alias("source"), at.alias("at"), F.col("content").alias("data")).select("source", "at.z", "at.x", "at.y", "data")
 

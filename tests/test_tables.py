@@ -156,3 +156,18 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("found").count() == select.query(tiled(spark, SF, 1), ".nation < 10").count()
+
+
+def test_addresses(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    mvt.write(tiled(spark, SF, 0), f"file://{tmp_path}/t")
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path))
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        at = f"http://127.0.0.1:{server.server_address[1]}"
+        got = mvt.read(spark, [f"{at}/t/0/0/0.mvt", f"{at}/none/0/0/0.mvt"])
+        assert got.count() == tiled(spark, SF, 0).count()
+        server.shutdown()
