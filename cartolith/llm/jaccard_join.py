@@ -5,9 +5,10 @@ is approximate: every link between different texts is found or implied by others
 
 1. A table of fixed size counts, over all documents, how often shingles of each hash bin occur. It only sets the order
    in which shingles are tried (rare ones first), so its size and its collisions never change a result.
-2. Of n shingles, two linked documents share one of each one's n - ceil(percent * n / 100) + 1 first in that order.
-   Documents with equal sets become one class. Classes that share such a shingle form clusters; the shingle's least
-   document stands for it, so a shingle in k documents gives k edges, not k * k pairs.
+2. Of n shingles, two linked documents share S of each one's n - ceil(percent * n / 100) + S first in that order, where S
+   is a fifth of n. Documents with equal sets become one class; classes with fewer shared first shingles are done with. The
+   others drop all but one of the S they must share, the most frequent by exact counts first, and what is left makes
+   clusters; a shingle's least document stands for it, so a shingle in k documents gives k edges, not k * k pairs.
 3. In a cluster, each document is searched among those before it by size: the inverted lists of its shingles are split
    into L long ones and the rest; the short ones are merged and only documents found T - L times or more are probed in
    the long ones by binary search (T: the required overlap). Documents that are already connected aren't tried again.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm import keyfilter, store
@@ -34,6 +35,7 @@ from cartolith.llm.components import components
 from cartolith.llm.flatwords import Words, mix, shingle_sets
 
 PIECES = 64
+SHARED = 5
 SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -42,6 +44,16 @@ def least_overlap(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
+def first_shared(n: np.ndarray, percent: int) -> np.ndarray:
+    """S of a set of n: a fifth of it, the required overlap at most."""
+    return np.minimum(-(-n // SHARED), least_overlap(n, percent))
+
+
+def shared_by_partners(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of its first shingles a set of n has in common with any partner's: the smallest partner's S."""
+    return first_shared(least_overlap(n, percent), percent)
+
+
 def frequencies(docs: DataFrame, k: int, most_log: int = 24) -> np.ndarray:
     """Documents with shingles of each bin, up to 65535; the table's size follows the corpus up to 2**most_log bins."""
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -74,7 +86,7 @@ def frequencies(docs: DataFrame, k: int, most_log: int = 24) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, table: np.ndarray, k: int, percent: int) -> DataFrame:
-    """doc, n, s1, s2 (a 128-bit signature of the set), keys: the shingles that a partner can't all lack."""
+    """doc, n, s1, s2 (a 128-bit signature of the set), keys: its first shingles, need: how many of them a partner has among its own."""
     sent = docs.sparkSession.sparkContext.broadcast(table)
     log = len(table).bit_length() - 1
 
@@ -86,12 +98,12 @@ def prefixes(docs: DataFrame, table: np.ndarray, k: int, percent: int) -> DataFr
             sums = [np.concatenate([[0], np.cumsum(x, dtype=np.uint64)])[offsets].astype(np.uint64) for x in (mix(hashes), mix(hashes ^ SALT))]
             s1, s2 = ((s[1:] - s[:-1]).view(np.int64) for s in sums)
             order = np.lexsort([mix(hashes + SALT), sent.value[(hashes >> np.uint64(64 - log)).astype(np.int64)], owner])
-            size = np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
+            size = np.where(n > 0, n - least_overlap(n, percent) + first_shared(n, percent), 0)
             keys = hashes[order[ragged(offsets[:-1], size)]].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([column(b, "k"), pa.array(n), pa.array(s1), pa.array(s2), lists], ["doc", "n", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays([column(b, "k"), pa.array(n), pa.array(s1), pa.array(s2), lists, pa.array(shared_by_partners(n, percent))], ["doc", "n", "s1", "s2", "keys", "need"])
 
-    return docs.mapInArrow(run, "doc long, n long, s1 long, s2 long, keys array<long>")
+    return docs.mapInArrow(run, "doc long, n long, s1 long, s2 long, keys array<long>, need long")
 
 
 def sets_of(docs: DataFrame, wanted: keyfilter.KeyFilter, k: int) -> DataFrame:
@@ -256,11 +268,31 @@ def _searched(rows: DataFrame, percent: int, most: int) -> DataFrame:
 
 
 def clusters_of(heads: DataFrame) -> DataFrame:
-    """id, component: documents joined by shared keys; a key's least document stands for it."""
-    each = heads.select(F.explode("keys").alias("h"), "doc")
-    shared = each.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "low")
-    edges = each.join(shared, "h").where("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct()
-    return components(edges)
+    """id, component: documents with enough shared keys, joined by the rarest of them; a key's least document stands for it."""
+    spark = heads.sparkSession
+    each = heads.select(F.explode("keys").alias("h"))
+    shared, shared_path = store.save(spark, each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    passing = spark.sparkContext.broadcast(keyfilter.build(shared, "h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = column(b, "keys")
+            h, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(b.num_rows), sizes)
+            keep = passing.value.maybe(h.view(np.uint64))
+            enough = np.bincount(owner, keep, b.num_rows) >= column(b, "need").to_numpy()
+            keep = np.flatnonzero(keep & enough[owner])
+            at = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), column(b, "doc").take(at), column(b, "need").take(at)], ["h", "doc", "need"])
+
+    found = heads.select("keys", "doc", "need").mapInArrow(run, "h long, doc long, need long").join(shared, "h")
+    own = Window.partitionBy("doc")
+    ranked = found.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "h")))
+    kept, kept_path = store.save(spark, ranked.where("rank <= n - need + 1").select("h", "doc"), "kept")
+    lowest = kept.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "low")
+    edges, _ = store.save(spark, kept.join(lowest, "h").where("doc <> low").select("low", "doc").distinct(), "edges")
+    store.drop(spark, shared_path, kept_path)
+    return components(edges, "low", "doc")
 
 
 def _large_clusters(big: DataFrame, first: DataFrame, percent: int, block_shingles: int) -> DataFrame:
