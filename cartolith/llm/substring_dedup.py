@@ -10,7 +10,7 @@ node's window is removed in all documents but the first. Neighbouring windows of
 First pass: anchors with their first and last documents, summed before the shuffle; those in one document only are left
 out. The rest are a bounded filter. Second pass: suffixes that pass it, with the hashes of the windows they answer for,
 go to their groups. Groups of more than ``most_group`` suffixes are not gathered: their windows' first documents are
-found by sums and joined back.
+found by sums of their own and looked up by each suffix.
 
 Defined cases: null or empty text has no words. Rows with the same id are one document, with the same removals by
 position only if their text is the same. Extra columns are ignored.
@@ -18,7 +18,6 @@ position only if their text is the same. Extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,23 +154,85 @@ def grouped_repeats(suffixes: DataFrame) -> DataFrame:
     return suffixes.sortWithinPartitions("h").mapInArrow(run, "k long, th long, places binary")
 
 
-def frequent_repeats(suffixes: DataFrame) -> DataFrame:
-    """The same for suffixes of very frequent anchors: first documents of windows by sums, joined back."""
+def _packed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of all suffixes, the suffix of each)."""
+    body, offsets = flat(column(b, "windows"))
+    return np.frombuffer(body.tobytes(), "<u8"), np.repeat(np.arange(b.num_rows), np.diff(offsets) // 8)
 
+
+def first_documents(suffixes: DataFrame, parts: int) -> DataFrame:
+    """w, low: windows in several documents and the first of these. A batch sends each window once, packed by the part it goes to."""
+
+    def extremes(w: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(w, kind="stable")
+        w, low, high = w[order], low[order], high[order]
+        heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.empty(0, np.int64)
+        return w[heads], *((f.reduceat(x, heads) if len(heads) else x) for f, x in ((np.minimum, low), (np.maximum, high)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            windows, owner = _packed(b)
+            k = column(b, "k").to_numpy()[owner]
+            w, low, high = extremes(windows, k, k)
+            part = (w % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+            some = np.flatnonzero(np.diff(ends))
+            packed = [binary_column(x[order].view(np.uint8), np.append(ends[some], ends[-1]) * 8) for x in (w, low, high)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), *packed], ["part", "w", "low", "high"])
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)]
+        for b in batches:
+            more = (np.frombuffer(flat(column(b, n))[0].tobytes(), t) for n, t in (("w", "<u8"), ("low", "<i8"), ("high", "<i8")))
+            kept = list(extremes(*(np.concatenate(x) for x in zip(kept, more))))
+        w, low, high = kept
+        yield pa.RecordBatch.from_arrays([pa.array(w[low < high].view(np.int64)), pa.array(low[low < high])], ["w", "low"])
+
+    return suffixes.mapInArrow(send, "part long, w binary, low binary, high binary").groupBy("part").applyInArrow(merge, "w long, low long")
+
+
+def frequent_repeats(suffixes: DataFrame, most_sent: int) -> DataFrame:
+    """k, th, places for suffixes of very frequent anchors. The windows' first documents are sent to the executors if they
+    number ``most_sent`` or fewer, else joined."""
+    spark = suffixes.sparkSession
+    first, _ = store.save(spark, first_documents(suffixes, int(spark.conf.get("spark.sql.shuffle.partitions"))), "first")
+    if first.count() > most_sent:
+        return _joined_repeats(suffixes, first)
+    table = first.toArrow()
+    order = np.argsort(table["w"].to_numpy().view(np.uint64))
+    sent = spark.sparkContext.broadcast((table["w"].to_numpy().view(np.uint64)[order], table["low"].to_numpy()[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, low = sent.value
+        for b in batches:
+            windows, owner = _packed(b)
+            k = column(b, "k").to_numpy()
+            at = np.minimum(np.searchsorted(known, windows), max(len(known) - 1, 0))
+            later = (known[at] == windows) & (low[at] < k[owner]) if len(known) else np.zeros(len(windows), bool)
+            inner = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            places = (column(b, "place").to_numpy()[owner] + inner)[later].astype("<i4")
+            count = np.bincount(owner[later], minlength=len(k))
+            rows = np.flatnonzero(count)
+            packed = binary_column(places.view(np.uint8), np.concatenate([[0], np.cumsum(count[rows])]) * 4)
+            yield pa.RecordBatch.from_arrays([column(b, "k").take(pa.array(rows)), column(b, "th").take(pa.array(rows)), packed], ["k", "th", "places"])
+
+    return suffixes.mapInArrow(run, "k long, th long, places binary")
+
+
+def _joined_repeats(suffixes: DataFrame, first: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            body, offsets = flat(column(b, "windows"))
-            sizes = np.diff(offsets) // 8
-            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            place = np.repeat(column(b, "place").to_numpy(), sizes) + ragged(np.zeros(len(sizes), np.int64), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(body.tobytes(), "<i8")), column(b, "k").take(at), column(b, "th").take(at), pa.array(place)], ["w", "k", "th", "place"])
+            windows, owner = _packed(b)
+            place = column(b, "place").to_numpy()[owner] + np.arange(len(owner)) - np.searchsorted(owner, owner)
+            packed = binary_column(place.astype("<i4").view(np.uint8), np.arange(len(owner) + 1) * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(windows.view(np.int64)), column(b, "k").take(pa.array(owner)), column(b, "th").take(pa.array(owner)), packed], ["w", "k", "th", "places"])
 
-    each = suffixes.mapInArrow(run, "w long, k long, th long, place long")
-    first = each.groupBy("w").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("w", "low")
-    return each.join(first, "w").where("k > low").select("k", "th", "place")
+    each = suffixes.mapInArrow(run, "w long, k long, th long, places binary")
+    return each.join(first, "w").where("k > low").select("k", "th", "places")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, most_group: int = 1024) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, most_group: int = 1024, most_sent: int = 2_000_000) -> DataFrame:
     """doc, th (hash of the text), places: binaries of the first words of windows to remove, of documents that have any."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
@@ -195,27 +256,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
         usual, frequent = rows.mapInArrow(split(False), rows.schema), rows.mapInArrow(split(True), rows.schema)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = grouped_repeats(usual.repartition(n, "h")).groupBy("k", "th").agg(F.collect_list("places").alias("places"))
+    found = grouped_repeats(usual.repartition(n, "h"))
     if frequent is not None:
-        more = frequent_repeats(frequent).groupBy("k", "th").agg(F.collect_list(F.col("place").cast("int")).alias("more"))
-        return found.join(more, ["k", "th"], "full").select(F.col("k").alias("doc"), "th", "places", "more")
-    return found.select(F.col("k").alias("doc"), "th", "places", F.lit(None).cast("array<int>").alias("more"))
+        found = found.unionAll(frequent_repeats(frequent, most_sent))
+    return found.groupBy(F.col("k").alias("doc"), "th").agg(F.collect_list("places").alias("places"))
 
 
 def apply_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     own = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
-    marks = found.select(F.col("doc").alias("k"), "th", "places", "more")
-    both = own.join(marks, ["k", "th"], "left").select("k", "t", "places", "more")
+    marks = found.select(F.col("doc").alias("k"), "th", "places")
+    both = own.join(marks, ["k", "th"], "left").select("k", "t", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
             words = Words(*flat(column(b, "t")), lower=False)
             cover = np.zeros(len(words.starts) + 1, np.int64)
-            for i, (places, more) in enumerate(zip(column(b, "places").to_pylist(), column(b, "more").to_pylist())):
-                at = [np.frombuffer(p, "<i4") for p in places or ()] + ([np.array(more, np.int64)] if more else [])
-                if at:
-                    at = np.unique(np.concatenate(at)) + words.first[i]
+            for i, places in enumerate(column(b, "places").to_pylist()):
+                if places:
+                    at = np.unique(np.frombuffer(b"".join(places), "<i4")).astype(np.int64) + words.first[i]
                     cover[at] += 1
                     np.subtract.at(cover, at + window, 1)
             gone = np.cumsum(cover[:-1]) > 0
