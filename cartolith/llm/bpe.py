@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.llm.arrowtext import binary_column, column, flat, ragged, slices
-from cartolith.llm.wordpool import WordPool, per_document
+from cartolith.llm.wordpool import WordPool, flattened, per_document
 
 # Fixed value: the split before merging that byte-level vocabularies of this family are built with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -262,11 +262,11 @@ class DocumentEncoder:
         self.bpe = ByteBpe(path)
         self.pool = WordPool(self._encode)
 
-    def _encode(self, chunks: list[str]) -> list:
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         special = self.bpe.special
         plain = [c for c in chunks if c not in special]
         got = dict(zip(plain, self.bpe.encode_chunks(plain)))
-        return [[special[c]] if c in special else got[c] for c in chunks]
+        return flattened([[special[c]] if c in special else got[c] for c in chunks])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of the texts in them)."""

@@ -23,25 +23,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm import store
 from cartolith.llm.arrowtext import binary_column, column, flat, ragged, slices
-from cartolith.llm.wordpool import WordPool, per_document
+from cartolith.llm.bpe import byte_letters
+from cartolith.llm.wordpool import WordPool, flattened, per_document
 
 STEP = 64
 MAX_BITS = 20
 BLOCK_SCHEMA = "part int, block long, doc_ids array<long>, sizes array<long>, payload binary, checkpoints binary"
 BLOCK_COLUMNS = ["part", "block", "doc_ids", "sizes", "payload", "checkpoints"]
-PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+|\n")
+WIDE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
+#: Printable letters and signs below U+0250, each its own composed form, whose lower case depends on nothing else.
+LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+LATIN_LINES = re.compile("[\n!-~\u00a1-\u012f\u0131-\u024f]*")
 
 
 class WordEncoder:
     """A tokenizers file whose normalizer and pre-tokenizer never look across white space.
 
-    Each word between blanks or line ends is encoded by the library, once while it stays in the pool. ASCII words of
-    the known word-BPE set-up are cut here, which spares the library's slow Unicode steps; the model's ids are its own.
+    Each word between blanks or line ends is encoded by the library, once while it stays in the pool. Latin words are
+    put in lower case and cut here, which spares the library's slow Unicode steps; the ids are from the library's model.
+    All other words go through the library as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,28 +56,43 @@ class WordEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.model = self.lib.model
-        self.known: dict[str, list[int]] = {}
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.pieces = WordPool(self._tokenize, 200_000)
         self.pool = WordPool(self._encode)
 
-    def _piece(self, piece: str) -> list[int]:
-        got = self.known.get(piece)
-        if got is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            got = self.known[piece] = [t.id for t in self.model.tokenize(piece)]
-        return got
-
-    def _encode(self, words: list[str]) -> list:
-        out: list = [None] * len(words)
-        hard = []
-        for i, w in enumerate(words):
-            if w.isascii() and w.isprintable() and "<|" not in w:
-                out[i] = [t for p in PLAIN_PIECES.findall(w.lower()) for t in self._piece(p)]
+    def _tokenize(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces; a line end, which only separates words, has none."""
+        letters = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        return flattened([[] if p == "\n" else [t.id for t in self.model.tokenize(p)] for p in letters])
+
+    def _latin(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words at once: put in lower case and cut as one text with a line for each."""
+        low = "\n".join(words).lower()
+        cut = (LATIN_PIECES if low.isascii() else WIDE_PIECES).findall(low)
+        ids, sizes = self.pieces.encode_words(cut)
+        line = np.cumsum(np.fromiter(map("\n".__eq__, cut), bool, len(cut)))
+        return ids, np.bincount(line, sizes, len(words)).astype(np.int64)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [w.isascii() for w in words]
+        groups = [[i for i, p in enumerate(plain) if p], [i for i, p in enumerate(plain) if not p], []]
+        parts = []
+        for n, group in enumerate(groups):
+            own = [words[i] for i in group]
+            joined = "\n".join(own)
+            if n < 2 and own and (not LATIN_LINES.fullmatch(joined) or "<|" in joined):
+                fit = [bool(LATIN.fullmatch(w)) and "<|" not in w or not w for w in own]
+                groups[2] += [i for i, f in zip(group, fit) if not f]
+                groups[n] = [i for i, f in zip(group, fit) if f]
+                own = [words[i] for i in groups[n]]
+            if own:
+                parts.append(self._latin(own) if n < 2 else flattened([e.ids for e in self.lib.encode_batch_fast(own, add_special_tokens=False)]))
             else:
-                hard.append(i)
-        for i, e in zip(hard, self.lib.encode_batch_fast([words[i] for i in hard], add_special_tokens=False) if hard else []):
-            out[i] = e.ids
-        return out
+                parts.append((np.empty(0, np.uint32), np.empty(0, np.int64)))
+        ids, lengths = (np.concatenate(x) for x in zip(*parts))
+        back = np.argsort(np.concatenate([np.array(g, np.int64) for g in groups]), kind="stable")
+        starts = np.cumsum(lengths) - lengths
+        return ids[ragged(starts[back], lengths[back])], lengths[back]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         words: list[str] = []
@@ -110,7 +132,7 @@ def id_counts(encoded: DataFrame, width: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
-        for b in slices(batches, "ids", 16 << 20):
+        for b in slices(batches, "ids", 2 << 20):
             got = np.bincount(as_ids(flat(column(b, "ids"))[0], width))
             if len(got) > len(total):
                 got, total = total, got
@@ -309,23 +331,36 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, id_c
     book.coalesce(1).write.parquet(f"{path}/codebook")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """part, block, place, doc_id, n_tokens, ids (unsigned 32-bit): decoded block by block, each in its own right."""
+def code_book(spark: SparkSession, path: str) -> bytes:
+    """The code length of each id."""
     book = spark.read.schema("id long, bits long").parquet(f"{path}/codebook").collect()
     bits = np.zeros(max((r.id for r in book), default=-1) + 1, np.uint8)
     for r in book:
         bits[r.id] = r.bits
-    sent = spark.sparkContext.broadcast(bits.tobytes())
+    return bits.tobytes()
+
+
+def decoded(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """(block, documents' sizes, ids of all of them), block by block, each in its own right."""
+    for b in slices(batches, "payload", 1 << 20):
+        for row in b.to_pylist():
+            sizes = np.array(row["sizes"], np.int64)
+            yield row, sizes, codec.unpack(row["payload"], row["checkpoints"], sizes)
+
+
+def _placed(row: dict, sizes: np.ndarray, more: pa.Array, name: str) -> pa.RecordBatch:
+    n = len(sizes)
+    cols = [pa.array([row["part"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array(sizes), more]
+    return pa.RecordBatch.from_arrays(cols, ["part", "block", "place", "doc_id", "n_tokens", name])
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """part, block, place, doc_id, n_tokens, ids (unsigned 32-bit)."""
+    sent = spark.sparkContext.broadcast(code_book(spark, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent.value)
-        for b in slices(batches, "payload", 1 << 20):
-            for row in b.to_pylist():
-                sizes = np.array(row["sizes"], np.int64)
-                ids = codec.unpack(row["payload"], row["checkpoints"], sizes)
-                n = len(sizes)
-                cols = [pa.array([row["part"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array(sizes), binary_column(ids.astype("<u4").view(np.uint8), np.concatenate([[0], np.cumsum(sizes)]) * 4)]
-                yield pa.RecordBatch.from_arrays(cols, ["part", "block", "place", "doc_id", "n_tokens", "ids"])
+        for row, sizes, ids in decoded(batches, _codec(sent.value)):
+            yield _placed(row, sizes, binary_column(ids.astype("<u4").view(np.uint8), np.concatenate([[0], np.cumsum(sizes)]) * 4), "ids")
 
     return spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").mapInArrow(run, "part int, block long, place long, doc_id long, n_tokens long, ids binary")
 
@@ -344,15 +379,16 @@ def block_starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def document_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from the files alone; only block starts (a row for each block) are shuffled or broadcast."""
-    names = ["part", "block", "place", "doc_id", "n_tokens"]
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as unsigned 32-bit integers) from the files alone; ids don't leave the worker that decodes them."""
+    sent = spark.sparkContext.broadcast(code_book(spark, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "ids"):
-            crc = [zlib.crc32(x) for x in column(b, "ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names), pa.array(crc, pa.int64())], [*names, "ids_crc32"])
+        for row, sizes, ids in decoded(batches, _codec(sent.value)):
+            body, ends = memoryview(ids.astype("<u4").view(np.uint8)), (np.cumsum(sizes) * 4).tolist()
+            crc = [zlib.crc32(body[s:e]) for s, e in zip([0, *ends], ends)]
+            yield _placed(row, sizes, pa.array(crc, pa.int64()), "ids_crc32")
 
-    got = read(spark, path).mapInArrow(run, "part int, block long, place long, doc_id long, n_tokens long, ids_crc32 long")
+    got = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").mapInArrow(run, "part int, block long, place long, doc_id long, n_tokens long, ids_crc32 long")
     own = Window.partitionBy("part", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     got = got.withColumn("inside", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)))
     return got.join(block_starts(spark, path), ["part", "block"]).select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

@@ -13,16 +13,15 @@ from cartolith.llm.arrowtext import ragged
 class WordPool:
     """A bounded memo of word -> ids. Overflow keeps the words of the last batch; results never depend on it."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 300_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000) -> None:
+        """``encode``: distinct words to (ids of all words in a row, number of ids of each)."""
         self.encode, self.limit = encode, limit
         self.index: dict[str, int] = {}
         self.words: list[str] = []
         self.starts, self.lengths, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def _add(self, words: list[str]) -> None:
-        got = self.encode(words)
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
+        ids, lengths = self.encode(words)
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.index.update(zip(words, range(len(self.words), len(self.words) + len(words))))
         self.words += words
@@ -50,6 +49,11 @@ class WordPool:
         return ids, lengths
 
 
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths
+
+
 def per_document(lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Offsets of documents in ids: ``lengths`` of each word, ``words`` of each document."""
     ends = np.concatenate([[0], np.cumsum(lengths)])
