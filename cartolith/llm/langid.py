@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,29 +69,34 @@ def gram_counts(words: DataFrame) -> DataFrame:
     """lang, item (``size:gram``), n from word counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: Counter = Counter()
+        tables: dict[str, list[dict[str, int]]] = defaultdict(lambda: [defaultdict(int) for _ in range(LONGEST + 1)])
 
         def done() -> pa.RecordBatch:
-            langs, items = zip(*rows) if rows else ((), ())
-            out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(items, pa.string()), pa.array(rows.values(), pa.int64())], ["lang", "item", "n"])
-            rows.clear()
-            return out
+            langs, items, counts = [], [], []
+            for lang, sized in tables.items():
+                for size, grams in enumerate(sized):
+                    langs += [lang] * len(grams)
+                    items += [f"{size}:{g}" for g in grams]
+                    counts += grams.values()
+            tables.clear()
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(items, pa.string()), pa.array(counts, pa.int64())], ["lang", "item", "n"])
 
         for b in batches:
             for lang, word, n in zip(*(column(b, c).to_pylist() for c in ("lang", "item", "n"))):
                 w = f"^{word}$"
-                for size in range(1, LONGEST + 1):
-                    for i in range(len(w) - size + 1):
-                        rows[lang, f"{size}:{w[i : i + size]}"] += n
-            if len(rows) > 2 * FLUSH:
+                for size, grams in enumerate(tables[lang]):
+                    if size:
+                        for i in range(len(w) - size + 1):
+                            grams[w[i : i + size]] += n
+            if sum(len(g) for sized in tables.values() for g in sized) > 2 * FLUSH:
                 yield done()
         yield done()
 
     return words.mapInArrow(run, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, kind: Column, most: int) -> list:
-    """Rows of the most frequent items of each (lang, kind): as many as fit under ``most`` with all equals of the last."""
+def most_frequent(counts: DataFrame, kind: Column, most: int) -> pa.Table:
+    """Rows (lang, item, n) of the most frequent items of each (lang, kind): as many as fit under ``most`` with all equals of the last."""
     step = F.floor(F.log2("n") * 16).cast("int")
     counts = counts.withColumns({"kind": kind, "step": step})
     least: dict[tuple, int] = {}
@@ -103,18 +109,30 @@ def most_frequent(counts: DataFrame, kind: Column, most: int) -> list:
             continue
         held[key] += r["count"]
         least[key] = r.step
-    if not least:
-        return []
     keep = F.lit(False)
     for (lang, k), s in least.items():
         keep = keep | ((F.col("lang") == lang) & (F.col("kind") == k) & (F.col("step") >= s))
-    return counts.where(keep).select("lang", "item", "n").collect()
+    return counts.where(keep).select("lang", "item", "n").toArrow()
 
 
-class Model:
-    """Log frequencies of words and n-grams, a column for each language."""
+class Table:
+    """Log frequencies of items, a column for each language, with one half added to every count."""
+
+    def __init__(self, rows: pa.Table, langs: list[str], totals: dict[str, int]) -> None:
+        items = rows["item"].combine_chunks().dictionary_encode() if len(rows) else pa.array([], pa.string()).dictionary_encode()
+        self.index = {item: i for i, item in enumerate(items.dictionary.to_pylist())}
+        counts = np.full((len(self.index), len(langs)), 0.5)
+        at = {lang: i for i, lang in enumerate(langs)}
+        np.add.at(counts, (items.indices.to_numpy(), np.array([at[x] for x in rows["lang"].to_pylist()], np.int64)), rows["n"].to_numpy())
+        self.rows = np.log(counts / (np.array([max(totals[x], 1) for x in langs]) + 0.5 * len(self.index)))
+
+    def get(self, item: str) -> np.ndarray | None:
+        i = self.index.get(item)
+        return None if i is None else self.rows[i]
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]) -> None:
+
+class Model:
+    def __init__(self, langs: list[str], words: Table, grams: list[Table]) -> None:
         self.langs, self.words, self.grams = langs, words, grams
 
     def of_word(self, word: str) -> np.ndarray:
@@ -126,7 +144,7 @@ class Model:
             for size in range(min(LONGEST, len(w) - at), 0, -1):
                 got = self.grams[size].get(w[at : at + size])
                 if got is not None:
-                    total = total + got
+                    total += got
                     at += size
                     break
             else:
@@ -139,26 +157,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
     words, kept = store.save(spark, word_counts(docs, text_col, lang_col), "words")
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
-    at = {lang: i for i, lang in enumerate(langs)}
-
-    def table(rows: list) -> dict[str, np.ndarray]:
-        """Log frequencies with one half added to every count."""
-        counts: dict[str, np.ndarray] = {}
-        for r in rows:
-            counts.setdefault(r.item, np.zeros(len(langs)))[at[r.lang]] += r.n
-        if not counts:
-            return {}
-        m = np.stack(list(counts.values())) + 0.5
-        whole = np.array([max(totals[x], 1) for x in langs]) + 0.5 * len(counts)
-        return dict(zip(counts, np.log(m / whole)))
-
-    known = table(most_frequent(words, F.lit("word"), max_words))
+    known = Table(most_frequent(words, F.lit("word"), max_words), langs, totals)
     rows = most_frequent(gram_counts(words), F.substring("item", 1, 1), max_grams)
-    sized: list[list] = [[] for _ in range(LONGEST + 1)]
-    for r in rows:
-        size, gram = r.item.split(":", 1)
-        sized[int(size)].append(type(r)(lang=r.lang, item=gram, n=r.n))
-    grams = [table(x) for x in sized]
+    size = pc.utf8_slice_codeunits(rows["item"], 0, 1)
+    gram = rows.set_column(rows.schema.get_field_index("item"), "item", pc.utf8_slice_codeunits(rows["item"], 2))
+    grams = [Table(gram.filter(pc.equal(size, str(n))), langs, totals) for n in range(LONGEST + 1)]
     store.drop(spark, kept)
     return Model(langs, known, grams)
 
