@@ -1,16 +1,19 @@
-"""Embedding near-dedup: iterative quantisation, multi-index Hamming tables, rerank with the original vectors.
+"""Embedding near-dedup: exact links by blocks of matrix products, or by multi-index tables probed as far as a link can reach.
 
-A rotation that makes the signs of the centred, rotated vectors balanced and close to the vectors is learned on a bounded
-sample (``sample_rows`` of the least hashed ids). Every vector is indexed: its code is cut into substrings of
-``table_bits``, one hash table each; vectors with the same label and substring share a bucket. Within a bucket all cosines are
-computed in double precision from the original vectors, as blocks of matrix products, and pairs that an earlier table has
-brought together are left out. A task returns counts and a spanning forest, never the pairs.
+Every link is found; nothing depends on recall. All cosines are computed in double precision from the original vectors, as
+blocks of matrix products. A task returns counts and a spanning forest, never the pairs.
 
-Buckets of more than ``block_rows`` are dealt over blocks; every pair of blocks is a task of its own, so no bucket is
-gathered and none is capped. Vectors alone in their bucket are dropped before the vectors are moved.
+A label is compared whole, all its vectors with each other, unless the tables save work. Their codes are signs of the centred,
+rotated vectors, a rotation learned on a bounded sample (iterative quantisation, ``sample_rows`` of the least hashed ids); a
+code is cut into substrings of ``table_bits``, one table each. Rotated vectors are no further apart than the vectors, so two
+that link differ by at most 1 / tables of the greatest squared distance in one of the tables at least; where their signs differ
+there, the squares of one of the two sum to half of that at most. Each vector is thus sent to its own bucket and to those that
+such a sum reaches, and a pair is counted in the first table that brings it together. How many buckets that is and how many
+pairs they hold is measured on the sample: vectors whose links reach most buckets (a strong common direction, a low ``least``)
+are compared whole, others only in labels of at most ``whole_rows``.
 
-A link can only be missed if two codes differ in every substring; at a cosine of 0.93 that is about one in 400 for 64
-bits in 8 tables, and the tests hold recall against brute force.
+Buckets and labels of more than ``block_rows`` are dealt over blocks; every pair of blocks is a task of its own, so none is
+gathered and none is capped. Comparing a label whole takes time by the square of its size.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, have another length than most of
 the sample, or have no label, link with nothing. Repeated rows are rows of their own; rows with the same id link as one
@@ -36,6 +39,7 @@ class Quantiser:
 
     def __init__(self, mean: np.ndarray, rotation: np.ndarray) -> None:
         self.mean, self.rotation = mean, rotation
+        self.turns = max(1, -(-rotation.shape[1] // max(1, rotation.shape[0])))  # how often a difference is counted at most
 
     @classmethod
     def fit(cls, unit: np.ndarray, bits: int = 64, rounds: int = 40, seed: int = 7) -> Quantiser:
@@ -55,9 +59,15 @@ class Quantiser:
             turns.append(axes @ turn)
         return cls(mean, np.hstack(turns)[:, :bits])
 
-    def codes(self, unit: np.ndarray) -> np.ndarray:
-        """Bits of each vector, as booleans."""
-        return (unit - self.mean) @ self.rotation >= 0
+    def turned(self, unit: np.ndarray, table_bits: int) -> np.ndarray:
+        """Of each vector, table and bit: the coordinate whose sign is the bit. Bits that fill up the last table are never changed."""
+        flat = ((unit - self.mean) @ self.rotation).astype("<f4")
+        tables = -(-flat.shape[1] // table_bits)
+        return np.pad(flat, ((0, 0), (0, tables * table_bits - flat.shape[1])), constant_values=1e15).reshape(len(flat), tables, table_bits)
+
+    def reach(self, least: float, tables: int) -> float:
+        """The greatest sum of squares, of one of two vectors that link, where their signs differ in the table that they are found by."""
+        return self.turns * (max(0.0, 2 - 2 * least) + 1e-5) / (2 * tables)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -75,23 +85,78 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
     return vectors.where(fine & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.xxhash64(F.col(label_col).cast("string")).alias("label"), F.col(vec_col).cast("array<float>").alias("v"))
 
 
-def bucketed(own: DataFrame, quantiser: Quantiser, size: int, table_bits: int) -> DataFrame:
-    """k, label, v (binary), code (the substring in every table)."""
+def _subs(turned: np.ndarray) -> np.ndarray:
+    """The substring of each vector in every table."""
+    return (turned >= 0) @ (1 << np.arange(turned.shape[-1]))
+
+
+def _costs(turned: np.ndarray) -> np.ndarray:
+    """Of each vector of one table: the sum of squares for every set of changed bits. Sums are made in the order of the bits, as in ``_probes``."""
+    squares = turned.astype(np.float64) ** 2
+    out = np.zeros((len(turned), 1))
+    for bit in range(squares.shape[1]):
+        out = np.concatenate([out, out + squares[:, bit : bit + 1]], 1)
+    return out
+
+
+def _probes(turned: np.ndarray, changed: np.ndarray, reach: float) -> np.ndarray:
+    """Whether each vector of one table reaches the bucket that differs by the bits of ``changed``."""
+    total = np.zeros(len(turned))
+    for bit in range(turned.shape[1]):
+        total = total + np.where(changed >> bit & 1, turned[:, bit].astype(np.float64) ** 2, 0.0)
+    return total <= reach
+
+
+def _spots(turned: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, spot) of every bucket that a vector is sent to. Spot: (table, substring), doubled, and 1 more where it is the vector's own."""
+    subs = _subs(turned)
+    rows, spots = [], []
+    for table in range(turned.shape[1]):
+        row, changed = np.nonzero(_costs(turned[:, table]) <= reach)
+        rows.append(row)
+        spots.append(((table << turned.shape[2] | subs[row, table] ^ changed) << 1) + (changed == 0))
+    return np.concatenate(rows), np.concatenate(spots)
+
+
+def whole_up_to(turned: np.ndarray, reach: float, block_rows: int) -> int | None:
+    """Labels of at most so many rows are sent fewer times as blocks than to the tables; None: the tables don't save half the pairs."""
+    spots = np.concatenate([_spots(turned[at : at + 1024], reach)[1] for at in range(0, len(turned), 1024)])
+    size = turned.shape[1] << turned.shape[2]
+    own = np.bincount(spots[spots & 1 == 1] >> 1, minlength=size).astype(float)
+    sent = np.bincount(spots[spots & 1 == 0] >> 1, minlength=size)
+    if (own * own / 2 + own * sent).sum() > len(turned) ** 2 / 4:
+        return None
+    return int(block_rows * len(spots) / len(turned))
+
+
+def bucketed(own: DataFrame, quantiser: Quantiser, size: int, table_bits: int, least: float, whole_rows: int | None) -> DataFrame:
+    """k, label, v (binary), y (binary: the rotated vector, null in labels that are compared whole), spots (the buckets it is sent to)."""
     sent = own.sparkSession.sparkContext.broadcast(quantiser)
-    tables = -(-quantiser.rotation.shape[1] // table_bits)
+    own = own.where(F.size("v") == size)
+    if whole_rows is None:
+        own = own.withColumn("whole", F.lit(True))
+    else:
+        own = own.join(own.groupBy("label").agg((F.count(F.lit(1)) <= whole_rows).alias("whole")), "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(table_bits)
         for b in batches:
             if not b.num_rows:
                 continue
             raw = [np.asarray(x, "<f4").tobytes() for x in column(b, "v").to_pylist()]
-            bits = sent.value.codes(_unit(_matrix(pa.array(raw, pa.binary()), size)))
-            bits = np.pad(bits, ((0, 0), (0, tables * table_bits - bits.shape[1])))
-            parts = bits.reshape(len(bits), tables, table_bits) @ weights
-            yield pa.RecordBatch.from_arrays([column(b, "k"), column(b, "label"), pa.array(raw, pa.binary()), pa.array(parts.tolist(), pa.list_(pa.int32()))], ["k", "label", "v", "code"])
-
-    return own.where(F.size("v") == size).mapInArrow(run, "k long, label long, v binary, code array<int>")
+            y: list[bytes | None] = [None] * len(raw)
+            spots: list[list[int]] = [[1]] * len(raw)
+            dealt = np.flatnonzero(~np.array(column(b, "whole").to_pylist(), bool))
+            for at in range(0, len(dealt), 1024):
+                some = dealt[at : at + 1024]
+                turned = sent.value.turned(_unit(_matrix(pa.array([raw[i] for i in some], pa.binary()), size)), table_bits)
+                row, spot = _spots(turned, sent.value.reach(least, turned.shape[1]))
+                for i, t in zip(some, turned):
+                    y[i], spots[i] = t.tobytes(), []
+                for r, x in zip(some[row].tolist(), spot.tolist()):
+                    spots[r].append(x)
+            yield pa.RecordBatch.from_arrays([column(b, "k"), column(b, "label"), pa.array(raw, pa.binary()), pa.array(y, pa.binary()), pa.array(spots, pa.list_(pa.int32()))], ["k", "label", "v", "y", "spots"])
+
+    return own.select("k", "label", "v", "whole").mapInArrow(run, "k long, label long, v binary, y binary, spots array<int>")
 
 
 def forest_edges(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -112,27 +177,71 @@ def forest_edges(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _bucket(ids: np.ndarray, unit: np.ndarray, codes: np.ndarray, side: np.ndarray | None, table: int, least: float) -> tuple[np.ndarray, list]:
-    """(links of each row, edges of a spanning forest) among the rows of a task; ``side`` says which rows are of which of two blocks."""
-    linked = unit @ unit.T >= least
-    np.fill_diagonal(linked, False)
-    for earlier in range(table):
-        linked &= codes[:, earlier][:, None] != codes[:, earlier][None, :]
-    if side is not None:  # pairs within a block are another task's
-        linked &= side[:, None] != side[None, :]
-    return linked.sum(1), [(int(ids[i]), int(ids[j])) for i, j in forest_edges(linked)]
+class Bucket:
+    """The rows of a task. ``turned`` (null where a label is compared whole) and ``home`` tell which pairs are this bucket's to count."""
+
+    def __init__(self, unit: np.ndarray, turned: np.ndarray | None, home: np.ndarray, table: int, least: float, reach: float) -> None:
+        self.unit, self.turned, self.home, self.table, self.least, self.reach = unit, turned, home, table, least, reach
+        self.subs = None if turned is None else _subs(turned)
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of rows a and b: the pairs that link and that no other bucket counts."""
+        out = self.unit[a] @ self.unit[b].T >= self.least
+        if self.turned is None:
+            return out
+        out &= self.home[a][:, None] | self.home[b][None, :]
+        for earlier in range(self.table):
+            out &= self.subs[a, earlier][:, None] != self.subs[b, earlier][None, :]
+        i, j = np.nonzero(out)
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            p, q = a[x], b[y]
+            again = np.zeros(len(p), bool)
+            for table in range(self.table):
+                changed = self.subs[p, table] ^ self.subs[q, table]
+                again |= _probes(self.turned[p, table], changed, self.reach) | _probes(self.turned[q, table], changed, self.reach)
+            own, other = np.where(self.home[p], p, q), np.where(self.home[p], q, p)
+            mine, theirs = self.subs[own, self.table], self.subs[other, self.table]
+            again |= (theirs < mine) & _probes(self.turned[own, self.table], mine ^ theirs, self.reach)  # the other's bucket has it too
+            out[x[again], y[again]] = False
+        return out
+
+    def links(self, side: np.ndarray | None, tile: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """(links of each row, edges of spanning forests), a tile at a time; ``side`` says which rows are of the first of two blocks."""
+        every = np.arange(len(self.unit))
+        left, right = (every, every) if side is None else (every[side], every[~side])
+        count, edges = np.zeros(len(every), np.int64), []
+        for i in range(0, len(left), tile):
+            for j in range(i if side is None else 0, len(right), tile):
+                a, b = left[i : i + tile], right[j : j + tile]
+                linked = self.linked(a, b)
+                if side is None and i == j:
+                    linked = np.triu(linked, 1)
+                if not linked.any():
+                    continue
+                np.add.at(count, a, linked.sum(1))
+                np.add.at(count, b, linked.sum(0))
+                some, others = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+                rows = np.unique(np.concatenate([a[some], b[others]]))
+                both = np.zeros((len(rows), len(rows)), bool)
+                both[np.ix_(np.searchsorted(rows, a[some]), np.searchsorted(rows, b[others]))] = linked[np.ix_(some, others)]
+                edges += [(int(rows[x]), int(rows[y])) for x, y in forest_edges(both | both.T)]
+        return count, edges
 
 
-def links(own: DataFrame, least: float, size: int, block_rows: int) -> DataFrame:
+def links(own: DataFrame, least: float, size: int, block_rows: int, table_bits: int, reach: float) -> DataFrame:
     """a, b, n: partial link counts (b null) and forest edges (n null), from ``bucketed`` rows."""
-    each = own.select("k", "label", "v", "code", F.posexplode("code").alias("tbl", "sub"))
-    sizes = each.groupBy("label", "tbl", "sub").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    each = each.join(sizes, ["label", "tbl", "sub"])
-    many = F.ceil(F.col("size") / block_rows).cast("int")
-    each = each.withColumn("many", many).withColumn("mine", F.pmod(F.xxhash64("k"), F.col("many")).cast("int"))
+    each = own.select("k", "label", "v", "y", F.explode("spots").alias("spot"))
+    each = each.withColumns({"home": F.col("spot") % 2 == 1, "spot": F.shiftright("spot", 1)})
+    sizes = each.groupBy("label", "spot").agg(F.count(F.lit(1)).alias("size"), F.max("home").alias("any")).where("size > 1 and any")
+    each = each.join(sizes, ["label", "spot"])
+    most = max(block_rows, (1 << 21) // size)  # 16 MB of doubles
+    deal = F.least(F.greatest(F.ceil(F.col("size") / 8), F.lit(block_rows)), F.lit(most))
+    each = each.withColumn("many", F.ceil(F.col("size") / deal).cast("int"))
+    each = each.withColumn("mine", F.pmod(F.xxhash64("k"), F.col("many")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    each = each.select("k", "label", "v", "code", "tbl", "sub", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    keys = ["label", "tbl", "sub", "lo", "hi"]
+    each = each.select("k", "label", "v", "y", "spot", "home", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    keys = ["label", "spot", "lo", "hi"]
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = each.withColumn("g", F.xxhash64(*keys)).repartition(n, "g").sortWithinPartitions("g", *keys)
 
@@ -144,18 +253,20 @@ def links(own: DataFrame, least: float, size: int, block_rows: int) -> DataFrame
             held.clear()
             group = np.stack([t[x].to_numpy() for x in keys], 1)
             heads = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1)]))
-            ids, sides, tables = t["k"].to_numpy(), t["mine"].to_numpy(), t["tbl"].to_numpy()
-            unit = _unit(_matrix(t["v"].combine_chunks(), size))
-            codes = np.array(t["code"].to_pylist(), np.int32)
+            ids, sides, home = t["k"].to_numpy(), t["mine"].to_numpy(), np.array(t["home"].to_pylist(), bool)
             a, b, c = [], [], []
             for s, e in zip(heads, np.append(heads[1:], len(ids))):
                 if e - s < 2:
                     continue
-                side = sides[s:e] if group[s, 3] != group[s, 4] else None
-                count, edges = _bucket(ids[s:e], unit[s:e], codes[s:e], side, int(tables[s]), least)
+                _, spot, lo, hi = group[s].tolist()
+                unit = _unit(_matrix(t["v"].slice(s, e - s), size))
+                raw = t["y"].slice(s, e - s).to_pylist()
+                turned = None if raw[0] is None else np.frombuffer(b"".join(raw), "<f4").reshape(e - s, -1, table_bits)
+                count, edges = Bucket(unit, turned, home[s:e], spot >> table_bits, least, reach).links(sides[s:e] == lo if lo != hi else None, block_rows)
                 some = np.flatnonzero(count)
-                a += ids[s:e][some].tolist() + [x for x, _ in edges]
-                b += [None] * len(some) + [y for _, y in edges]
+                own_ids = ids[s:e]
+                a += own_ids[some].tolist() + [int(own_ids[x]) for x, _ in edges]
+                b += [None] * len(some) + [int(own_ids[y]) for _, y in edges]
                 c += count[some].tolist() + [None] * len(edges)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["a", "b", "n"])
 
@@ -181,8 +292,8 @@ def links(own: DataFrame, least: float, size: int, block_rows: int) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", table_bits: int = 8, sample_rows: int = 20_000, block_rows: int = 2048) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row for each vector."""
+def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", table_bits: int = 8, sample_rows: int = 20_000, block_rows: int = 2048, whole_rows: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row for each vector. ``whole_rows``, if given, instead of what the sample says; results don't depend on it."""
     spark = vectors.sparkSession
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
     own = usable(vectors, id_col, vec_col, label_col)
@@ -191,9 +302,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     lengths, counts = np.unique([len(x) for x in sample], return_counts=True)
     size = int(lengths[counts.argmax()])
-    quantiser = Quantiser.fit(_unit(np.stack([x for x in sample if len(x) == size])))
-    coded, coded_path = store.save(spark, bucketed(own, quantiser, size, table_bits), "codes")
-    found, _ = store.save(spark, links(coded, least, size, block_rows), "links")
+    unit = _unit(np.stack([x for x in sample if len(x) == size]))
+    quantiser = Quantiser.fit(unit)
+    turned = quantiser.turned(unit, table_bits)
+    reach = quantiser.reach(least, turned.shape[1])
+    if whole_rows is None:
+        whole_rows = whole_up_to(turned, reach, block_rows)
+    coded, coded_path = store.save(spark, bucketed(own, quantiser, size, table_bits, least, whole_rows), "codes")
+    found, _ = store.save(spark, links(coded, least, size, block_rows, table_bits, reach), "links")
     store.drop(spark, coded_path)
     counted = found.where("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     groups = components(found.where("b is not null"), "a", "b").withColumnRenamed("id", "vec_id")

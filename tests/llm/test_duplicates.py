@@ -222,6 +222,39 @@ def test_embedding_dedup(spark, block):
     assert all(got[k][:2] == (0, k) for k in range(900, 906))
 
 
+@pytest.mark.parametrize(("size", "limits"), [(64, {}), (64, {"block_rows": 40}), (64, {"whole_rows": 0}), (24, {"whole_rows": 0, "block_rows": 40})])
+def test_embedding_dedup_finds_every_link_beside_a_common_direction(spark, size, limits):
+    rnd = np.random.default_rng(size)
+    common = 2.5 * np.sqrt(size) * np.eye(size)[0]
+    rows = []
+    for i in range(200):
+        v = common + rnd.standard_normal(size)
+        near = v + rnd.uniform(0.5, 1.1) * np.sqrt(v @ v / size) * rnd.standard_normal(size) * 0.36
+        rows += [(2 * i, v.astype(np.float32).tolist(), i % 2), (2 * i + 1, near.astype(np.float32).tolist(), i % 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, 0.93, **limits).collect()}
+    expected = brute_vectors(rows, 0.93)
+    assert got == expected and sum(n for n, _ in expected.values()) > 100
+
+
+@pytest.mark.parametrize("least", [0.8, 0.93, 0.99])
+def test_tables_bring_every_link_together_once(least):
+    rnd = np.random.default_rng(3)
+    base = rnd.standard_normal((60, 64))
+    rows = np.concatenate([base, base, np.repeat(base, 5, 0) + rnd.standard_normal((300, 64)) * rnd.uniform(0, 0.5, (300, 1))])
+    unit = embedding_dedup._unit(rows)
+    quantiser = embedding_dedup.Quantiser.fit(unit)
+    turned = quantiser.turned(unit, 8)
+    reach = quantiser.reach(least, 8)
+    row, spot = embedding_dedup._spots(turned, reach)
+    counts = np.zeros(len(unit), int)
+    for x in np.unique(spot >> 1):
+        some = spot >> 1 == x
+        at = row[some]
+        counts[at] += embedding_dedup.Bucket(unit[at], turned[at], spot[some] % 2 == 1, int(x >> 8), least, reach).links(None, 16)[0]
+    assert counts.tolist() == ((unit @ unit.T >= least).sum(1) - 1).tolist()
+
+
 def test_embedding_dedup_of_none(spark):
     df = spark.createDataFrame([(1, None, 1)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in embedding_dedup.near_duplicates(df).collect()] == [(1, 0, 1, True)]
