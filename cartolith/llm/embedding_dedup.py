@@ -15,8 +15,9 @@ are compared whole, others only in labels of at most ``whole_rows``.
 Buckets and labels of more than ``block_rows`` are dealt over blocks; every pair of blocks is a task of its own, so none is
 gathered and none is capped. Comparing a label whole takes time by the square of its size.
 
-Defined cases: vectors that are null, empty, zero, hold null or non-finite components, have another length than most of
-the sample, or have no label, link with nothing. Repeated rows are rows of their own; rows with the same id link as one
+Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have no label, link with nothing.
+Vectors of each length are searched by themselves, with a rotation of their own; lengths of fewer than ``LEAST_FIT`` rows of the
+sample are compared whole. Repeated rows are rows of their own; rows with the same id link as one
 component. Extra columns are ignored.
 """
 
@@ -33,6 +34,8 @@ from cartolith.llm import store
 from cartolith.llm.arrowtext import column
 from cartolith.llm.components import components
 
+LEAST_FIT = 64
+
 
 class Quantiser:
     """Mean and rotation: the code is the signs of (unit vector - mean) @ rotation."""
@@ -79,10 +82,10 @@ def _matrix(array: pa.Array, size: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """k, label, v: vectors that can link."""
+    """k, label, v: vectors that can link. The label is that of the vector's length, too."""
     v = F.col(vec_col).cast("array<double>")
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    return vectors.where(fine & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.xxhash64(F.col(label_col).cast("string")).alias("label"), F.col(vec_col).cast("array<float>").alias("v"))
+    return vectors.where(fine & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.xxhash64(F.col(label_col).cast("string"), F.size(v)).alias("label"), F.col(vec_col).cast("array<float>").alias("v"))
 
 
 def _subs(turned: np.ndarray) -> np.ndarray:
@@ -129,14 +132,15 @@ def whole_up_to(turned: np.ndarray, reach: float, block_rows: int) -> int | None
     return int(block_rows * len(spots) / len(turned))
 
 
-def bucketed(own: DataFrame, quantiser: Quantiser, size: int, table_bits: int, least: float, whole_rows: int | None) -> DataFrame:
+def bucketed(own: DataFrame, quantisers: dict[int, Quantiser], table_bits: int, least: float, whole_rows: dict[int, int]) -> DataFrame:
     """k, label, v (binary), y (binary: the rotated vector, null in labels that are compared whole), spots (the buckets it is sent to)."""
-    sent = own.sparkSession.sparkContext.broadcast(quantiser)
-    own = own.where(F.size("v") == size)
-    if whole_rows is None:
-        own = own.withColumn("whole", F.lit(True))
+    sent = own.sparkSession.sparkContext.broadcast(quantisers)
+    if whole_rows:
+        limit = F.element_at(F.create_map(*(F.lit(x) for pair in whole_rows.items() for x in pair)), F.size("v"))
+        counts = own.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+        own = own.join(counts, "label").withColumn("whole", F.coalesce(F.col("rows") <= limit, F.lit(True)))
     else:
-        own = own.join(own.groupBy("label").agg((F.count(F.lit(1)) <= whole_rows).alias("whole")), "label")
+        own = own.withColumn("whole", F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,15 +149,18 @@ def bucketed(own: DataFrame, quantiser: Quantiser, size: int, table_bits: int, l
             raw = [np.asarray(x, "<f4").tobytes() for x in column(b, "v").to_pylist()]
             y: list[bytes | None] = [None] * len(raw)
             spots: list[list[int]] = [[1]] * len(raw)
-            dealt = np.flatnonzero(~np.array(column(b, "whole").to_pylist(), bool))
-            for at in range(0, len(dealt), 1024):
-                some = dealt[at : at + 1024]
-                turned = sent.value.turned(_unit(_matrix(pa.array([raw[i] for i in some], pa.binary()), size)), table_bits)
-                row, spot = _spots(turned, sent.value.reach(least, turned.shape[1]))
-                for i, t in zip(some, turned):
-                    y[i], spots[i] = t.tobytes(), []
-                for r, x in zip(some[row].tolist(), spot.tolist()):
-                    spots[r].append(x)
+            sizes = np.where(np.array(column(b, "whole").to_pylist(), bool), 0, [len(x) // 4 for x in raw])
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                dealt = np.flatnonzero(sizes == size)
+                quantiser = sent.value[size]
+                for at in range(0, len(dealt), 1024):
+                    some = dealt[at : at + 1024]
+                    turned = quantiser.turned(_unit(_matrix(pa.array([raw[i] for i in some], pa.binary()), size)), table_bits)
+                    row, spot = _spots(turned, quantiser.reach(least, turned.shape[1]))
+                    for i, t in zip(some, turned):
+                        y[i], spots[i] = t.tobytes(), []
+                    for r, x in zip(some[row].tolist(), spot.tolist()):
+                        spots[r].append(x)
             yield pa.RecordBatch.from_arrays([column(b, "k"), column(b, "label"), pa.array(raw, pa.binary()), pa.array(y, pa.binary()), pa.array(spots, pa.list_(pa.int32()))], ["k", "label", "v", "y", "spots"])
 
     return own.select("k", "label", "v", "whole").mapInArrow(run, "k long, label long, v binary, y binary, spots array<int>")
@@ -229,14 +236,14 @@ class Bucket:
         return count, edges
 
 
-def links(own: DataFrame, least: float, size: int, block_rows: int, table_bits: int, reach: float) -> DataFrame:
+def links(own: DataFrame, least: float, block_rows: int, table_bits: int, reach: dict[int, float]) -> DataFrame:
     """a, b, n: partial link counts (b null) and forest edges (n null), from ``bucketed`` rows."""
     each = own.select("k", "label", "v", "y", F.explode("spots").alias("spot"))
     each = each.withColumns({"home": F.col("spot") % 2 == 1, "spot": F.shiftright("spot", 1)})
-    sizes = each.groupBy("label", "spot").agg(F.count(F.lit(1)).alias("size"), F.max("home").alias("any")).where("size > 1 and any")
+    sizes = each.groupBy("label", "spot").agg(F.count(F.lit(1)).alias("size"), F.max("home").alias("any"), F.max(F.length("v")).alias("bytes")).where("size > 1 and any")
     each = each.join(sizes, ["label", "spot"])
-    most = max(block_rows, (1 << 21) // size)  # 16 MB of doubles
-    deal = F.least(F.greatest(F.ceil(F.col("size") / 8), F.lit(block_rows)), F.lit(most))
+    most = F.greatest(F.lit(block_rows), F.floor(F.lit(1 << 23) / F.col("bytes")))  # 16 MB of doubles
+    deal = F.least(F.greatest(F.ceil(F.col("size") / 8), F.lit(block_rows)), most)
     each = each.withColumn("many", F.ceil(F.col("size") / deal).cast("int"))
     each = each.withColumn("mine", F.pmod(F.xxhash64("k"), F.col("many")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
@@ -259,10 +266,12 @@ def links(own: DataFrame, least: float, size: int, block_rows: int, table_bits:
                 if e - s < 2:
                     continue
                 _, spot, lo, hi = group[s].tolist()
-                unit = _unit(_matrix(t["v"].slice(s, e - s), size))
+                vectors = t["v"].slice(s, e - s)
+                size = len(vectors[0].as_py()) // 4
+                unit = _unit(_matrix(vectors, size))
                 raw = t["y"].slice(s, e - s).to_pylist()
                 turned = None if raw[0] is None else np.frombuffer(b"".join(raw), "<f4").reshape(e - s, -1, table_bits)
-                count, edges = Bucket(unit, turned, home[s:e], spot >> table_bits, least, reach).links(sides[s:e] == lo if lo != hi else None, block_rows)
+                count, edges = Bucket(unit, turned, home[s:e], spot >> table_bits, least, reach.get(size, 0.0)).links(sides[s:e] == lo if lo != hi else None, block_rows)
                 some = np.flatnonzero(count)
                 own_ids = ids[s:e]
                 a += own_ids[some].tolist() + [int(own_ids[x]) for x, _ in edges]
@@ -300,16 +309,20 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     sample = [np.asarray(r.v, np.float64) for r in own.orderBy(F.xxhash64("k"), "k").limit(sample_rows).select("v").collect()]
     if not sample:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    lengths, counts = np.unique([len(x) for x in sample], return_counts=True)
-    size = int(lengths[counts.argmax()])
-    unit = _unit(np.stack([x for x in sample if len(x) == size]))
-    quantiser = Quantiser.fit(unit)
-    turned = quantiser.turned(unit, table_bits)
-    reach = quantiser.reach(least, turned.shape[1])
-    if whole_rows is None:
-        whole_rows = whole_up_to(turned, reach, block_rows)
-    coded, coded_path = store.save(spark, bucketed(own, quantiser, size, table_bits, least, whole_rows), "codes")
-    found, _ = store.save(spark, links(coded, least, size, block_rows, table_bits, reach), "links")
+    quantisers, reach, most = {}, {}, {}
+    lengths = np.array([len(x) for x in sample])
+    for size in np.unique(lengths).tolist():
+        if np.count_nonzero(lengths == size) < LEAST_FIT:
+            continue
+        unit = _unit(np.stack([x for x in sample if len(x) == size]))
+        quantisers[size] = Quantiser.fit(unit)
+        turned = quantisers[size].turned(unit, table_bits)
+        reach[size] = quantisers[size].reach(least, turned.shape[1])
+        rows = whole_up_to(turned, reach[size], block_rows) if whole_rows is None else whole_rows
+        if rows is not None:
+            most[size] = rows
+    coded, coded_path = store.save(spark, bucketed(own, quantisers, table_bits, least, most), "codes")
+    found, _ = store.save(spark, links(coded, least, block_rows, table_bits, reach), "links")
     store.drop(spark, coded_path)
     counted = found.where("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     groups = components(found.where("b is not null"), "a", "b").withColumnRenamed("id", "vec_id")

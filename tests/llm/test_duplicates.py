@@ -255,6 +255,23 @@ def test_tables_bring_every_link_together_once(least):
     assert counts.tolist() == ((unit @ unit.T >= least).sum(1) - 1).tolist()
 
 
+@pytest.mark.parametrize("limits", [{}, {"whole_rows": 0}])
+def test_embedding_dedup_searches_every_length(spark, limits):
+    rnd = np.random.default_rng(9)
+    rows = []
+    for size, n in ((16, 90), (40, 70), (3, 5)):
+        for _ in range(n):
+            v = rnd.standard_normal(size).astype(np.float32)
+            near = (v + rnd.standard_normal(size) * 0.2).astype(np.float32)
+            rows += [(len(rows), v.tolist(), 1), (len(rows) + 1, near.tolist(), 1), (len(rows) + 2, v.tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, 0.93, **limits).collect()}
+    expected = {}
+    for size in (16, 40, 3):
+        expected |= brute_vectors([r for r in rows if len(r[1]) == size], 0.93)
+    assert got == expected and all(n for n, _ in got.values())
+
+
 def test_embedding_dedup_of_none(spark):
     df = spark.createDataFrame([(1, None, 1)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in embedding_dedup.near_duplicates(df).collect()] == [(1, 0, 1, True)]
