@@ -4,13 +4,17 @@ Texts are compared in lower case with every run of other characters than letters
 into segments of at most ``segment`` characters that overlap by half. A region with at most k edits to a segment of m
 characters shares at least m + 1 - q(k + 1) character q-grams with it, all on at most k + 1 neighbouring diagonals, so
 they lie within one of the overlapping bands of 2(k + 1) diagonals. Shared q-grams are counted for each band; bands that
-reach the bound are verified by an alignment within the band. k is a tenth of m.
+reach the bound are verified by an alignment within the band. k is a tenth of m, but none below 16 characters, at most one
+below 24 and two below 32, as far as the lemma goes.
+
+Items of fewer than ``FREE_CHARS`` compared characters match only between word boundaries: beside a blank, an end of the text, or
+a letter of a script that doesn't part words.
 
 Benchmark items are indexed in blocks of at most ``block_chars`` characters, each of which is broadcast and scanned over
 the documents in its own pass, so memory is bounded whatever the number of items. Documents are never shuffled.
 
-Defined cases: null or empty text matches nothing; items with fewer than ``MIN_CHARS`` compared characters are too short
-to tell a leak and match nothing; repeated rows are matched each on its own; an empty benchmark matches nothing. Extra
+Defined cases: null or empty text matches nothing; items with fewer than ``MIN_CHARS`` compared characters, a q-gram,
+match nothing; repeated rows are matched each on its own; an empty benchmark matches nothing. Extra
 columns pass through ``clean`` untouched.
 """
 
@@ -30,8 +34,11 @@ from pyspark.sql import functions as F
 
 from cartolith.llm.arrowtext import column, slices
 
-MIN_CHARS = 32
 Q = 8
+MIN_CHARS = Q
+FREE_CHARS = 32
+#: Thai and Lao, Burmese, Khmer, radicals to unified ideographs with kana, Hangul excepted; compatibility ideographs, narrow kana, further planes.
+UNPARTED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x31A0, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 TABLE_BITS = 22
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,6 +152,16 @@ def bands(text: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     return segment[pick], np.concatenate([first[with_next], first[alone] - width[alone]])
 
 
+def boundaries(text: np.ndarray) -> np.ndarray:
+    """Of each place and the end of the text: whether a word may end or start there."""
+    free = (text == 0) | (text == 0x20)
+    for low, high in UNPARTED:
+        free |= (text >= low) & (text <= high)
+    out = np.ones(len(text) + 1, bool)
+    out[1:-1] = free[1:] | free[:-1]
+    return out
+
+
 def aligned(text: np.ndarray, index: Index, segment: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least edits between each segment and any region within its band, and where the region ends. One row of the alignment at a time, all bands together."""
     width = int(2 * (index.budgets[segment].max() + 1))
@@ -152,6 +169,12 @@ def aligned(text: np.ndarray, index: Index, segment: np.ndarray, first: np.ndarr
     across = np.arange(width)
     inside = across[None, :] < 2 * (index.budgets[segment] + 1)[:, None]
     cost = np.where(inside, 0, 1 << 20).astype(np.int64)
+    short = np.flatnonzero(size < FREE_CHARS)
+    if short.size:
+        fits = boundaries(text)
+        j = first[short, None] + across[None, :]
+        cost[short] = np.where(inside[short] & (j >= 0) & (j <= len(text)) & fits[np.clip(j, 0, len(text))], 0, 1 << 20)
+        cost[short] = np.minimum.accumulate(cost[short] - across, axis=1) + across
     final = np.full(len(segment), 1 << 20)
     ends = np.zeros(len(segment), np.int64)
     for i in range(int(size.max())):
@@ -166,8 +189,12 @@ def aligned(text: np.ndarray, index: Index, segment: np.ndarray, first: np.ndarr
         cost = np.where(inside, cost, 1 << 20)
         over = np.flatnonzero(size == i + 1)
         if over.size:
-            best = cost[over].argmin(1)
-            final[over] = cost[over, best]
+            ended = cost[over]
+            if short.size:
+                j = first[over, None] + across[None, :] + i + 1
+                ended = np.where((size[over] >= FREE_CHARS)[:, None] | ((j >= 0) & (j <= len(text)) & fits[np.clip(j, 0, len(text))]), ended, 1 << 20)
+            best = ended.argmin(1)
+            final[over] = ended[np.arange(len(over)), best]
             ends[over] = first[over] + best + i + 1
     return final, ends
 

@@ -97,6 +97,15 @@ def test_decontamination_frames(spark):
     assert decontaminate.clean(docs, benchmark.limit(0)).count() == 5 and decontaminate.matches(docs.limit(0), benchmark).count() == 0
 
 
+def test_short_items_are_found_between_word_boundaries():
+    items = [(1, "What is the capital?"), (2, "the moon"), (3, "法国的首都是哪一座城市呢"), (4, "a b c"), (5, "capital of the far north lands"), (6, None)]
+    finder = decontaminate.Finder(decontaminate.index_items(items))
+    texts = ["Q: what is THE capital", "under the moonlight", "to the moon!", "人们问法国的首都是哪一座城市呢今天", "a b c", "what is the capitol", "what is the capitals", "somewhat is the capital", "", None]
+    texts += ["the capital of the fair north land", "xcapital of the far north lands y", "the moon", "athe moon", "x" * 40]
+    found = {(d, items[i][0]): e for d, i, _, e, _ in finder.find(texts)}
+    assert found == {(0, 1): 0, (2, 2): 0, (3, 3): 0, (5, 1): 1, (6, 1): 1, (10, 5): 2, (11, 5): 1, (12, 2): 0}
+
+
 def test_leaks_of_the_tables(spark):
     items = queries.table(spark, SF2, "benchmark").collect()
     docs = queries.table(spark, SF2, "documents").collect()
