@@ -1,11 +1,12 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts are compared in lower case with every run of other characters than letters and digits as one blank. An item is cut
-into segments of at most ``segment`` characters that overlap by half. A region with at most k edits to a segment of m
-characters shares at least m + 1 - q(k + 1) character q-grams with it, all on at most k + 1 neighbouring diagonals, so
-they lie within one of the overlapping bands of 2(k + 1) diagonals. Shared q-grams are counted for each band; bands that
-reach the bound are verified by an alignment within the band. k is a tenth of m, but none below 16 characters, at most one
-below 24 and two below 32, as far as the lemma goes.
+Texts are compared in lower case with every run of other characters than letters and digits as one blank. A passage is any
+``segment`` characters of an item, wherever they start in it, or the whole of a shorter item. A region with at most k edits to a
+passage of m characters shares at least m + 1 - q(k + 1) character q-grams with it, all on at most k + 1 neighbouring diagonals,
+so they lie within one of the overlapping bands of 2(k + 1) diagonals. Items are indexed whole, each q-gram once; bands in which
+so many places of shared q-grams lie within a passage's length are verified by an alignment within the band: first the passages that start
+at every half of ``segment``, then, only where none of these is found, all others that the q-grams allow. k is a tenth of m,
+but none below 16 characters, at most one below 24 and two below 32, as far as the lemma goes.
 
 Items of fewer than ``FREE_CHARS`` compared characters match only between word boundaries: beside a blank, an end of the text, or
 a letter of a script that doesn't part words.
@@ -88,68 +89,112 @@ def gram_codes(chars: np.ndarray, q: int = Q) -> np.ndarray:
 @dataclass
 class Index:
     item_ids: list
-    chars: np.ndarray  # segments, one after the other
-    starts: np.ndarray
-    sizes: np.ndarray
-    items: np.ndarray  # the item of each segment
-    budgets: np.ndarray
-    codes: np.ndarray  # sorted q-gram codes, and for each the segment and position
+    chars: np.ndarray  # items, one after the other
+    owner: np.ndarray  # the place in the list of each indexed item
+    begins: np.ndarray
+    lengths: np.ndarray
+    windows: np.ndarray  # the characters of a passage, and how many of them may be edited
+    edits: np.ndarray
+    step: int
+    codes: np.ndarray  # sorted q-gram codes, and for each the indexed item and position
     segment: np.ndarray
     place: np.ndarray
     table: np.ndarray
 
+    def _passages(self, of: np.ndarray) -> np.ndarray:
+        return np.repeat(of, self.lengths - self.windows + 1)
+
+    @property
+    def items(self) -> np.ndarray:
+        """Of every passage: its item, start, size and budget."""
+        return self._passages(self.owner)
+
+    @property
+    def starts(self) -> np.ndarray:
+        counts = self.lengths - self.windows + 1
+        return np.arange(int(counts.sum())) - self._passages(np.cumsum(counts) - counts) + self._passages(self.begins)
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return self._passages(self.windows)
+
+    @property
+    def budgets(self) -> np.ndarray:
+        return self._passages(self.edits)
+
 
 def index_items(rows: list[tuple], segment: int = 96, rate: float = 0.1) -> Index:
-    chars, sizes, items = [], [], []
+    chars, owner = [], []
     for n, (_, text) in enumerate(rows):
         whole = points(text)
-        if len(whole) < MIN_CHARS:
-            continue
-        count = max(1, math.ceil((len(whole) - segment) / (segment // 2)) + 1)
-        size = min(segment, len(whole))
-        for k in range(count):
-            at = min(k * (segment // 2), len(whole) - size)
-            chars.append(whole[at : at + size])
-            sizes.append(size)
-            items.append(n)
-    size = np.array(sizes, np.int64)
-    budgets = np.minimum((size * rate).astype(np.int64), np.maximum(size // Q - 1, 0))
-    codes = [gram_codes(c) for c in chars]
-    counts = np.array([len(c) for c in codes], np.int64)
-    every = np.concatenate([*codes, np.empty(0, np.uint64)])
+        if len(whole) >= MIN_CHARS:
+            chars.append(whole)
+            owner.append(n)
+    length = np.array([len(c) for c in chars], np.int64)
+    windows = np.minimum(length, segment)
+    edits = np.minimum((windows * rate).astype(np.int64), np.maximum(windows // Q - 1, 0))
+    counts = np.maximum(length - Q + 1, 0)
+    every = np.concatenate([*map(gram_codes, chars), np.empty(0, np.uint64)])
     order = np.argsort(every, kind="stable")
     table = np.zeros(1 << TABLE_BITS, bool)
     table[every >> np.uint64(64 - TABLE_BITS)] = True
     place = np.concatenate([*(np.arange(n) for n in counts), np.empty(0, np.int64)])
-    return Index([r[0] for r in rows], np.concatenate([*chars, np.empty(0, np.uint32)]), np.cumsum(size) - size, size, np.array(items, np.int64), budgets, every[order], np.repeat(np.arange(len(size)), counts)[order], place[order], table)
+    return Index([r[0] for r in rows], np.concatenate([*chars, np.empty(0, np.uint32)]), np.array(owner, np.int64), np.cumsum(length) - length, length, windows, edits, segment // 2, every[order], np.repeat(np.arange(len(length)), counts)[order], place[order], table)
 
 
-def bands(text: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, first diagonal) of the bands that reach the lemma's bound. Diagonal: place in text less place in segment."""
+@dataclass
+class Bands:
+    """Runs of shared q-grams, in one band and within a passage's length, that reach the lemma's bound; sorted by band and place."""
+
+    item: np.ndarray
+    first: np.ndarray  # diagonal: place in text less place in item
+    low: np.ndarray  # the passages that hold the run start from here
+    high: np.ndarray  # to here
+    at: np.ndarray  # a place in the text
+
+    def take(self, some: np.ndarray) -> Bands:
+        return Bands(self.item[some], self.first[some], self.low[some], self.high[some], self.at[some])
+
+
+def bands(text: np.ndarray, index: Index) -> Bands:
     codes = gram_codes(text)
     at = np.flatnonzero(index.table[codes >> np.uint64(64 - TABLE_BITS)])
     codes = codes[at]
     low, high = np.searchsorted(index.codes, codes, "left"), np.searchsorted(index.codes, codes, "right")
     n = high - low
     hit = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    segment = index.segment[hit]
-    diagonal = np.repeat(at, n) - index.place[hit]
-    width = index.budgets[segment] + 1
-    row = np.floor_divide(diagonal, width) + 1  # diagonals may be negative by less than a segment
-    span = len(text) + 4096
-    row += 2048
-    keys, counts = np.unique(segment * span + row, return_counts=True)
+    item, place, at = index.segment[hit], index.place[hit], np.repeat(at, n)
+    need = index.windows + 1 - Q * (index.edits + 1)
+    before = int(index.lengths.max()) + 2  # diagonals may be negative by less than an item
+    span = len(text) + 2 * before
+    row = np.floor_divide(at - place, index.edits[item] + 1) + before
+    keys, where, counts = np.unique(item * span + row, return_inverse=True, return_counts=True)
+    none = np.empty(0, np.int64)
     if not keys.size:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    segment = keys // span
-    beside = np.append(np.where(keys[1:] == keys[:-1] + 1, counts[1:], 0), 0)
-    before = np.append([0], np.where(keys[1:] == keys[:-1] + 1, counts[:-1], 0))
-    need = index.sizes[segment] + 1 - Q * (index.budgets[segment] + 1)
-    width = index.budgets[segment] + 1
-    first = (keys % span - 2049) * width
-    with_next, alone = counts + beside >= need, (counts >= need) & (before == 0)
-    pick = np.concatenate([np.flatnonzero(with_next), np.flatnonzero(alone)])
-    return segment[pick], np.concatenate([first[with_next], first[alone] - width[alone]])
+        return Bands(none, none, none, none, none)
+    together = keys[1:] == keys[:-1] + 1
+    with_next = counts + np.append(np.where(together, counts[1:], 0), 0) >= need[keys // span]
+    with_last = np.append(False, with_next[:-1] & together) | (counts >= need[keys // span])
+    # a band is told by the first of its two rows
+    own, last = np.flatnonzero(with_next[where]), np.flatnonzero(with_last[where])
+    hit = np.concatenate([own, last])
+    if not hit.size:
+        return Bands(none, none, none, none, none)
+    key = np.concatenate([keys[where[own]], keys[where[last]] - 1])
+    order = np.lexsort((place[hit], key))
+    hit, key = hit[order], key[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (place[hit[1:]] != place[hit[:-1]]))  # a place in the item counts once
+    hit, key = hit[new], key[new]
+    item, place, at = item[hit], place[hit], at[hit]
+    end = np.arange(len(hit)) + need[item] - 1
+    fits = end < len(hit)
+    end = np.minimum(end, len(hit) - 1)
+    fits &= (key[end] == key) & (place[end] - place <= index.windows[item] - Q)
+    i, e = np.flatnonzero(fits), end[fits]
+    item = item[i]
+    first = (key[i] % span - before) * (index.edits[item] + 1)
+    window = index.windows[item]
+    return Bands(item, first, np.maximum(place[e] + Q - window, 0), np.minimum(place[i], index.lengths[item] - window), at[i])
 
 
 def boundaries(text: np.ndarray) -> np.ndarray:
@@ -162,12 +207,12 @@ def boundaries(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def aligned(text: np.ndarray, index: Index, segment: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits between each segment and any region within its band, and where the region ends. One row of the alignment at a time, all bands together."""
-    width = int(2 * (index.budgets[segment].max() + 1))
-    size = index.sizes[segment]
+def aligned(text: np.ndarray, index: Index, item: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits between each passage and any region within its band, and where the region ends. One row of the alignment at a time, all bands together."""
+    budgets, size, first = index.edits[item], index.windows[item], first + start
+    width = int(2 * (budgets.max() + 1))
     across = np.arange(width)
-    inside = across[None, :] < 2 * (index.budgets[segment] + 1)[:, None]
+    inside = across[None, :] < 2 * (budgets + 1)[:, None]
     cost = np.where(inside, 0, 1 << 20).astype(np.int64)
     short = np.flatnonzero(size < FREE_CHARS)
     if short.size:
@@ -175,12 +220,12 @@ def aligned(text: np.ndarray, index: Index, segment: np.ndarray, first: np.ndarr
         j = first[short, None] + across[None, :]
         cost[short] = np.where(inside[short] & (j >= 0) & (j <= len(text)) & fits[np.clip(j, 0, len(text))], 0, 1 << 20)
         cost[short] = np.minimum.accumulate(cost[short] - across, axis=1) + across
-    final = np.full(len(segment), 1 << 20)
-    ends = np.zeros(len(segment), np.int64)
+    final = np.full(len(item), 1 << 20)
+    ends = np.zeros(len(item), np.int64)
     for i in range(int(size.max())):
         j = first[:, None] + across[None, :] + i
         there = (j >= 0) & (j < len(text))
-        own = index.chars[np.minimum(index.starts[segment] + i, len(index.chars) - 1)]
+        own = index.chars[np.minimum(index.begins[item] + start + i, len(index.chars) - 1)]
         match = there & (text[np.clip(j, 0, len(text) - 1)] == own[:, None])
         step = np.where(there, cost + ~match, 1 << 20)
         step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
@@ -204,24 +249,52 @@ class Finder:
         self.index = index
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, segments found, least edits, end of the first region in compared characters)."""
-        if not len(self.index.sizes):
+        """(text, item, passages found, least edits, end of the first region in compared characters). Passages are counted at every half of a segment, but as one where only others are found."""
+        index = self.index
+        if not len(index.owner):
             return []
-        gap = np.zeros(2 * int(self.index.sizes.max()), np.uint32)
+        gap = np.zeros(2 * int(index.windows.max()), np.uint32)
         whole = [points(t) for t in texts]
         starts = np.cumsum([0] + [len(w) + len(gap) for w in whole])
         text = np.concatenate([x for w in whole for x in (w, gap)]) if whole else gap
         if len(text) < Q:
             return []
-        segment, first = bands(text, self.index)
+        runs = bands(text, index)
         out: dict[tuple[int, int], list] = {}
-        for at in range(0, len(segment), 4096):
-            seg, dia = segment[at : at + 4096], first[at : at + 4096]
-            edits, ends = aligned(text, self.index, seg, dia)
-            for k in np.flatnonzero(edits <= self.index.budgets[seg]):
-                doc = int(np.searchsorted(starts, max(int(ends[k]) - 1, 0), "right")) - 1
-                out.setdefault((doc, int(self.index.items[seg[k]])), []).append((int(seg[k]), int(edits[k]), int(ends[k] - starts[doc])))
-        return [(d, i, len({s for s, _, _ in found}), min(e for _, e, _ in found), min(x for _, _, x in found)) for (d, i), found in sorted(out.items())]
+
+        def verify(item: np.ndarray, start: np.ndarray, first: np.ndarray) -> None:
+            for at in range(0, len(item), 4096):
+                own, begin, dia = item[at : at + 4096], start[at : at + 4096], first[at : at + 4096]
+                edits, ends = aligned(text, index, own, begin, dia)
+                for k in np.flatnonzero(edits <= index.edits[own]):
+                    doc = int(np.searchsorted(starts, max(int(ends[k]) - 1, 0), "right")) - 1
+                    out.setdefault((doc, int(index.owner[own[k]])), []).append((int(begin[k]), int(edits[k]), int(ends[k] - starts[doc])))
+
+        last = index.lengths[runs.item] - index.windows[runs.item]
+        tried = [(runs, np.where(runs.high == last, last, -1))]
+        begin = -(-runs.low // index.step) * index.step
+        while (begin <= runs.high).any():
+            tried.append((runs, np.where(begin <= runs.high, begin, -1)))
+            begin = begin + index.step
+        some = np.concatenate([np.stack([r.item, r.first, x], 1)[x >= 0] for r, x in tried])
+        some = np.unique(some, axis=0)
+        verify(some[:, 0], some[:, 2], some[:, 1])
+        rows = [(d, i, len({s for s, _, _ in found}), min(e for _, e, _ in found), min(x for _, _, x in found)) for (d, i), found in out.items()]
+
+        doc = np.searchsorted(starts, runs.at, "right") - 1
+        have = set(out)
+        out.clear()
+        left = np.array([(d, i) not in have for d, i in zip(doc.tolist(), index.owner[runs.item].tolist())], bool)
+        left &= last > 0  # the only passage of other items has been tried
+        rest = runs.take(left)
+        for a in range(0, len(rest.item), 4096):
+            part = rest.take(np.arange(a, min(a + 4096, len(rest.item))))
+            n = part.high - part.low + 1
+            begin = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(part.low, n)
+            some = np.unique(np.stack([np.repeat(part.item, n), np.repeat(part.first, n), begin], 1), axis=0)
+            verify(some[:, 0], some[:, 2], some[:, 1])
+        rows += [(d, i, 1, min(e for _, e, _ in found), min(x for _, _, x in found)) for (d, i), found in out.items() if (d, i) not in have]
+        return sorted(rows)
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[Index]:

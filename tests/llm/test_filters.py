@@ -106,6 +106,17 @@ def test_short_items_are_found_between_word_boundaries():
     assert found == {(0, 1): 0, (2, 2): 0, (3, 3): 0, (5, 1): 1, (6, 1): 1, (10, 5): 2, (11, 5): 1, (12, 2): 0}
 
 
+def test_passages_are_found_wherever_they_start():
+    rnd = random.Random(12)
+    text = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(60))
+    finder = decontaminate.Finder(decontaminate.index_items([(1, text)]))
+    starts = [i for i in range(len(text) - 97) if text[i] != " " and text[i + 95] != " "]
+    texts = ["before it " + text[i : i + 96] + " after it" for i in starts] + ["before it " + text[i : i + 70] + " after it" for i in starts]
+    assert [d for d, *_ in finder.find(texts)] == list(range(len(starts)))
+    assert {d for d, *_ in finder.find(["so " + text[20:120] + " on", "so " + noisy(text[31:140], 0.04, random.Random(2)) + " on"])} == {0, 1}
+    assert finder.find([text[:12]]) == []
+
+
 def test_leaks_of_the_tables(spark):
     items = queries.table(spark, SF2, "benchmark").collect()
     docs = queries.table(spark, SF2, "documents").collect()
