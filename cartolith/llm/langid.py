@@ -7,7 +7,8 @@ A document's language is the one of greatest total; its score is that language's
 
 Training counts every word of every labelled document in one pass with partial sums on the executors; n-grams are
 counted from those sums. The model keeps, for each language, the most frequent ``max_words`` words and ``max_grams``
-n-grams of each length: that bound, not the corpus, is its size, and all that reaches the driver.
+n-grams of each length, with their counts in all languages: that bound, not the corpus, is its size, and all that reaches the
+driver.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; so is every text if no language was learned.
 Equal totals go to the first language by name. Null labels aren't learned from. Extra columns are ignored.
@@ -96,7 +97,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, kind: Column, most: int) -> pa.Table:
-    """Rows (lang, item, n) of the most frequent items of each (lang, kind): as many as fit under ``most`` with all equals of the last."""
+    """Rows (lang, item, n), in all languages, of the most frequent items of each (lang, kind): as many as fit under ``most`` with all equals of the last."""
     step = F.floor(F.log2("n") * 16).cast("int")
     counts = counts.withColumns({"kind": kind, "step": step})
     least: dict[tuple, int] = {}
@@ -112,7 +113,8 @@ def most_frequent(counts: DataFrame, kind: Column, most: int) -> pa.Table:
     keep = F.lit(False)
     for (lang, k), s in least.items():
         keep = keep | ((F.col("lang") == lang) & (F.col("kind") == k) & (F.col("step") >= s))
-    return counts.where(keep).select("lang", "item", "n").toArrow()
+    items = counts.groupBy("item").agg(F.bool_or(keep).alias("keep"), F.collect_list(F.struct("lang", "n")).alias("each")).where("keep")
+    return items.select("item", F.inline("each")).select("lang", "item", "n").toArrow()
 
 
 class Table:

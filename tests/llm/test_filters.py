@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,12 @@ def test_language_id_cases(spark):
     first = scorer.score(["the cat", "der hund die katze und", "the cat"])
     again = scorer.score(["the cat", "der hund die katze und", "the cat"])
     assert first[0] == again[0] == ["en", "de", "en"] and (first[1] == again[1]).all()
+
+
+def test_language_model_keeps_an_items_counts_in_all_languages(spark):
+    rows = [("a", "common " * 10), ("b", "common " + "other " * 10)]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"), max_words=1, max_grams=1)
+    a, b = np.exp(model.words.get("common"))
+    assert abs(a - 10.5 / 11) < 1e-9 and abs(b - 1.5 / 12) < 1e-9
+    assert model.words.get("other") is not None and len(model.words.index) == 2
+    assert np.allclose(np.exp(model.grams[1].get("o")), [20.5 / 10.5, 12.5 / 11.5])
