@@ -1,11 +1,11 @@
-"""Substring dedup: repeated runs of at least ``window`` words, from suffix trees partitioned by prefix.
+"""Substring dedup: repeated runs of at least ``window`` words, from anchors and window hashes.
 
 Only suffixes that start at an anchor are kept. Anchors are the least hashed runs of half a window's words within every
 window, so every window has an anchor and two equal windows have the same one at the same place. Suffixes are
 partitioned by the anchor they start with: that prefix is as long as it takes for a group to fit in memory, in words by
-half a window, and, where even one full window is too frequent, by the window itself. Within a group every suffix is
-extended to the left and right; nodes that are a window deep and hold suffixes of several documents are the repeats. A
-node's window is removed in all documents but the first. Neighbouring windows of a document join into maximal repeats.
+half a window, and, where that is too frequent, by the window itself. No suffix tree is built: within a group windows with
+equal 64-bit hashes are the same, and those of several documents are the repeats, because only a window's depth decides the
+result. A window is removed in all documents but the first. Neighbouring windows of a document join into maximal repeats.
 
 First pass: anchors with their first and last documents, summed before the shuffle; those in one document only are left
 out. The rest are a bounded filter. Second pass: suffixes that pass it, with the hashes of the windows they answer for,
