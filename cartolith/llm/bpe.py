@@ -10,7 +10,6 @@ any length are encoded whole. Only the named columns are read, so others, whatev
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.llm.arrowtext import binary_column, column, flat, ragged, slices
+from cartolith.llm.workers import held
 from cartolith.llm.wordpool import WordPool, flattened, per_document
 
 # Fixed value: the split before merging that byte-level vocabularies of this family are built with.
@@ -281,15 +281,13 @@ class DocumentEncoder:
         return ids, per_document(lengths, counts)
 
 
-@functools.lru_cache(maxsize=2)
 def document_encoder(path: str) -> DocumentEncoder:
     """One for each worker process."""
-    return DocumentEncoder(path)
+    return held("bpe", lambda p: (DocumentEncoder(p), Decoder(p)), path)[0]
 
 
-@functools.lru_cache(maxsize=2)
 def decoder(path: str) -> Decoder:
-    return Decoder(path)
+    return held("bpe", lambda p: (DocumentEncoder(p), Decoder(p)), path)[1]
 
 
 def ids_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

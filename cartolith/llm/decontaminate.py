@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.llm.arrowtext import column, slices
+from cartolith.llm.workers import tidy
 
 Q = 8
 MIN_CHARS = Q
@@ -315,6 +316,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     def scan(index: Index) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(sent.value)
             for b in slices(batches, "t", 1 << 20):
@@ -335,6 +337,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     for index in blocks(benchmark, item_col, item_text, block_chars):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             finder = Finder(sent.value)
             for b in slices(batches, text_col, 1 << 20):

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from cartolith.llm import store
 from cartolith.llm.arrowtext import column
 from cartolith.llm.components import components
+from cartolith.llm.workers import tidy
 
 LEAST_FIT = 64
 
@@ -142,6 +143,7 @@ def bucketed(own: DataFrame, quantisers: dict[int, Quantiser], table_bits: int,
     else:
         own = own.withColumn("whole", F.lit(True))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -252,6 +254,7 @@ def links(own: DataFrame, least: float, block_rows: int, table_bits: int, reach:
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = each.withColumn("g", F.xxhash64(*keys)).repartition(n, "g").sortWithinPartitions("g", *keys)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 

@@ -33,6 +33,7 @@ from cartolith.llm import keyfilter, store
 from cartolith.llm.arrowtext import binary_column, column, flat, ragged, slices
 from cartolith.llm.components import components
 from cartolith.llm.flatwords import Words, mix, shingle_sets
+from cartolith.llm.workers import tidy
 
 PIECES = 64
 SHARED = 5
@@ -60,10 +61,11 @@ def frequencies(docs: DataFrame, k: int, most_log: int = 24) -> np.ndarray:
     log = int(np.clip(int(size / 48).bit_length(), 12, most_log))
     piece = (1 << log) // PIECES
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << log, np.uint16)
         for b in slices(batches, "t"):
-            hashes, _ = shingle_sets(Words(*flat(column(b, "t")), lower=True), k)
+            (hashes,), _ = shingle_sets(Words(*flat(column(b, "t")), lower=True), k)
             bins, n = np.unique((hashes >> np.uint64(64 - log)).astype(np.int64), return_counts=True)
             table[bins] = np.minimum(table[bins].astype(np.int64) + n, 65535)
         for i in range(PIECES):
@@ -90,12 +92,13 @@ def prefixes(docs: DataFrame, table: np.ndarray, k: int, percent: int) -> DataFr
     sent = docs.sparkSession.sparkContext.broadcast(table)
     log = len(table).bit_length() - 1
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            hashes, offsets = shingle_sets(Words(*flat(column(b, "t")), lower=True), k)
+            (hashes, others), offsets = shingle_sets(Words(*flat(column(b, "t")), lower=True, seeds=2), k)
             n = np.diff(offsets)
             owner = np.repeat(np.arange(len(n)), n)
-            sums = [np.concatenate([[0], np.cumsum(x, dtype=np.uint64)])[offsets].astype(np.uint64) for x in (mix(hashes), mix(hashes ^ SALT))]
+            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[offsets] for x in (mix(hashes ^ SALT), mix(others ^ SALT))]
             s1, s2 = ((s[1:] - s[:-1]).view(np.int64) for s in sums)
             order = np.lexsort([mix(hashes + SALT), sent.value[(hashes >> np.uint64(64 - log)).astype(np.int64)], owner])
             size = np.where(n > 0, n - least_overlap(n, percent) + first_shared(n, percent), 0)
@@ -110,11 +113,12 @@ def sets_of(docs: DataFrame, wanted: keyfilter.KeyFilter, k: int) -> DataFrame:
     """doc, n, s1, hashes (binary, sorted) of documents that pass the filter."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             some = b.filter(pa.array(sent.value.maybe(column(b, "k").to_numpy().view(np.uint64))))
             for s in slices(iter([some]), "t"):
-                hashes, offsets = shingle_sets(Words(*flat(column(s, "t")), lower=True), k)
+                (hashes,), offsets = shingle_sets(Words(*flat(column(s, "t")), lower=True), k)
                 yield pa.RecordBatch.from_arrays([column(s, "k"), pa.array(np.diff(offsets)), binary_column(hashes.astype("<u8").view(np.uint8), offsets * 8)], ["doc", "n", "hashes"])
 
     return docs.mapInArrow(run, "doc long, n long, hashes binary")
@@ -243,6 +247,7 @@ def _searched(rows: DataFrame, percent: int, most: int) -> DataFrame:
             b += docs[[s + y for _, y in edges]].tolist() if edges else []
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size, last = 0, None
@@ -274,6 +279,7 @@ def clusters_of(heads: DataFrame) -> DataFrame:
     shared, shared_path = store.save(spark, each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     passing = spark.sparkContext.broadcast(keyfilter.build(shared, "h"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = column(b, "keys")

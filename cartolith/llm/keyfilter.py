@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cartolith.llm.arrowtext import column
 from cartolith.llm.flatwords import mix
+from cartolith.llm.workers import tidy
 
 CHUNKS_LOG = 6
 
@@ -47,6 +48,7 @@ def build(keys: DataFrame, name: str, most_bits: int = 1 << 28) -> KeyFilter:
     step = 1 << (log - CHUNKS_LOG - 3)
     pieces = 1 << max(0, log - CHUNKS_LOG - 3 - 16)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (log - 3), np.uint8)
         for b in batches:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from cartolith.llm import store
 from cartolith.llm.arrowtext import column, slices
+from cartolith.llm.workers import tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -42,6 +43,7 @@ def words_of(token: str) -> list[str]:
 def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """lang, item, n, summed on the executors before and after the shuffle."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: dict[str, Counter] = defaultdict(Counter)
 
@@ -69,6 +71,7 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 def gram_counts(words: DataFrame) -> DataFrame:
     """lang, item (``size:gram``), n from word counts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, list[dict[str, int]]] = defaultdict(lambda: [defaultdict(int) for _ in range(LONGEST + 1)])
 
@@ -226,6 +229,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(sent.value)
         for b in slices(batches, "t"):
@@ -240,6 +244,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col:
     """The rows of ``docs``, with all their columns, whose text has a language with a score of ``least`` or more."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(sent.value)
         for b in slices(batches, text_col):

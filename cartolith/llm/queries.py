@@ -125,7 +125,7 @@ FROM embeddings JOIN grouped USING (vec_id) LEFT JOIN counted USING (vec_id)
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = substring_dedup.apply_repeats(docs, substring_dedup.repeats(docs, window=50), window=50)
+    out = substring_dedup.apply_repeats(docs, substring_dedup.repeats(docs, window=50))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: list[str] = []
@@ -14,10 +15,12 @@ _SCOPES: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set and all runs on one machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(tempfile.mkdtemp(prefix="cartolith-"))
     return f"file://{_OWN_FOLDER[0]}"
@@ -46,6 +49,12 @@ def drop(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def release(*sent: Broadcast) -> None:
+    """Take broadcast values away from the executors once the tables made with them are written."""
+    for x in sent:
+        x.destroy()
+
+
 @contextlib.contextmanager
 def scope(paths: list[str]) -> Iterator[None]:
     """Notes in ``paths`` what is kept meanwhile, for ``drop`` once the result is written."""

@@ -15,7 +15,6 @@ their ids' bytes. Extra columns are ignored. An empty table gives empty tables.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import re
 import zlib
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 from cartolith.llm import store
 from cartolith.llm.arrowtext import binary_column, column, flat, ragged, slices
 from cartolith.llm.bpe import byte_letters
+from cartolith.llm.workers import held
 from cartolith.llm.wordpool import WordPool, flattened, per_document
 
 STEP = 64
@@ -106,9 +106,9 @@ class WordEncoder:
         return ids, per_document(lengths, counts)
 
 
-@functools.lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    """One for each worker process."""
+    return held("word encoder", WordEncoder, path)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +153,9 @@ def as_ids(body: np.ndarray, width: int) -> np.ndarray:
 
 def id_width(tokenizer_path: str, end_id: int) -> int:
     """Bytes that hold any id."""
-    return 2 if max(word_encoder(tokenizer_path).lib.get_vocab_size(True), end_id + 1) <= 1 << 16 else 4
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(True), end_id + 1) <= 1 << 16 else 4
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -263,9 +265,8 @@ class Codec:
         return out[np.arange(STEP) < size[:, None]]
 
 
-@functools.lru_cache(maxsize=2)
 def _codec(bits: bytes) -> Codec:
-    return Codec(np.frombuffer(bits, np.uint8).astype(np.int64))
+    return held("codec", lambda b: Codec(np.frombuffer(b, np.uint8).astype(np.int64)), bits)
 
 
 def code(encoded: DataFrame, bits: np.ndarray, width: int) -> DataFrame:

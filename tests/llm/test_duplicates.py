@@ -110,31 +110,93 @@ def brute_substrings(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "limits"), [(50, {}), (6, {}), (7, {"most_group": 2}), (50, {"most_group": 3, "most_sent": 1}), (2, {})])
+@pytest.mark.parametrize(("window", "limits"), [(50, {}), (6, {}), (7, {"most_group": 2}), (7, {"most_group": 2, "most_sent": 0}), (50, {"most_group": 3, "most_sent": 1}), (2, {})])
 def test_substring_dedup(spark, window, limits):
     rows = made_up(window)
     docs = documents(rows, spark)
-    out = substring_dedup.apply_repeats(docs, substring_dedup.repeats(docs, window=window, **limits), window=window)
+    out = substring_dedup.apply_repeats(docs, substring_dedup.repeats(docs, window=window, **limits))
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in out.collect()} == brute_substrings(rows, window)
 
 
 def test_substring_dedup_of_repeated_rows_and_none(spark):
     docs = documents([(1, "a b c"), (1, "a b c"), (2, "a b c x")], spark)
-    out = substring_dedup.apply_repeats(docs, substring_dedup.repeats(docs, window=3), window=3).orderBy("doc_id").collect()
+    out = substring_dedup.apply_repeats(docs, substring_dedup.repeats(docs, window=3)).orderBy("doc_id").collect()
     assert [(r.doc_id, r.n_removed, r.kept) for r in out] == [(1, 0, "a b c"), (1, 0, "a b c"), (2, 3, "x")]
     none = docs.limit(0)
     assert substring_dedup.apply_repeats(none, substring_dedup.repeats(none)).count() == 0
 
 
+def thue_morse(a, b, log):
+    """Two texts that agree in every polynomial hash modulo a power of two whose step is odd."""
+    x, y = a, b
+    for _ in range(log):
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("limits", [{}, {"most_group": 1}])
+def test_words_built_to_collide(spark, limits):
+    one, other = thue_morse("a", "b", 11)
+    rows = [(1, "same " * 49 + one), (2, "same " * 49 + other), (3, one), (4, other), (5, "same " * 49 + one)]
+    docs = documents(rows, spark)
+    out = substring_dedup.apply_repeats(docs, substring_dedup.repeats(docs, **limits)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in out} == brute_substrings(rows, 50)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs, 4, 85).collect()}
+    assert got == brute_jaccard(rows, 4, 85)
+
+
+def test_windows_are_compared_by_words(spark, monkeypatch):
+    """However bad the hash is, results hold."""
+    monkeypatch.setattr(flatwords, "word_hashes", lambda body, starts, ends, seeds: [(ends - starts).astype(np.uint64) % np.uint64(2) for _ in seeds])
+    rnd = random.Random(3)
+    lists = [[rnd.choice(["a", "bb", "ccc", "dd"]) for _ in range(40)] for _ in range(12)]
+    lists += [x[5:30] + lists[0][:9] for x in lists]
+    rows = list(enumerate(map(" ".join, lists)))
+    import pyarrow as pa
+
+    words = flatwords.Words(*flat(pa.array([t for _, t in rows])), lower=False)
+    starts, where, _ = substring_dedup.anchors(words, 6)
+    heads = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (starts[1:] != starts[:-1] + 1)))
+    n = np.diff(np.append(heads, len(starts)))
+    first, before = starts[heads], where[heads] - starts[heads]
+    k = np.searchsorted(words.first, first, "right") - 1
+    body, at = words.joined()
+    bodies = pa.array([body[at[s] : at[s + c + 5]].tobytes() for s, c in zip(first, n)], pa.binary())
+    marked = substring_dedup.later_windows(*substring_dedup._word_ids(bodies), before, n, k, 6)
+    owners = {}
+    for doc, w in enumerate(lists):
+        for i in range(len(w) - 5):
+            owners.setdefault(tuple(w[i : i + 6]), doc)
+    for i in range(len(k)):
+        for j in range(n[i]):
+            place = first[i] + j - words.first[k[i]]
+            assert marked[i, j] == (owners[tuple(lists[k[i]][place : place + 6])] < k[i])
+
+
+def test_op9_query_against_brute_force(spark):
+    import hashlib
+
+    rows = [tuple(r) for r in queries.table(spark, SF, "documents").select("doc_id", "text").collect()]
+    expected = {k: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for k, (n, gone, kept) in brute_substrings(rows, 50).items()}
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op9_substring_dedup(spark, SF).collect()} == expected
+    assert sum(x[1] for x in expected.values()) > 0
+
+
+def test_op4_query_against_brute_force(spark):
+    rows = [tuple(r) for r in queries.table(spark, SF, "documents").select("doc_id", "text").collect()]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_jaccard_join(spark, SF).collect()} == brute_jaccard(rows, 4, 85)
+
+
 def test_every_window_has_the_same_anchor_as_its_equals():
     import pyarrow as pa
 
     rnd = random.Random(4)
     texts = [" ".join(rnd.choice("abcdefgh") for _ in range(200)) for _ in range(20)]
     words = flatwords.Words(*flat(pa.array(texts)), lower=False)
-    hashes, starts, where, gram = substring_dedup.anchors(words, 4)
+    starts, where, gram = substring_dedup.anchors(words, 4)
+    assert starts.tolist() == words.places(4).tolist()
     seen = {}
-    for h, s, w, g in zip(hashes, starts, where, gram):
+    for h, s, w, g in zip(words.runs(4)[1], starts, where, gram):
         assert s <= w <= s + 2
         assert seen.setdefault(h, (w - s, g)) == (w - s, g)
 
