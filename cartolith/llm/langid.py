@@ -5,223 +5,214 @@ known n-grams (``^`` and ``$`` mark its ends), of 5 letters down to 1, and score
 A document's language is the one of greatest total; its score is that language's share when the mean over words counts
 ``EVIDENCE`` times at most.
 
-Training counts every word of every labelled document in one pass with partial sums on the executors; n-grams are
-counted from those sums. The model keeps, for each language, the most frequent ``max_words`` words and ``max_grams``
-n-grams of each length, with their counts in all languages: that bound, not the corpus, is its size, and all that reaches the
-driver.
+Words are maximal runs of letters of the text in lower case. The classifier is fitted on a bounded sample of the labelled rows:
+all of them up to ``sample_rows``, else about that many by a hash of id and text. Every word and n-gram of the sample is in the model, with its
+counts in all languages and none left out; so the sample bounds the model, and what reaches the driver. Prediction covers every row.
+
+Known words are found by two 64-bit hashes. N-grams are a trie of sorted arrays, exact: an n-gram's node is its first
+letters' node and its last letter. All words of a batch are looked up at once.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; so is every text if no language was learned.
-Equal totals go to the first language by name. Null labels aren't learned from. Extra columns are ignored.
+Equal totals go to the first language by name. Null labels aren't learned from. Repeated rows are learned from, and judged, each on its
+own. Texts of any length are taken whole. An empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.llm import store
-from cartolith.llm.arrowtext import column, slices
+from cartolith.llm.arrowtext import column, ragged, slices
+from cartolith.llm.flatwords import SEEDS, word_hashes
 from cartolith.llm.workers import tidy
 
-WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 EVIDENCE = 32
-FLUSH = 200_000
+SLICE = 1 << 20
+BEGIN, END = 0x110000, 0x110001  # the marks at a word's ends, beside all code points
 
 
-def words_of(token: str) -> list[str]:
-    return [w for w in WORD.findall(token.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+@functools.lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """lang, item, n, summed on the executors before and after the shuffle."""
+class Cut:
+    """The words of texts: ``text`` is all of them in lower case, ``starts`` and ``ends`` are places in it, ``first`` the first word of each text, with the end."""
 
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: dict[str, Counter] = defaultdict(Counter)
+    def __init__(self, texts: list[str | None]) -> None:
+        low = [t.lower() if t else "" for t in texts]
+        self.text = "\n".join(low)
+        self.points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[self.points]
+        edge = np.diff(np.concatenate([[0], letter.view(np.int8), [0]]).astype(np.int8))
+        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1)])
+        self.first = np.searchsorted(self.starts, begins)
 
-        def done() -> pa.RecordBatch:
-            rows: Counter = Counter()
-            for lang, counted in tokens.items():
-                for token, n in counted.items():
-                    for w in words_of(token):
-                        rows[lang, w] += n
-            tokens.clear()
-            langs, words = zip(*rows) if rows else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(rows.values(), pa.int64())], ["lang", "item", "n"])
+    def words(self) -> list[str]:
+        return [self.text[s:e] for s, e in zip(self.starts.tolist(), self.ends.tolist())]
 
-        for b in slices(batches, "t"):
-            for lang, text in zip(column(b, "l").to_pylist(), column(b, "t").to_pylist()):
-                tokens[lang].update(text.split())
-            if sum(map(len, tokens.values())) > FLUSH:
-                yield done()
-        yield done()
 
-    labelled = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
-    return labelled.mapInArrow(run, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+def hashes_of(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    return word_hashes(points.view(np.uint8), starts * 4, ends * 4, SEEDS)
 
 
-def gram_counts(words: DataFrame) -> DataFrame:
-    """lang, item (``size:gram``), n from word counts."""
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int) -> DataFrame:
+    """t, l of the labelled rows, or of about ``sample_rows`` of them; rows equal in id and text share their fate."""
+    labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    n = labelled.select(lang_col).count()
+    rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.lit(29), id_col, text_col).alias("h"))
+    if n > sample_rows:
+        rows = rows.where(F.pmod("h", F.lit(1 << 40)) < F.lit(int((1 << 40) * (sample_rows / n))))
+    return rows.select("t", "l")
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """lang, item, n, summed on the executors before and after the shuffle."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, list[dict[str, int]]] = defaultdict(lambda: [defaultdict(int) for _ in range(LONGEST + 1)])
-
-        def done() -> pa.RecordBatch:
-            langs, items, counts = [], [], []
-            for lang, sized in tables.items():
-                for size, grams in enumerate(sized):
-                    langs += [lang] * len(grams)
-                    items += [f"{size}:{g}" for g in grams]
-                    counts += grams.values()
-            tables.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(items, pa.string()), pa.array(counts, pa.int64())], ["lang", "item", "n"])
-
-        for b in batches:
-            for lang, word, n in zip(*(column(b, c).to_pylist() for c in ("lang", "item", "n"))):
-                w = f"^{word}$"
-                for size, grams in enumerate(tables[lang]):
-                    if size:
-                        for i in range(len(w) - size + 1):
-                            grams[w[i : i + size]] += n
-            if sum(len(g) for sized in tables.values() for g in sized) > 2 * FLUSH:
-                yield done()
-        yield done()
-
-    return words.mapInArrow(run, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
-
-
-def most_frequent(counts: DataFrame, kind: Column, most: int) -> pa.Table:
-    """Rows (lang, item, n), in all languages, of the most frequent items of each (lang, kind): as many as fit under ``most`` with all equals of the last."""
-    step = F.floor(F.log2("n") * 16).cast("int")
-    counts = counts.withColumns({"kind": kind, "step": step})
-    least: dict[tuple, int] = {}
-    held: Counter = Counter()
-    shut: set[tuple] = set()
-    for r in sorted(counts.groupBy("lang", "kind", "step").count().collect(), key=lambda r: -r.step):
-        key = (r.lang, r.kind)
-        if key in shut or held[key] + r["count"] > most:
-            shut.add(key)
-            continue
-        held[key] += r["count"]
-        least[key] = r.step
-    keep = F.lit(False)
-    for (lang, k), s in least.items():
-        keep = keep | ((F.col("lang") == lang) & (F.col("kind") == k) & (F.col("step") >= s))
-    items = counts.groupBy("item").agg(F.bool_or(keep).alias("keep"), F.collect_list(F.struct("lang", "n")).alias("each")).where("keep")
-    return items.select("item", F.inline("each")).select("lang", "item", "n").toArrow()
-
-
-class Table:
+        found: dict[str, Counter] = defaultdict(Counter)
+        for b in slices(batches, "t", SLICE):
+            cut = Cut(column(b, "t").to_pylist())
+            words, first = cut.words(), cut.first.tolist()
+            for lang, s, e in zip(column(b, "l").to_pylist(), first, first[1:]):
+                found[lang].update(words[s:e])
+        for lang, counted in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counted), pa.string()), pa.array(counted.keys(), pa.string()), pa.array(counted.values(), pa.int64())], ["lang", "item", "n"])
+
+    return rows.mapInArrow(run, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+
+
+def _logs(counts: np.ndarray) -> np.ndarray:
     """Log frequencies of items, a column for each language, with one half added to every count."""
+    return np.log((counts + 0.5) / (np.maximum(counts.sum(0), 1) + 0.5 * len(counts)))
 
-    def __init__(self, rows: pa.Table, langs: list[str], totals: dict[str, int]) -> None:
-        items = rows["item"].combine_chunks().dictionary_encode() if len(rows) else pa.array([], pa.string()).dictionary_encode()
-        self.index = {item: i for i, item in enumerate(items.dictionary.to_pylist())}
-        counts = np.full((len(self.index), len(langs)), 0.5)
-        at = {lang: i for i, lang in enumerate(langs)}
-        np.add.at(counts, (items.indices.to_numpy(), np.array([at[x] for x in rows["lang"].to_pylist()], np.int64)), rows["n"].to_numpy())
-        self.rows = np.log(counts / (np.array([max(totals[x], 1) for x in langs]) + 0.5 * len(self.index)))
 
-    def get(self, item: str) -> np.ndarray | None:
-        i = self.index.get(item)
-        return None if i is None else self.rows[i]
+def _marked(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(letters of words with marks at both ends, where each begins, with the end)."""
+    sizes = ends - starts + 2
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(int(at[-1]), np.uint32)
+    inner = np.ones(len(out), bool)
+    inner[at[:-1]] = inner[at[1:] - 1] = False
+    out[at[:-1]], out[at[1:] - 1] = BEGIN, END
+    out[inner] = points[ragged(starts, ends - starts)]
+    return out, at
 
 
 class Model:
-    def __init__(self, langs: list[str], words: Table, grams: list[Table]) -> None:
-        self.langs, self.words, self.grams = langs, words, grams
-
-    def of_word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        total, w, at = np.zeros(len(self.langs)), f"^{word}$", 0
-        while at < len(w):
-            for size in range(min(LONGEST, len(w) - at), 0, -1):
-                got = self.grams[size].get(w[at : at + size])
-                if got is not None:
-                    total += got
-                    at += size
-                    break
+    def __init__(self, langs: list[str], words: list[str], counts: np.ndarray) -> None:
+        """``counts``: words x languages."""
+        self.langs = langs
+        text = "\n".join(words)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        one, two = hashes_of(points, starts, starts + sizes)
+        order = np.argsort(one, kind="stable")
+        self.keys, self.again, self.words = one[order], two[order], _logs(counts)[order]
+        letters, at = _marked(points, starts, starts + sizes)
+        self.alphabet = np.unique(letters)
+        self.nodes: list[np.ndarray] = []  # of each length but the first: node of the first letters * alphabet + last letter
+        self.grams: list[np.ndarray] = []
+        owner = np.repeat(np.arange(len(words)), sizes + 2)
+        here = np.searchsorted(self.alphabet, letters)
+        node = here
+        for size in range(1, LONGEST + 1):
+            place = np.flatnonzero(np.arange(len(letters)) + size <= at[owner + 1])
+            if size > 1:
+                key = node[place] * len(self.alphabet) + here[place + size - 1]
+                known, back = np.unique(key, return_inverse=True)
+                self.nodes.append(known)
             else:
-                at += 1
+                known, back = self.alphabet, here
+            summed = np.stack([np.bincount(back, counts[owner[place], k], len(known)) for k in range(len(langs))], 1) if langs else np.zeros((len(known), 0))
+            self.grams.append(_logs(summed))
+            node = np.zeros(len(letters), np.int64)
+            node[place] = back
+
+    def of_unseen(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Scores of words by the longest known n-grams from left to right."""
+        letters, at = _marked(points, starts, ends)
+        total = np.zeros((len(starts), len(self.langs)))
+        if not len(self.alphabet):
+            return total
+        here = np.minimum(np.searchsorted(self.alphabet, letters), len(self.alphabet) - 1)
+        here[self.alphabet[here] != letters] = -1
+        longest = (here >= 0).astype(np.int64)
+        row = np.where(here >= 0, here, 0)  # in the table of the longest
+        end = np.repeat(at[1:], np.diff(at))
+        live, node = np.flatnonzero(here >= 0), here[here >= 0]
+        for size, known in enumerate(self.nodes, 2):
+            go = live + size <= end[live]
+            live, node = live[go], node[go]
+            last = here[live + size - 1]
+            key = node * len(self.alphabet) + last
+            spot = np.minimum(np.searchsorted(known, key), len(known) - 1) if len(known) else np.zeros(len(key), np.int64)
+            fits = (last >= 0) & (known[spot] == key) if len(known) else np.zeros(len(key), bool)
+            live, node = live[fits], spot[fits]
+            longest[live], row[live] = size, node
+        active, place = np.arange(len(starts)), at[:-1].copy()
+        while active.size:
+            size = longest[place]
+            for n in range(1, LONGEST + 1):
+                some = size == n
+                total[active[some]] += self.grams[n - 1][row[place[some]]]
+            place = place + np.maximum(size, 1)
+            more = place < at[active + 1]
+            active, place = active[more], place[more]
         return total
 
-
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 40_000, max_grams: int = 10_000) -> Model:
-    spark = docs.sparkSession
-    words, kept = store.save(spark, word_counts(docs, text_col, lang_col), "words")
-    totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(totals)
-    known = Table(most_frequent(words, F.lit("word"), max_words), langs, totals)
-    rows = most_frequent(gram_counts(words), F.substring("item", 1, 1), max_grams)
-    size = pc.utf8_slice_codeunits(rows["item"], 0, 1)
-    gram = rows.set_column(rows.schema.get_field_index("item"), "item", pc.utf8_slice_codeunits(rows["item"], 2))
-    grams = [Table(gram.filter(pc.equal(size, str(n))), langs, totals) for n in range(LONGEST + 1)]
-    store.drop(spark, kept)
-    return Model(langs, known, grams)
-
-
-class Scorer:
-    """Totals of texts through a bounded memo of tokens; results don't depend on it."""
-
-    def __init__(self, model: Model, limit: int = 300_000) -> None:
-        self.model, self.limit = model, limit
-        self.index: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(model.langs) + 1))  # totals by language and the number of words
-
-    def _add(self, token: str) -> int:
-        words = words_of(token)
-        at = len(self.index)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        row = self.rows[at]
-        row[:] = 0
-        for w in words:
-            row[:-1] += self.model.of_word(w)
-        row[-1] = len(words)
-        self.index[token] = at
-        return at
-
-    def _trim(self, used: list[int]) -> None:
-        keep = np.unique(used)
-        kept = set(keep.tolist())
-        self.index = {t: i for i, t in enumerate(t for t, at in self.index.items() if at in kept)}
-        self.rows = np.concatenate([self.rows[keep], np.zeros((max(1024, len(keep)), self.rows.shape[1]))])
-
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        get, add = self.index.get, self._add
-        at: list[int] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                tokens = t.split()
-                sizes[i] = len(tokens)
-                at += [x if (x := get(w)) is not None else add(w) for w in tokens]
-        n = len(self.model.langs)
-        if not n:
+        """(language, score) of each text."""
+        cut = Cut(texts)
+        n_words = np.diff(cut.first)
+        if not self.langs or not len(cut.starts):
             return ["und"] * len(texts), np.zeros(len(texts))
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        where = np.array(at, np.int64)
-        totals = np.stack([np.bincount(owner, self.rows[where, k], len(texts)) for k in range(n + 1)], 1)
-        if len(self.index) > self.limit:
-            self._trim(at)
-        words = totals[:, -1]
-        mean = totals[:, :-1] / np.maximum(words, 1)[:, None] * np.minimum(words, EVIDENCE)[:, None]
+        one, two = hashes_of(cut.points, cut.starts, cut.ends)
+        _, pick, back = np.unique(one, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, one[pick]), len(self.keys) - 1)
+        known = (self.keys[at] == one[pick]) & (self.again[at] == two[pick])
+        each = np.empty((len(pick), len(self.langs)))
+        each[known] = self.words[at[known]]
+        new = pick[~known]
+        each[~known] = self.of_unseen(cut.points, cut.starts[new], cut.ends[new])
+        has = np.flatnonzero(n_words)
+        totals = np.add.reduceat(each[back], cut.first[has], axis=0)
+        n = n_words[has][:, None]
+        mean = totals / n * np.minimum(n, EVIDENCE)
         share = np.exp(mean - mean.max(1, keepdims=True))
         share /= share.sum(1, keepdims=True)
         best = share.argmax(1)
-        has = words > 0
-        return [self.model.langs[b] if h else "und" for b, h in zip(best, has)], np.where(has, share[np.arange(len(texts)), best], 0.0)
+        langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+        for i, k in zip(has.tolist(), best.tolist()):
+            langs[i] = self.langs[k]
+        scores[has] = share[np.arange(len(has)), best]
+        return langs, scores
+
+
+def model_of(rows: pa.Table) -> Model:
+    """The model from counts (lang, item, n); the order of rows doesn't matter."""
+    langs = sorted(set(rows["lang"].to_pylist()))
+    words = sorted(set(rows["item"].to_pylist()))
+    at, place = {x: i for i, x in enumerate(langs)}, {x: i for i, x in enumerate(words)}
+    counts = np.zeros((len(words), len(langs)))
+    counts[[place[x] for x in rows["item"].to_pylist()], [at[x] for x in rows["lang"].to_pylist()]] = rows["n"].to_numpy()
+    return Model(langs, words, counts)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 8192) -> Model:
+    return model_of(word_counts(sample(docs, id_col, text_col, lang_col, sample_rows)).toArrow())
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,9 +222,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(sent.value)
-        for b in slices(batches, "t"):
-            langs, scores = own.score(column(b, "t").to_pylist())
+        for b in slices(batches, "t", SLICE):
+            langs, scores = sent.value.score(column(b, "t").to_pylist())
             yield pa.RecordBatch.from_arrays([column(b, "k"), pa.array(langs, pa.string()), pa.array(scores)], ["k", "lang_pred", "score"])
 
     out = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, f"k {kind}, lang_pred string, score double")
@@ -246,9 +236,8 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(sent.value)
-        for b in slices(batches, text_col):
-            langs, scores = own.score(column(b, text_col).to_pylist())
+        for b in slices(batches, text_col, SLICE):
+            langs, scores = sent.value.score(column(b, text_col).to_pylist())
             yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,10 @@
+import functools
 import random
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,16 +149,78 @@ def test_language_id_cases(spark):
     assert sorted(r.doc_id for r in langid.keep_identified(docs, model).collect()) == [1, 2, 3, 7, 8]
     nothing = langid.train(docs.limit(0))
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
-    scorer = langid.Scorer(model, limit=2)
-    first = scorer.score(["the cat", "der hund die katze und", "the cat"])
-    again = scorer.score(["the cat", "der hund die katze und", "the cat"])
-    assert first[0] == again[0] == ["en", "de", "en"] and (first[1] == again[1]).all()
-
-
-def test_language_model_keeps_an_items_counts_in_all_languages(spark):
-    rows = [("a", "common " * 10), ("b", "common " + "other " * 10)]
-    model = langid.train(spark.createDataFrame(rows, "lang string, text string"), max_words=1, max_grams=1)
-    a, b = np.exp(model.words.get("common"))
-    assert abs(a - 10.5 / 11) < 1e-9 and abs(b - 1.5 / 12) < 1e-9
-    assert model.words.get("other") is not None and len(model.words.index) == 2
-    assert np.allclose(np.exp(model.grams[1].get("o")), [20.5 / 10.5, 12.5 / 11.5])
+
+
+def brute_language(train, texts):
+    """(language, score) of each text, an item at a time."""
+    def words(t):
+        return "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+
+    counts = defaultdict(Counter)
+    for text, lang in train:
+        counts[lang].update(words(text))
+    langs = sorted(x for x in counts if counts[x])
+    tables = [{x: counts[x] for x in langs}]
+    for size in range(1, langid.LONGEST + 1):
+        grams = {x: Counter() for x in langs}
+        for x in langs:
+            for w, n in counts[x].items():
+                w = f"^{w}$"
+                for i in range(len(w) - size + 1):
+                    grams[x][w[i : i + size]] += n
+        tables.append(grams)
+    items = [set().union(*(t[x] for x in langs)) for t in tables]
+
+    def log(size, item):
+        return np.array([np.log((tables[size][x][item] + 0.5) / (tables[size][x].total() + 0.5 * len(items[size]))) for x in langs])
+
+    def of(w):
+        if w in items[0]:
+            return log(0, w)
+        total, w, at = np.zeros(len(langs)), f"^{w}$", 0
+        while at < len(w):
+            size = next((n for n in range(min(langid.LONGEST, len(w) - at), 0, -1) if w[at : at + n] in items[n]), 0)
+            if size:
+                total = total + log(size, w[at : at + size])
+            at += size or 1
+        return total
+
+    of = functools.cache(of)
+    out = []
+    for t in texts:
+        ws = words(t)
+        if not ws or not langs:
+            out.append(("und", 0.0))
+            continue
+        mean = sum(map(of, ws)) / len(ws) * min(len(ws), langid.EVIDENCE)
+        share = np.exp(mean - mean.max())
+        share /= share.sum()
+        out.append((langs[int(share.argmax())], float(share.max())))
+    return out
+
+
+def test_op7_query_against_brute_force(spark):
+    docs = [tuple(r) for r in queries.table(spark, SF2, "documents").select("doc_id", "text", "lang").collect()]
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in docs}
+    expected = brute_language([(t, x) for i, t, x in docs if not held[i] and t is not None and x is not None], [t for _, t, _ in docs])
+    got = {r.doc_id: r for r in queries.op7_language_id(spark, SF2).collect()}
+    for (i, _, _), (lang, score) in zip(docs, expected):
+        assert (got[i].held_out, got[i].lang_pred) == (held[i], lang) and abs(got[i].score - score) < 1e-9
+
+
+def test_language_id_of_odd_texts():
+    train = [("the cat İstanbul ΣΟΦΟΣ naïve", "en"), ("der hund straße", "de"), ("le chat 漢字", "fr")]
+    texts = ["thecat", "hunde straßen", "漢字漢 x", "ǅungla", "²³", "a_b-c9d", "σοφος", "𝒳 x", "q" * 3000, "the\ncat", None, "", " ", "ﬁne", "é é"]
+    counted = Counter((lang, w) for t, lang in train for w in langid.Cut([t]).words())
+    rows = pa.table({"lang": [k[0] for k in counted], "item": [k[1] for k in counted], "n": list(counted.values())})
+    got = langid.model_of(rows).score(texts)
+    expected = brute_language(train, texts)
+    assert got[0] == [x for x, _ in expected] and np.allclose(got[1], [s for _, s in expected])
+    assert langid.model_of(rows.slice(0, 0)).score(texts)[0] == ["und"] * len(texts)
+
+
+def test_the_sample_is_bounded_and_the_rest_is_judged(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('word', id % 7, ' same') AS text", "if(id % 2 = 0, 'a', 'b') AS lang")
+    rows = langid.sample(docs, "doc_id", "text", "lang", 500).count()
+    assert 400 < rows < 600 and langid.sample(docs, "doc_id", "text", "lang", 4000).count() == 4000
+    assert langid.predict(docs, langid.train(docs, sample_rows=500)).count() == 4000
