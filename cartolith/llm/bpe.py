@@ -5,12 +5,15 @@ token encodes to itself and no merge would have crossed any of its boundaries, w
 of a batch at once. Only words that fail are merged step by step. Decoding gathers token bytes through a table.
 
 Defined cases: a null text is encoded as the empty text (no ids). Repeated rows are encoded each on its own. Texts of
-any length are encoded whole. Only the named columns are read, so others, whatever their names, do no harm.
+any length are encoded whole, single words of megabytes included, in time that grows little faster than they do. Ties: of
+equal pairs the leftmost merges first. An empty table gives an empty table. Only the named columns are read, so others, whatever their
+names, do no harm; a null id stays null.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -29,8 +32,10 @@ from cartolith.llm.wordpool import WordPool, flattened, per_document
 # Fixed value: the split before merging that byte-level vocabularies of this family are built with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NEVER = np.int64(1) << 40
-#: Distinct pieces that a worker remembers; a bound on memory, without effect on results.
-MEMO = 200_000
+#: Bytes of distinct pieces that a worker remembers, at PIECE and more each; a bound on memory, without effect on results.
+MEMO, PIECE = 24 << 20, 120
+#: Words of more bytes are merged by lists of pairs for each rank, of which SPAN ranks are at hand at a time.
+LONG, SPAN = 128, 512
 
 
 def byte_letters() -> dict[str, int]:
@@ -106,7 +111,10 @@ class ByteBpe:
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         self.pair_ranks = np.fromiter(first.values(), np.int64, len(first))[order]
+        self.key_of_rank = np.full(len(merges), -1, np.int64)
+        self.key_of_rank[self.pair_ranks] = self.pair_keys
         self.known: dict[str, list[int]] = {}
+        self.known_size = 0
         self.whole = self._reachable()
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(SPLIT)
@@ -175,7 +183,89 @@ class ByteBpe:
                 raise ValueError(f"the vocabulary has no byte {word[at]}")
         return out
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """All pairs of the least rank at once, from left to right; only what stands beside them is ranked anew.
+
+        Were a new pair to rank before the one that made it, the order would matter: such words merge one pair at a time.
+        """
+        ids = self.single_table[np.frombuffer(word, np.uint8)]
+        n = len(ids)
+        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        at = np.arange(n - 1)
+        rank = self._crossing(ids[:-1], ids[1:])
+        while True:
+            wanted = rank < NEVER
+            at, rank = at[wanted], rank[wanted]
+            if not at.size:
+                return ids[ids >= 0].tolist()
+            end = int(rank.min()) + SPAN
+            near = rank < end
+            later = [(at[~near], rank[~near])]
+            order = np.argsort(rank[near], kind="stable")
+            ranks, heads = np.unique(rank[near][order], return_index=True)
+            lists = dict(zip(ranks.tolist(), ([x] for x in np.split(at[near][order], heads[1:]))))
+            heap = ranks.tolist()
+            while heap:
+                r = heapq.heappop(heap)
+                x, y = divmod(int(self.key_of_rank[r]), self.size)
+                at = np.unique(np.concatenate(lists.pop(r)))
+                at = at[(ids[at] == x) & (after[at] < n)]
+                at = at[ids[after[at]] == y]
+                if x == y and at.size > 1:  # of a run of overlapping pairs, every second one
+                    head = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                    run = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+                    at = at[run % 2 == 0]
+                if not at.size:
+                    continue
+                gone = after[at]
+                ids[at], ids[gone] = self.made[r], -1
+                after[at] = after[gone]
+                before[after[at]] = at
+                beside = np.concatenate([before[at], at])
+                beside = beside[beside >= 0]
+                beside = beside[after[beside] < n]
+                new = self._crossing(ids[beside], ids[after[beside]])
+                if (new < r).any():
+                    return self._merge_one_by_one(word)
+                near = new < end
+                later.append((beside[~near], new[~near]))
+                for place, k in zip(beside[near].tolist(), new[near].tolist()):
+                    if k not in lists:
+                        lists[k] = []
+                        heapq.heappush(heap, k)
+                    lists[k].append(np.array([place]))
+            at, rank = (np.concatenate(z) for z in zip(*later))
+
+    def _merge_one_by_one(self, word: bytes) -> list[int]:
+        """The pair of least rank, the leftmost of equals, by a heap."""
+        ids = self.single_table[np.frombuffer(word, np.uint8)].tolist()
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        ranks = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist()))
+        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(ids[i] * self.size + ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or ranks.get(ids[i] * self.size + ids[j]) != r:
+                continue
+            ids[i], ids[j] = int(self.made[r]), -1
+            after[i] = after[j]
+            before[after[i]] = i
+            for p in (before[i], i):
+                if p >= 0 and after[p] < n and (r := ranks.get(ids[p] * self.size + ids[after[p]])) is not None:
+                    heapq.heappush(heap, (r, p))
+        return [x for x in ids if x >= 0]
+
     def merge_exactly(self, words: list[bytes]) -> list[list[int]]:
+        """The BPE encoding of words that failed: long ones by themselves, the others together."""
+        out: list[list[int] | None] = [self.merge_long(w) if len(w) > LONG else None for w in words]
+        short = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(short, self._merge_together([words[i] for i in short])):
+            out[i] = x
+        return out
+
+    def _merge_together(self, words: list[bytes]) -> list[list[int]]:
         """Step by step: in each round the pair of least rank, the leftmost of equals, merges in every word that has one."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ids = self.single_table[np.frombuffer(b"".join(words), np.uint8)]
@@ -222,9 +312,11 @@ class ByteBpe:
         pieces = [self.pieces.findall(c) for c in chunks]
         ids = self.known
         new = [p for p in dict.fromkeys(p for ps in pieces for p in ps) if p not in ids]
-        if len(ids) + len(new) > MEMO:
+        if self.known_size > MEMO:
             ids.clear()
             new = list(dict.fromkeys(p for ps in pieces for p in ps))
+            self.known_size = 0
+        self.known_size += PIECE * len(new) + 9 * sum(map(len, new))
         ids.update(zip(new, self.encode_pieces([p.encode() for p in new])))
         return [ids[ps[0]] if len(ps) == 1 else [i for p in ps for i in ids[p]] for ps in pieces]
 
@@ -311,7 +403,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """Adds the text of the ids. Bytes that aren't UTF-8 become U+FFFD, as in any byte-level decoder."""
+    """Adds the text of the ids, in place of a column of that name. Bytes that aren't UTF-8 become U+FFFD, as in any byte-level decoder."""
+    encoded = encoded.drop(text_col)
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

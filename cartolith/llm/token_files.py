@@ -57,7 +57,7 @@ class WordEncoder:
         self.lib = Tokenizer.from_file(path)
         self.model = self.lib.model
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.pieces = WordPool(self._tokenize, 200_000)
+        self.pieces = WordPool(self._tokenize, 22 << 20)
         self.pool = WordPool(self._encode)
 
     def _tokenize(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:

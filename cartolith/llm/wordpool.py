@@ -10,18 +10,22 @@ import numpy as np
 from cartolith.llm.arrowtext import ragged
 
 
+WORD = 110
+
+
 class WordPool:
-    """A bounded memo of word -> ids. Overflow keeps the words of the last batch; results never depend on it."""
+    """A bounded memo of word -> ids. Overflow keeps the words of the last batch, or none if these are too many, too; results never depend on it."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000) -> None:
-        """``encode``: distinct words to (ids of all words in a row, number of ids of each)."""
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 36 << 20) -> None:
+        """``encode``: distinct words to (ids of all words in a row, number of ids of each). ``limit``: bytes, at ``WORD`` and more for each word."""
+        self.encode, self.limit, self.size = encode, limit, 0
         self.index: dict[str, int] = {}
         self.words: list[str] = []
         self.starts, self.lengths, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def _add(self, words: list[str]) -> None:
         ids, lengths = self.encode(words)
+        self.size += WORD * len(words) + sum(map(len, words)) + 4 * len(ids)
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.index.update(zip(words, range(len(self.words), len(self.words) + len(words))))
         self.words += words
@@ -29,11 +33,14 @@ class WordPool:
 
     def _trim(self, used: np.ndarray) -> None:
         keep = np.unique(used)
+        if WORD * len(keep) + sum(len(self.words[i]) for i in keep) > self.limit:
+            keep = keep[:0]
         self.words = [self.words[i] for i in keep]
         self.index = dict(zip(self.words, range(len(keep))))
         self.ids = self.ids[ragged(self.starts[keep], self.lengths[keep])]
         self.lengths = self.lengths[keep]
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.size = WORD * len(keep) + sum(map(len, self.words)) + 4 * len(self.ids)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each word)."""
@@ -44,7 +51,7 @@ class WordPool:
             at[missing] = np.fromiter((self.index[words[i]] for i in missing), np.int64, missing.size)
         lengths = self.lengths[at]
         ids = self.ids[ragged(self.starts[at], lengths)]
-        if len(self.words) > self.limit:
+        if self.size > self.limit:
             self._trim(at)
         return ids, lengths
 

@@ -15,7 +15,7 @@ def test_pipeline(spark):
     docs = queries.table(spark, SF, "documents")
     model = langid.train(docs.where(~langid.held_out(docs.doc_id)))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    langs, scores = langid.Scorer(model).score([t for _, t in rows])
+    langs, scores = model.score([t for _, t in rows])
     rows = [r for r, lang, s in zip(rows, langs, scores) if lang != "und" and s >= 0.5]
     lines = brute_lines(rows, 10)
     rows = [(k, None if t is None else lines[k][1]) for k, t in rows]

@@ -58,6 +58,53 @@ def test_pair_check_and_exact_merging_agree(byte):
     assert own.merge_exactly([]) == []
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "a", "é日ñ"])
+def test_long_words(byte, letters):
+    own, _, lib = byte
+    rnd = random.Random(len(letters))
+    word = "".join(rnd.choice(letters) for _ in range(60_000))
+    expected = lib.encode(word, add_special_tokens=False).ids
+    assert own.encode([word])[0].tolist() == expected
+    assert own.bpe.merge_long(word.encode()) == own.bpe.merge_exactly([word.encode()])[0] == expected
+    part = word[:300].encode()
+    assert own.bpe._merge_one_by_one(part) == own.bpe._merge_together([part])[0] == own.bpe.merge_long(part)
+
+
+def test_a_word_of_a_megabyte_takes_no_more_than_a_few_times_the_librarys_time(byte):
+    import time
+
+    own, _, lib = byte
+    rnd = random.Random(5)
+    word = "".join(rnd.choice("etaoinshrdlu") for _ in range(1 << 20))
+    began = time.process_time()
+    expected = lib.encode(word, add_special_tokens=False).ids
+    between = time.process_time()
+    assert own.bpe.encode_pieces([word.encode()]) == [expected]
+    assert time.process_time() - between < 20 * max(between - began, 0.5)
+
+
+def test_a_new_pair_that_ranks_first_goes_one_by_one(tmp_path):
+    import json
+
+    letters = {b: c for c, b in bpe.byte_letters().items()}
+    vocab = {c: i for i, c in enumerate(letters.values())}
+    for token in ("bc", "abc", "ab", "abcd"):
+        vocab[token] = len(vocab)
+    merges = [["a", "b"], ["abc", "d"], ["ab", "c"]]
+    spec = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "vocab": vocab, "merges": merges}}
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec))
+    own, lib = bpe.ByteBpe(str(path)), Tokenizer.from_file(str(path))
+    for word in ("abcd" * 50, "abcabcd", "abcdd", "dabc"):
+        assert own.merge_long(word.encode()) == lib.encode(word).ids
+
+
+def test_decode_replaces_a_column_of_its_name(spark):
+    docs = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
+    got = bpe.decode(bpe.encode(docs, BYTE).withColumn("decoded", F.lit(7)), BYTE).collect()
+    assert {(r.doc_id, r.decoded) for r in got} == {(1, "a b"), (None, "c")}
+
+
 def test_small_memory_changes_nothing(byte):
     own = bpe.DocumentEncoder(BYTE)
     own.pool.limit = 3
@@ -140,10 +187,10 @@ def test_query_is_the_library(spark):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
         assert got[k] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
-    got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in queries.op10_bpe(spark, SF).collect()}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op10_bpe(spark, SF).collect()}
     for k, t in rows:
         ids = byte.encode(t or "", add_special_tokens=False).ids
-        assert got[k] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert got[k] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(byte.decode(ids, skip_special_tokens=False).encode()).hexdigest())
 
 
 def test_counts_for_every_limit(spark):
