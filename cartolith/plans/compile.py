@@ -12,8 +12,9 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartolith.functions.geo import haversine
 from cartolith.plans.program import Compare, Condition, Literal, Near, Node, Path, Search, parse_or_search
@@ -71,6 +72,51 @@ class _Operand:
     constant: object = None
 
 
+class Bag:
+    """Plain columns in place of a property bag: paths of one step to them become typed comparisons, which reach a Parquet scan."""
+
+    def __init__(self, df: DataFrame, columns: dict[str, str]) -> None:
+        self.columns = {name: (F.col(c), df.schema[c].dataType) for name, c in columns.items()}
+        self.variant = F.to_variant_object(F.struct(*(F.col(c).alias(name) for name, c in columns.items())))
+
+    def at(self, path: Path) -> _Operand:
+        first = path.steps[0]
+        if first not in self.columns:
+            return _Value(F.lit(None).cast("variant"))
+        column, kind = self.columns[first]
+        if len(path.steps) == 1 and isinstance(kind, (T.IntegralType, T.FloatType, T.DoubleType, T.StringType, T.BooleanType)):
+            return _Field(column, kind)
+        return _Value(step_into(self.variant, path))
+
+
+class _Field(_Operand):
+    """A column of a plain type."""
+
+    def __init__(self, column: Column, kind: T.DataType) -> None:
+        self.present = column.isNotNull()
+        self.truth = self.present
+        self.column = column
+        if isinstance(kind, T.StringType):
+            self.string = column
+        elif isinstance(kind, T.BooleanType):
+            self.boolean, self.truth = column, self.present & column
+        else:
+            self.double = column.cast("double")
+            self.whole = isinstance(kind, T.IntegralType)
+            if self.whole:
+                self.decimal = column.cast("decimal(38,18)")
+
+    def against(self, op: str, value: int | float | str) -> Column | None:
+        """The comparison with a constant in the column's own type; null for null, which the whole program is false for anyway."""
+        if isinstance(value, str) or self.string is not None or self.boolean is not None:
+            return _apply(op, self.column, F.lit(value)) if isinstance(value, str) and self.string is not None else None
+        if self.whole and float(value).is_integer() and -(1 << 63) <= value < 1 << 63:
+            return _apply(op, self.column, F.lit(int(value)))
+        if not self.whole and float(value) == value and value == value:
+            return _apply(op, self.column, F.lit(float(value)))
+        return None
+
+
 class _Value(_Operand):
     def __init__(self, v: Column) -> None:
         kind = kind_of(v)
@@ -93,7 +139,7 @@ class _Constant(_Operand):
         else:
             self.double = F.lit(float(value))
             if isinstance(value, int):
-                self.decimal = F.lit(value).cast("decimal(38,18)")
+                self.decimal = F.lit(str(value)).cast("decimal(38,18)")
             elif value == value and abs(value) < 1e18:
                 self.decimal = F.lit(repr(value)).cast("decimal(38,18)")
 
@@ -109,9 +155,17 @@ def _apply(op: str, a: Column, b: Column) -> Column:
 
 
 def _compare(op: str, a: _Operand, b: _Operand) -> Column:
-    """Of equal kinds only; numbers of all types are one kind. Never null."""
+    """Of equal kinds only; numbers of all types are one kind. Null only for a column that is null itself."""
     if op == "!=":
         return ~_compare("==", a, b)
+    if isinstance(a, _Field) and isinstance(b, _Constant):
+        plain = a.against(op, b.constant)
+    elif isinstance(a, _Constant) and isinstance(b, _Field):
+        plain = b.against({"==": "==", ">": "<", ">=": "<=", "<": ">", "<=": ">="}[op], a.constant)
+    else:
+        plain = None
+    if plain is not None:
+        return plain
     tried: list[Column] = []
     if a.decimal is not None and b.decimal is not None:
         tried.append(_apply(op, a.decimal, b.decimal))
@@ -155,16 +209,19 @@ def _matches(a: _Operand, b: _Operand) -> tuple[Column, Column]:
     return applies, F.coalesce(F.regexp_like(a.string, pattern), F.lit(False))
 
 
-def search_column(text: str, properties: Column) -> Column:
+def search_column(text: str, properties: Column | Bag) -> Column:
     """Whether a top-level string property holds the text, in any case. Empty text: no match."""
     if not text:
         return F.lit(False)
+    if isinstance(properties, Bag):
+        held = [F.coalesce(F.contains(F.lower(c), F.lower(F.lit(text))), F.lit(False)) for c, kind in properties.columns.values() if isinstance(kind, T.StringType)]
+        return reduce(lambda a, b: a | b, held, F.lit(False))
     values = F.map_values(properties.try_cast("map<string,variant>"))
     wanted = F.lower(F.lit(text))
     return F.coalesce(F.exists(values, lambda v: (kind_of(v) == "STRING") & F.contains(F.lower(F.try_variant_get(v, "$", "string")), wanted)), F.lit(False))
 
 
-def compile_program(program: Sequence[Node], properties: Column | str = "properties", centroid: Column | str | None = None) -> Column:
+def compile_program(program: Sequence[Node], properties: Column | Bag | str = "properties", centroid: Column | str | None = None) -> Column:
     """``centroid``: struct of x (longitude) and y (latitude); without it, ``near`` is false."""
     bag = F.col(properties) if isinstance(properties, str) else properties
     centre = F.col(centroid) if isinstance(centroid, str) else centroid
@@ -173,7 +230,10 @@ def compile_program(program: Sequence[Node], properties: Column | str = "propert
     needed: list[Column] = []
     for node in program:
         if isinstance(node, Path):
-            stack.append(_Value(step_into(bag, node)) if node.steps else _Truth(F.lit(True)))
+            if not node.steps:
+                stack.append(_Truth(F.lit(True)))
+            else:
+                stack.append(bag.at(node) if isinstance(bag, Bag) else _Value(step_into(bag, node)))
         elif isinstance(node, Literal):
             stack.append(_Constant(node.value))
         elif isinstance(node, Search):
@@ -199,12 +259,12 @@ def compile_program(program: Sequence[Node], properties: Column | str = "propert
                 needed.append(applies)
                 stack.append(_Truth(found))
             else:
-                needed += [x.present for x in (a, b) if isinstance(x, _Value)]
+                needed += [x.present for x in (a, b) if isinstance(x, (_Value, _Field))]
                 stack.append(_Truth(_compare(node.op, a, b)))
     if len(stack) != 1:
         return false
     return _all([*needed, stack[0].truth])
 
 
-def predicate(text: str, properties: Column | str = "properties", centroid: Column | str | None = None, strict: bool = False) -> Column:
+def predicate(text: str, properties: Column | Bag | str = "properties", centroid: Column | str | None = None, strict: bool = False) -> Column:
     return compile_program(parse_or_search(text, strict), properties, centroid)
