@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cartolith import schema
 from cartolith.operators import profile, restructure, select
 from cartolith.sources import geojson, mvt
-from cartolith.sources.tiles import ExportOptions
+from cartolith.sources.tiles import ExportOptions, unzipped
 
 POINT = re.compile(r"\s*(-?[0-9.]+),(-?[0-9.]+),([0-9.]+)\s*")
 
@@ -90,10 +90,17 @@ def _resolved(path: str) -> str:
 
 def _read(spark: SparkSession, args: argparse.Namespace, paths: list[str]) -> DataFrame:
     prop = None if getattr(args, "disable_input_layer_property", False) else getattr(args, "property_name", schema.LAYER_PROPERTY)
+    if args.verbose:
+        _report(geojson.unreadable(spark, [_resolved(p) for p in paths], 4326, _tile(args, paths)))
     df = geojson.read_auto(spark, [_resolved(p) for p in paths], 4326, _tile(args, paths), layer_property=prop)
     return restructure.choose_layers(df, getattr(args, "layer", []), getattr(args, "drop_layer", []))
 
 
+def _report(problems: DataFrame) -> None:
+    for r in problems.toLocalIterator():
+        print(f"{r.source}: {r.problem}", file=sys.stderr)
+
+
 def _put(data: bytes, args: argparse.Namespace, append: bool = False) -> None:
     if not getattr(args, "output", None):
         sys.stdout.write(data.decode())
@@ -124,6 +131,8 @@ def _document(df: DataFrame, args: argparse.Namespace, pretty: bool) -> bytes:
 def _one_tile(df: DataFrame, at: tuple[int, int, int], options: ExportOptions) -> bytes:
     placed = df.withColumns({n: F.lit(v) for n, v in zip("zxy", at)})
     rows = mvt.encode(placed, options).collect()  # one tile: one row
+    for fid in rows[0].left_out if rows else []:
+        print(f"{fid}: steps beyond 32 bits, left out", file=sys.stderr)
     return bytes(rows[0].data) if rows else b""
 
 
@@ -156,7 +165,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> None:
         existing = args.append and args.output and os.path.exists(args.output)
         first = args.output if existing else paths[0]
         with open(first, "rb") as f:
-            head = f.read(64).lstrip()[:1]
+            head = unzipped(f.read())[:512].lstrip()[:1]
         kind = args.output_format if args.output_format != "auto" else "geojson" if head == b"{" else "mvt"
         if existing and (kind == "geojson") != (head == b"{") and not args.force_overwrite:
             raise SystemExit("the output has another format; --force-overwrite changes it")
@@ -172,6 +181,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> None:
         at = _tile(args, [*args.paths, args.output])
         if at is None:
             raise SystemExit("import needs a tile: -x, -y and -z, or a path that names it")
+        if args.verbose:
+            _report(geojson.unreadable(spark, [_resolved(p) for p in args.paths], tile=at))
         df = geojson.read(spark, [_resolved(p) for p in args.paths], layer_property=prop, layer_name=args.layer_name)
         if args.append and os.path.exists(args.output):
             df = mvt.read(spark, _resolved(args.output), tile=at).unionByName(df)

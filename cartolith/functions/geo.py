@@ -13,6 +13,7 @@ WORLD = 2 * HALF
 EARTH = 6371008.8  # mean radius, for distances
 EXTENT = 4096
 TILE_PIXELS = 256
+MOST_LAT = 85.0511287798066  # where the square of the projection ends
 
 
 def col(x: Column | str | float | int) -> Column:
@@ -131,9 +132,25 @@ def minimal_tile(xmin: float, ymin: float, xmax: float, ymax: float, max_zoom: i
     return 0, 0, 0
 
 
+def least_tile(xmin: Column, ymin: Column, xmax: Column, ymax: Column, max_zoom: int = 14) -> Column:
+    """The same as a column: struct z, x, y."""
+
+    def at(lon: Column, lat: Column, z: Column) -> tuple[Column, Column]:
+        side = F.pow(F.lit(2.0), z).cast("int")
+        lat = F.greatest(F.least(lat, F.lit(MOST_LAT)), F.lit(-MOST_LAT))
+        return tuple(F.greatest(F.least(v, side - 1), F.lit(0)) for v in (tile_x(lon, z), tile_y(lat, z)))
+
+    def tile(z: Column) -> Column:
+        (x, y), (right, low) = at(xmin, ymax, z), at(xmax, ymin, z)
+        return F.when((x == right) & (y == low), F.struct(z.alias("z"), x.alias("x"), y.alias("y")))
+
+    zooms = F.array(*map(F.lit, range(max_zoom, -1, -1)))
+    return F.get(F.array_compact(F.transform(zooms, tile)), F.lit(0))
+
+
 def tile_at(lon: float, lat: float, z: int) -> tuple[int, int]:
     n = 1 << z
-    lat = max(min(lat, 85.0511287798066), -85.0511287798066)
+    lat = max(min(lat, MOST_LAT), -MOST_LAT)
     x = math.floor((lon + 180) / 360 * n)
     y = math.floor((1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * n)
     return min(max(x, 0), n - 1), min(max(y, 0), n - 1)

@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolith.functions import geo, shapes
+from cartolith.functions import geo, measures
 from cartolith.plans.compile import compile_program
 from cartolith.plans.program import Near, Node, parse_or_search
-from cartolith.schema import GEOMETRY_TYPES
-from cartolith.sources import tiles
 
 
 def with_centroid(features: DataFrame, name: str = "centroid") -> DataFrame:
-    """Struct x, y in degrees. Points are done on the JVM; other shapes in one Arrow pass."""
-
-    @F.pandas_udf("struct<x:double,y:double>")
-    def shaped(kind, parts):
-        import pandas as pd
-
-        out = [shapes.centroid(k, tiles.from_parts([[list(r) for r in p] for p in ps])) if k in GEOMETRY_TYPES and ps is not None else None for k, ps in zip(kind, parts)]
-        return pd.DataFrame([c or (None, None) for c in out], columns=["x", "y"], dtype="float64")
-
-    first = F.col("parts")[0][0][0]
-    own = F.when(F.col("geom_type") == "Point", F.struct(first["x"].alias("x"), first["y"].alias("y"))).otherwise(shaped("geom_type", "parts"))
+    """Struct x, y in degrees, on the JVM."""
+    own = measures.centroid(F.col("geom_type"), F.col("parts"))
     c = F.when(F.col("srid") == 4326, own).when(F.col("srid") == 3857, F.struct(geo.lon_of(own["x"]).alias("x"), geo.lat_of(own["y"]).alias("y")))
     return features.withColumn(name, F.when(c["x"].isNotNull(), c))
 
@@ -47,16 +38,8 @@ def overlaps(box: tuple[float, float, float, float]) -> Column:
 
 
 def _exact(box: Column) -> Column:
-    """Geometry against box: points are settled by their own box on the JVM."""
-
-    @F.pandas_udf("boolean")
-    def meets(kind, parts, frame):
-        import pandas as pd
-
-        boxes = frame[["xmin", "ymin", "xmax", "ymax"]].itertuples(index=False)
-        return pd.Series([shapes.meets_box(k, tiles.from_parts([[list(r) for r in p] for p in ps]), tuple(b)) for k, ps, b in zip(kind, parts, boxes)], dtype="bool")
-
-    return F.when(F.col("geom_type") == "Point", F.lit(True)).otherwise(meets("geom_type", "parts", box))
+    """Geometry against box, on the JVM; points are settled by their own box."""
+    return (F.col("geom_type") == "Point") | measures.meets_box(F.col("geom_type"), F.col("parts"), box)
 
 
 def in_box(features: DataFrame, box: tuple[float, float, float, float], layer: str | None = None, keep: Column | None = None) -> DataFrame:
@@ -72,16 +55,27 @@ def around(features: DataFrame, x: float, y: float, tolerance: float, srid: int
     return in_box(features.where(F.col("srid") == srid), geo.point_box(x, y, tolerance, srid), layer, keep)
 
 
-def cells(box: Column, size: float) -> Column:
+LEVELS = 40
+
+
+def cells(box: Column, size: Column | float) -> Column:
     """Grid cells that a box touches, as an array of structs."""
     span = [F.sequence(F.floor(box[f"{a}min"] / size).cast("long"), F.floor(box[f"{a}max"] / size).cast("long")) for a in "xy"]
     return F.flatten(F.transform(span[0], lambda i: F.transform(span[1], lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
+def level_of(box: Column, size: float) -> Column:
+    """The least level whose cells, ``size`` wide at level 0 and doubled from level to level, are as large as the box."""
+    side = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
+    return F.least(F.greatest(F.ceil(F.log2(side / size)).cast("int"), F.lit(0)), F.lit(LEVELS))
+
+
 def around_many(features: DataFrame, points: DataFrame, tolerance: float, srid: int = 4326, include_duplicates: bool = True, keep: Column | None = None, cell: float | None = None) -> DataFrame:
     """point_idx, layer, fid_text of features near points (point_idx, px, py): an equi-join on grid cells, then boxes, then
-    shapes. A cell is four tolerances wide, so a point is in four cells at most; a pair found in several counts once, in
-    the cell of the corner where the two boxes' overlap begins. Cells with very many rows are split by AQE.
+    shapes. The least cells are four tolerances wide and double from level to level. A feature is in the cells of the level of its own
+    size, four at most, and a point's square in those of every level that the extent of the projection has, so neither a large feature nor
+    a small tolerance multiplies rows. A pair found in several cells counts once, in the cell of the corner where the two
+    boxes' overlap begins. Cells with very many rows are split by AQE.
 
     Without duplicates each feature is reported only at its first point; features are told apart by layer and id."""
     t = abs(tolerance)
@@ -93,11 +87,22 @@ def around_many(features: DataFrame, points: DataFrame, tolerance: float, srid:
         dy = t
         square = geo.box(F.col("px") - t, F.col("py") - t, F.col("px") + t, F.col("py") + t)
     size = cell or max(4 * dy, 1e-9)
-    asked = points.select("point_idx", square.alias("square")).withColumn("cell", F.explode(cells(F.col("square"), size)))
-    own = features.where((F.col("srid") == srid) & F.col("bbox").isNotNull())
-    own = (own if keep is None else own.where(keep)).select("layer", "fid_text", "ordinal", "geom_type", "parts", "bbox").withColumn("cell", F.explode(cells(F.col("bbox"), size)))
-    both = asked.join(own, "cell").where(geo.boxes_meet(F.col("square"), F.col("bbox")))
-    corner = F.struct(*(F.floor(F.greatest(F.col(f"square.{a}min"), F.col(f"bbox.{a}min")) / size).cast("long").alias(f"c{a}") for a in "xy"))
+    extent = {4326: 360.0, 3857: geo.WORLD}.get(srid)
+    levels = LEVELS if extent is None else min(LEVELS, max(0, math.ceil(math.log2(extent / size))) + 1)
+    # Near the poles a square of degrees is wide: its cells are those of its own level at least.
+    asked = points.select("point_idx", square.alias("square")).withColumn("own", F.least(level_of(F.col("square"), size), F.lit(levels)))
+    asked = asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("width", F.lit(size) * F.pow(F.lit(2.0), F.greatest("level", "own")))
+    asked = asked.select("point_idx", "square", "level", F.greatest("level", "own").alias("grid"), F.explode(cells(F.col("square"), F.col("width"))).alias("cell"))
+    rows = features.where((F.col("srid") == srid) & F.col("bbox").isNotNull())
+    rows = (rows if keep is None else rows.where(keep)).select("layer", "fid_text", "ordinal", "geom_type", "parts", "bbox")
+    rows = rows.withColumn("level", F.least(level_of(F.col("bbox"), size), F.lit(levels)))
+    wide = asked.where("grid > level").select("grid", "level").distinct()  # a row for each pair of levels at most
+    fine = rows.withColumn("grid", F.col("level"))
+    coarse = rows.join(F.broadcast(wide), "level")
+    rows = fine.unionByName(coarse).withColumn("width", F.lit(size) * F.pow(F.lit(2.0), F.col("grid")))
+    rows = rows.withColumn("cell", F.explode(cells(F.col("bbox"), F.col("width"))))
+    both = asked.join(rows, ["level", "grid", "cell"]).where(geo.boxes_meet(F.col("square"), F.col("bbox")))
+    corner = F.struct(*(F.floor(F.greatest(F.col(f"square.{a}min"), F.col(f"bbox.{a}min")) / F.col("width")).cast("long").alias(f"c{a}") for a in "xy"))
     hits = both.where(F.col("cell") == corner).where(_exact(F.col("square"))).select("point_idx", "layer", "fid_text", "ordinal")
     if not include_duplicates:
         first = Window.partitionBy("layer", "fid_text").orderBy("point_idx", "ordinal")

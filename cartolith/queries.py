@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cartolith import schema
 from cartolith.functions import geo, values
 from cartolith.operators import profile, restructure, select
-from cartolith.plans.compile import predicate
+from cartolith.plans.compile import Bag, predicate
 from cartolith.sources import geojson, mvt
 from cartolith.sources.tiles import ExportOptions
 
@@ -95,26 +95,24 @@ def pred_kind_mismatch(spark, sf):
     return select.query(event_features(spark, sf), ".k == 'fifty' or .k == true").select(F.col("ordinal").alias("event_id"))
 
 
-def _bag(**columns: str) -> Column:
-    return F.to_variant_object(F.struct(*(F.col(c).alias(n) for n, c in columns.items())))
+def where(df: DataFrame, text: str, /, **columns: str) -> DataFrame:
+    """Rows for which a predicate over plain columns holds."""
+    return df.where(predicate(text, Bag(df, columns)))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 10 AND l_discount <= 0.05 AND l_returnflag = 'R'")
 def pred_range_and(spark, sf):
-    bag = _bag(quantity="l_quantity", discount="l_discount", flag="l_returnflag")
-    return table(spark, sf, "lineitem").where(predicate('.quantity > 10 and .discount <= 0.05 and .flag == "R"', bag)).select("l_orderkey", "l_linenumber")
+    return where(table(spark, sf, "lineitem"), '.quantity > 10 and .discount <= 0.05 and .flag == "R"', quantity="l_quantity", discount="l_discount", flag="l_returnflag").select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT p_partkey FROM part WHERE (p_size < 5 OR p_brand = 'Brand#3') AND p_retailprice > 950")
 def pred_or_left_to_right(spark, sf):
-    bag = _bag(size="p_size", brand="p_brand", price="p_retailprice")
-    return table(spark, sf, "part").where(predicate('.size < 5 or .brand == "Brand#3" and .price > 950', bag)).select("p_partkey")
+    return where(table(spark, sf, "part"), '.size < 5 or .brand == "Brand#3" and .price > 950', size="p_size", brand="p_brand", price="p_retailprice").select("p_partkey")
 
 
 @query("SELECT p_partkey FROM part WHERE NOT (p_size > 10 AND p_retailprice > 950)")
 def pred_not_postfix(spark, sf):
-    bag = _bag(size="p_size", price="p_retailprice")
-    return table(spark, sf, "part").where(predicate(".size > 10 and .price > 950 not", bag)).select("p_partkey")
+    return where(table(spark, sf, "part"), ".size > 10 and .price > 950 not", size="p_size", price="p_retailprice").select("p_partkey")
 
 
 @query("SELECT event_id FROM events WHERE event_id % 3 = 0 AND (event_id % 2 = 1 OR (props->>'k')::BIGINT >= 20)")
@@ -125,32 +123,32 @@ def pred_abort_missing(spark, sf):
 
 @query("SELECT p_partkey FROM part WHERE regexp_matches(p_type, '^[A-M].*[ED]$')")
 def pred_regex(spark, sf):
-    return table(spark, sf, "part").where(predicate('.type =~ "/^[A-M].*[ED]$/"', _bag(type="p_type"))).select("p_partkey")
+    return where(table(spark, sf, "part"), '.type =~ "/^[A-M].*[ED]$/"', type="p_type").select("p_partkey")
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'and\\s+the', 'i')")
 def pred_regex_ci(spark, sf):
-    return table(spark, sf, "documents").where(predicate(r".text =~ '/and\\s+the/i'", _bag(text="text"))).select("doc_id")
+    return where(table(spark, sf, "documents"), r".text =~ '/and\\s+the/i'", text="text").select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'oning the')")
 def pred_fulltext(spark, sf):
-    return table(spark, sf, "documents").where(predicate("Oning the", _bag(text="text", id="doc_id"))).select("doc_id")
+    return where(table(spark, sf, "documents"), "Oning the", text="text", id="doc_id").select("doc_id")
 
 
 @query("""SELECT page_id FROM pages WHERE contains(lower(html), 't="</p>"')""")
 def pred_raw_search(spark, sf):
-    return table(spark, sf, "pages").where(predicate('t="</p>"', _bag(html="html"))).select("page_id")
+    return where(table(spark, sf, "pages"), 't="</p>"', html="html").select("page_id")
 
 
 @query("SELECT vec_id FROM embeddings WHERE embedding[1] > 0.05 AND embedding[3] <= 0")
 def pred_array_index(spark, sf):
-    return table(spark, sf, "embeddings").where(predicate(".e.0 > 0.05 and .e.[2] <= 0", _bag(e="embedding"))).select("vec_id")
+    return where(table(spark, sf, "embeddings"), ".e.0 > 0.05 and .e.[2] <= 0", e="embedding").select("vec_id")
 
 
 @query("SELECT vec_id FROM embeddings WHERE embedding[-1] > 0.05")
 def pred_negative_index(spark, sf):
-    return table(spark, sf, "embeddings").where(predicate(".e.-1 > 0.05", _bag(e="embedding"))).select("vec_id")
+    return where(table(spark, sf, "embeddings"), ".e.-1 > 0.05", e="embedding").select("vec_id")
 
 
 # Projections and tiles
@@ -206,10 +204,21 @@ def zigzag_roundtrip(spark, sf):
     return rows.select("s_suppkey", "encoded", geo.unzigzag(F.col("encoded")).alias("decoded"))
 
 
-@query("SELECT l_orderkey, l_linenumber, (l_partkey & 7) AS command, (l_partkey >> 3) AS repeat FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 2 THEN 'Polygon' WHEN l_linenumber % 3 = 1 THEN 'LineString' ELSE 'MultiPoint' END AS kind,
+CASE WHEN l_linenumber % 3 = 2 THEN 4 ELSE 3 END AS n, x::DOUBLE AS first_x, y::DOUBLE AS first_y,
+CASE WHEN l_linenumber % 3 = 2 THEN x ELSE x - 4 END::DOUBLE AS last_x, CASE WHEN l_linenumber % 3 = 2 THEN y ELSE y + 11 END::DOUBLE AS last_y
+FROM (SELECT *, l_partkey % 1000 AS x, -(l_suppkey % 500) AS y FROM lineitem)""")
 def command_decode(spark, sf):
-    c = F.col("l_partkey")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", c.bitwiseAND(7).alias("command"), F.shiftright(c, 3).alias("repeat"))
+    x, y = F.col("l_partkey") % 1000, -(F.col("l_suppkey") % 500)
+    steps = [geo.zigzag(v.cast("long")) for v in (x, y, F.lit(9), F.lit(1), F.lit(-13), F.lit(10))]
+    line = F.array(F.lit(9).cast("long"), *steps[:2], F.lit(18).cast("long"), *steps[2:])
+    kind = F.col("l_linenumber") % 3
+    stream = F.when(kind == 2, F.concat(line, F.array(F.lit(15).cast("long")))).when(kind == 1, line).otherwise(F.array(F.lit(25).cast("long"), *steps))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(kind == 2, 3).when(kind == 1, 2).otherwise(1).alias("type"), stream.alias("commands"))
+    got = mvt.geometries(rows)
+    v = F.flatten(F.flatten("parts"))
+    first, last = F.element_at(v, 1), F.element_at(v, -1)
+    return got.select("l_orderkey", "l_linenumber", F.col("geom_type").alias("kind"), F.size(v).alias("n"), first["x"].alias("first_x"), first["y"].alias("first_y"), last["x"].alias("last_x"), last["y"].alias("last_y"))
 
 
 # Spatial selection
@@ -478,28 +487,160 @@ def geojson_roundtrip(spark, sf):
     return geojson.decode(texts).select(F.col("fid").cast("bigint").alias("c_custkey"), "layer", p["x"].alias("lon"), p["y"].alias("lat"), F.try_variant_get("properties", "$.nation", "bigint").alias("nation"))
 
 
-def lines_by_region(spark: SparkSession, sf: str) -> DataFrame:
-    """A long line for each nation, across several tiles of zoom 2."""
-    t = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.struct((i * 5 - 150 + F.col("n_nationkey")).cast("double").alias("x"), (F.sin(i / 3) * 40 + F.col("n_nationkey")).alias("y")))
-    rows = table(spark, sf, "nation").withColumn("p", F.array(F.array(t)))
-    out = schema.features(rows, srid=4326, layer=F.lit("lines"), ordinal=F.col("n_nationkey"), fid=F.col("n_nationkey"), geom_type=F.lit("LineString"), parts=F.col("p"), bbox=schema.bbox_of(F.col("p")), props_json=F.lit("{}"))
-    return out.withColumns({"z": F.lit(2), "x": F.lit(2), "y": F.lit(1)})
+# Lines and polygons
 
 
-@query()
-def clip_simplify(spark, sf):
-    blobs = mvt.encode(lines_by_region(spark, sf), ExportOptions(buffer_extents=64, simplify_extents=32)).withColumn("source", F.lit("memory"))
-    return mvt.decode(blobs, 4326).select(F.col("fid").cast("bigint").alias("n_nationkey"), "geom_type", F.size(F.flatten(F.flatten("parts"))).alias("vertices"))
+def vertex(x: Column | float, y: Column | float) -> Column:
+    x, y = (v if isinstance(v, Column) else F.lit(v) for v in (x, y))
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
-@query()
-def gzip_tile(spark, sf):
-    return mvt.encode(tiled(spark, sf, 2), ExportOptions(compression=9)).select("z", "x", "y", F.length("data").alias("bytes"))
+def shapes_of(spark: SparkSession, sf: str, kind: str, parts: Column, srid: int = 4326, name: str = "customer", key: str = "c_custkey", **more: Column | int) -> DataFrame:
+    """A feature for each customer (or supplier), drawn from columns lon and lat."""
+    lon, lat = lon_lat(key)
+    rows = table(spark, sf, name).withColumns({"lon": lon, "lat": lat}).withColumn("shape", parts)
+    return schema.features(rows, source=F.lit(name), srid=srid, layer=F.lit("shapes"), ordinal=F.col(key), fid=F.col(key), fid_text=F.col(key).cast("string"), geom_type=F.lit(kind), parts=F.col("shape"), bbox=schema.bbox_of(F.col("shape")), props_json=F.lit("{}"), **more)
+
+
+def bent() -> Column:
+    """Two segments: 6 to the east, then 8 to the north."""
+    x, y = F.col("lon") / 2, F.col("lat") / 2
+    return F.array(F.array(F.array(vertex(x, y), vertex(x + 6, y), vertex(x + 6, y + 8))))
+
+
+def diamond(r: float = 5.0) -> Column:
+    x, y = F.col("lon") / 2, F.col("lat") / 2
+    return F.array(F.array(F.array(vertex(x + r, y), vertex(x, y + r), vertex(x - r, y), vertex(x, y - r), vertex(x + r, y))))
+
+
+_HALVED = f"(SELECT *, lon / 2 AS x, lat / 2 AS y FROM {sql_points()})"
+
+
+@query(f"""SELECT c_custkey FROM {_HALVED} WHERE (y BETWEEN -20 AND 15 AND x <= 40 AND x + 6 >= -30) OR (x + 6 BETWEEN -30 AND 40 AND y <= 15 AND y + 8 >= -20)""")
+def line_bbox_select(spark, sf):
+    return select.in_box(shapes_of(spark, sf, "LineString", bent()), (-30.0, -20.0, 40.0, 15.0)).select(F.col("ordinal").alias("c_custkey"))
+
+
+@query(f"SELECT c_custkey FROM {_HALVED} WHERE greatest(-1.5 - x, 0, x - 40) + greatest(-20 - y, 0, y - 15) <= 5")
+def polygon_bbox_select(spark, sf):
+    return select.in_box(shapes_of(spark, sf, "Polygon", diamond()), (-1.5, -20.0, 40.0, 15.0)).select(F.col("ordinal").alias("c_custkey"))
+
+
+@query(f"SELECT c_custkey, round((6 * (x + 3) + 8 * (x + 6)) / 14, 6) AS x, round((6 * y + 8 * (y + 4)) / 14, 6) AS y FROM {_HALVED}")
+def line_centroid(spark, sf):
+    out = select.with_centroid(shapes_of(spark, sf, "LineString", bent()))
+    return out.select(F.col("ordinal").alias("c_custkey"), rounded(F.col("centroid.x"), "x"), rounded(F.col("centroid.y"), "y"))
+
+
+@query(f"SELECT c_custkey, round((x * 100 - (x + 2) * 4) / 96, 6) AS x, round(y, 6) AS y FROM {_HALVED}")
+def polygon_centroid(spark, sf):
+    x, y = F.col("lon") / 2, F.col("lat") / 2
+
+    def square(cx: Column, half: int) -> Column:
+        return F.array(*(vertex(cx + a * half, y + b * half) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))))
+
+    out = select.with_centroid(shapes_of(spark, sf, "Polygon", F.array(F.array(square(x, 5), square(x + 2, 1)))))
+    return out.select(F.col("ordinal").alias("c_custkey"), rounded(F.col("centroid.x"), "x"), rounded(F.col("centroid.y"), "y"))
+
+
+@query(f"SELECT c_custkey FROM {_HALVED} WHERE {_HAVERSINE.format(a='(6 * y + 8 * (y + 4)) / 14', b='20.0', c='(6 * (x + 3) + 8 * (x + 6)) / 14', d='10.0')} <= 2500000")
+def near_lines(spark, sf):
+    return select.query(shapes_of(spark, sf, "LineString", bent()), "near(20, 10, 2500000)").select(F.col("ordinal").alias("c_custkey"))
+
+
+_WIDE = f"SELECT s_suppkey AS point_idx, lon AS px, lat AS py, {_DEG.format(t=150000)} AS dy, {_DEG.format(t=150000)} / cos(radians(lat)) AS dx FROM {sql_points('supplier', 's_suppkey')}"
+
 
+@query(f"""SELECT point_idx, 'shapes' AS layer, c_custkey::VARCHAR AS fid_text FROM ({_WIDE}) JOIN {_HALVED} ON
+(y BETWEEN greatest(py - dy, -90) AND least(py + dy, 90) AND x <= least(px + dx, 180) AND x + 6 >= greatest(px - dx, -180))
+OR (x + 6 BETWEEN greatest(px - dx, -180) AND least(px + dx, 180) AND y <= least(py + dy, 90) AND y + 8 >= greatest(py - dy, -90))""")
+def query_many_lines(spark, sf):
+    return select.around_many(shapes_of(spark, sf, "LineString", bent()), _asked(spark, sf), 150_000)
 
-@query("SELECT c_custkey, r_name, count(*) OVER (PARTITION BY r_name) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0")
-def joined_features(spark, sf):
-    from pyspark.sql import Window
 
-    rows = table(spark, sf, "customer").where("c_acctbal > 0").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select("c_custkey", "r_name", F.count(F.lit(1)).over(Window.partitionBy("r_name")).alias("n"))
+@query("SELECT s_suppkey, 'MultiLineString' AS kind, 2 AS parts, 5 AS vertices, s_suppkey % 64 AS first_x, s_suppkey % 61 AS first_y, s_suppkey % 64 + 30 AS last_x, s_suppkey % 61 - 9 AS last_y FROM supplier")
+def line_roundtrip(spark, sf):
+    x, y = F.col("s_suppkey") % 64, F.col("s_suppkey") % 61
+    parts = F.array(F.array(F.array(vertex(x, y), vertex(x + 10, y + 5), vertex(x + 20, y - 3))), F.array(F.array(vertex(x + 25, y), vertex(x + 30, y - 9))))
+    rows = shapes_of(spark, sf, "MultiLineString", parts, 0, "supplier", "s_suppkey", z=0, x=0, y=0)
+    got = mvt.decode(mvt.encode(rows).withColumn("source", F.lit("memory")), 0)
+    v = F.flatten(F.flatten("parts"))
+    ends = [F.element_at(v, i)[n].cast("bigint").alias(f"{w}_{n}") for i, w in ((1, "first"), (-1, "last")) for n in "xy"]
+    return got.select(F.col("fid").cast("bigint").alias("s_suppkey"), F.col("geom_type").alias("kind"), F.size("parts").alias("parts"), F.size(v).alias("vertices"), *ends)
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, CASE WHEN s_suppkey % 2 = 0 THEN 3 ELSE 1 END AS rings, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS polygons, 10 * (s_suppkey % 64) AS xmin, CASE WHEN s_suppkey % 2 = 0 THEN 60 ELSE 20 END + 10 * (s_suppkey % 64) AS xmax FROM supplier")
+def polygon_roundtrip(spark, sf):
+    x = 10 * (F.col("s_suppkey") % 64)
+
+    def square(at: Column, side: int, down: bool) -> Column:
+        corners = [(0, 0), (side, 0), (side, side), (0, side), (0, 0)]
+        return F.array(*(vertex(at + a, F.lit(b)) for a, b in (corners if down else corners[::-1])))
+
+    two = F.array(F.array(square(x, 20, True), square(x + 5, 5, False)), F.array(square(x + 40, 20, True)))
+    parts = F.when(F.col("s_suppkey") % 2 == 0, two).otherwise(F.array(F.array(square(x, 20, True))))
+    rows = shapes_of(spark, sf, "MultiPolygon", parts, 0, "supplier", "s_suppkey", z=0, x=0, y=0)
+    got = mvt.decode(mvt.encode(rows).withColumn("source", F.lit("memory")), 0)
+    return got.select(F.col("fid").cast("bigint").alias("s_suppkey"), F.col("geom_type").alias("kind"), F.size(F.flatten("parts")).alias("rings"), F.size("parts").alias("polygons"), F.col("bbox.xmin").cast("bigint").alias("xmin"), F.col("bbox.xmax").cast("bigint").alias("xmax"))
+
+
+_BOX = "-20037508.342789244 + 4 * 40075016.68557849 / 8 - 64 * 40075016.68557849 / 8 / 4096 AS xmin, -20037508.342789244 + 5 * 40075016.68557849 / 8 + 64 * 40075016.68557849 / 8 / 4096 AS xmax, 20037508.342789244 - 4 * 40075016.68557849 / 8 - 64 * 40075016.68557849 / 8 / 4096 AS ymin, 20037508.342789244 - 3 * 40075016.68557849 / 8 + 64 * 40075016.68557849 / 8 / 4096 AS ymax"
+_METRES = f"(SELECT c_custkey, lon * 40000 AS x, lat * 80000 AS y, {_BOX} FROM {sql_points()})"
+_TILE = {"z": 3, "x": 4, "y": 3}
+
+
+@query(f"SELECT c_custkey, round(greatest(x, xmin), 3) AS from_x, round(least(x + 3e6, xmax), 3) AS to_x, round(y, 3) AS y FROM {_METRES} WHERE y BETWEEN ymin AND ymax AND x < xmax AND x + 3e6 > xmin")
+def clip_lines(spark, sf):
+    x, y = F.col("lon") * 40000, F.col("lat") * 80000
+    rows = shapes_of(spark, sf, "LineString", F.array(F.array(F.array(vertex(x, y), vertex(x + 3e6, y)))), 3857, **_TILE)
+    v = F.col("parts")[0][0]
+    return geojson.prepared(rows, ExportOptions(buffer_extents=64)).select(F.col("ordinal").alias("c_custkey"), rounded(v[0]["x"], "from_x", 3), rounded(F.element_at(v, -1)["x"], "to_x", 3), rounded(v[0]["y"], "y", 3))
+
+
+@query(f"SELECT c_custkey, round(greatest(x, xmin), 3) AS xmin, round(greatest(y, ymin), 3) AS ymin, round(least(x + 3e6, xmax), 3) AS xmax, round(least(y + 2e6, ymax), 3) AS ymax FROM {_METRES} WHERE x < xmax AND x + 3e6 > xmin AND y < ymax AND y + 2e6 > ymin")
+def clip_polygons(spark, sf):
+    x, y = F.col("lon") * 40000, F.col("lat") * 80000
+    ring = F.array(vertex(x, y), vertex(x + 3e6, y), vertex(x + 3e6, y + 2e6), vertex(x, y + 2e6), vertex(x, y))
+    rows = shapes_of(spark, sf, "Polygon", F.array(F.array(ring)), 3857, **_TILE)
+    return geojson.prepared(rows, ExportOptions(buffer_extents=64)).select(F.col("ordinal").alias("c_custkey"), *(rounded(F.col(f"bbox.{n}"), n, 3) for n in ("xmin", "ymin", "xmax", "ymax")))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 21 END AS vertices FROM customer")
+def simplify_lines(spark, sf):
+    height = F.when(F.col("c_custkey") % 2 == 0, 1.0).otherwise(100.0)
+    wave = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: vertex(i * 1000, (i % 2) * height))
+    rows = shapes_of(spark, sf, "LineString", F.array(F.array(wave)), 3857)
+    return geojson.prepared(rows, ExportOptions(simplify_meters=10.0)).select(F.col("ordinal").alias("c_custkey"), F.size(F.flatten(F.flatten("parts"))).alias("vertices"))
+
+
+@query(f"""SELECT c_custkey FROM (SELECT *, {_X} AS mx, {_Y} AS my, 40075016.68557849 / 2 AS u FROM {sql_points()})
+WHERE mx BETWEEN -20037508.342789244 + u - u / 4 AND 20037508.342789244 + u / 4 AND my BETWEEN -u / 4 AND 20037508.342789244 + u / 4""")
+def buffered_tile(spark, sf):
+    rows = restructure.reprojected(points(spark, sf), 3857).withColumns({"z": F.lit(1), "x": F.lit(1), "y": F.lit(0)})
+    got = mvt.decode(mvt.encode(rows, ExportOptions(buffer_extents=1024)).withColumn("source", F.lit("memory")), 0)
+    return got.select(F.col("fid").cast("bigint").alias("c_custkey"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_acctbal AS balance, c_acctbal > 0 AS solvent, c_nationkey::BIGINT AS nation FROM customer")
+def tile_properties(spark, sf):
+    named = table(spark, sf, "customer").select(F.col("c_custkey").alias("ordinal"), F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), (F.col("c_acctbal") > 0).alias("solvent"), F.col("c_nationkey").alias("nation"))).alias("more"))
+    rows = tiled(spark, sf, 2).join(named, "ordinal").withColumn("props_json", F.col("more")).drop("more")
+    got = mvt.decode(mvt.encode(rows).withColumn("source", F.lit("memory")), 0)
+    kinds = {"name": "string", "balance": "double", "solvent": "boolean", "nation": "bigint"}
+    return got.select(F.col("fid").cast("bigint").alias("c_custkey"), *(F.try_variant_get("properties", f"$.{n}", k).alias(n) for n, k in kinds.items()))
+
+
+@query(f"SELECT tx AS x, ty AS y, count(*) AS features FROM (SELECT {_TX.format(z=2)} AS tx, {_TY.format(z=2)} AS ty FROM {sql_points()}) GROUP BY 1, 2")
+def gzip_tile(spark, sf):
+    blobs = mvt.encode(tiled(spark, sf, 2), ExportOptions(compression=9)).where(F.substring("data", 1, 2) == F.lit(geojson.ZIPPED))
+    return mvt.decode(blobs.withColumn("source", F.lit("memory")), 0).groupBy("x", "y").agg(F.count(F.lit(1)).alias("features"))
+
+
+@query(f"""SELECT c_custkey, max(z) AS z FROM (SELECT c_custkey, z, floor((lon + 180) / 360 * pow(2, z)) AS x0, floor((lon + 180.7) / 360 * pow(2, z)) AS x1,
+floor((1 - asinh(tan(radians(greatest(lat / 2, -85.0511287798066)))) / pi()) / 2 * pow(2, z)) AS y0, floor((1 - asinh(tan(radians(lat / 2 + 0.3))) / pi()) / 2 * pow(2, z)) AS y1
+FROM {sql_points()}, (SELECT unnest(range(15))::INT AS z)) WHERE z = 0 OR (least(x0, pow(2, z) - 1) = least(x1, pow(2, z) - 1) AND y0 = y1) GROUP BY 1""")
+def least_tile(spark, sf):
+    x, y = xy()
+    y = y / 2
+    at = geo.least_tile(x, y, x + 0.7, y + 0.3)
+    return points(spark, sf).select(F.col("ordinal").alias("c_custkey"), at["z"].alias("z"))

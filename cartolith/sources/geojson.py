@@ -115,23 +115,31 @@ def read(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
     return decode(mvt.files(spark, paths).select(F.col("path").alias("source"), _text(F.col("content")).alias("text")), **options)
 
 
+ZIPPED = bytes.fromhex("1f8b")
+
+
 def _text(content: Column) -> Column:
-    @F.pandas_udf("string")
+    """UTF-8 text, unzipped; only gzipped bytes travel to Python. Bytes that aren't UTF-8 become U+FFFD."""
+
+    @F.pandas_udf("binary")
     def unzipped(data):
-        return data.map(lambda b: tiles.unzipped(bytes(b)).decode("utf-8-sig", "replace"))
+        return data.map(lambda b: None if b is None else tiles.unzipped(bytes(b)))
+
+    zipped = F.substring(content, 1, 2) == F.lit(ZIPPED)
+    whole = F.coalesce(unzipped(F.when(zipped, content)), content)
+    return F.regexp_replace(F.make_valid_utf8(whole.cast("string")), "^\ufeff", "")
 
-    return unzipped(content)
+
+def _begins_as_json(text: Column) -> Column:
+    """Whether the first letter that isn't white space is a brace or a bracket."""
+    return F.coalesce(F.substring(text, 1, 512).rlike(r"^[\s\ufeff]*[{\[]"), F.lit(False))
 
 
 def with_tile(features: DataFrame, max_zoom: int = 14) -> DataFrame:
     """z, x, y of the least tile around all features of each source. One box for each source reaches the join."""
     boxes = features.where("bbox is not null").groupBy("source").agg(*(F.min(f"bbox.{n}").alias(n) for n in ("xmin", "ymin")), *(F.max(f"bbox.{n}").alias(n) for n in ("xmax", "ymax")))
-
-    @F.udf("struct<z:int,x:int,y:int>")
-    def least(xmin, ymin, xmax, ymax):
-        return geo.minimal_tile(xmin, ymin, xmax, ymax, max_zoom)
-
-    at = boxes.select("source", least("xmin", "ymin", "xmax", "ymax").alias("t")).select("source", *(F.col(f"t.{n}").alias(f"_{n}") for n in "zxy"))
+    at = geo.least_tile(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), max_zoom)
+    at = boxes.select("source", at.alias("t")).select("source", *(F.col(f"t.{n}").alias(f"_{n}") for n in "zxy"))
     out = features.join(at, "source")
     return out.withColumns({n: F.col(f"_{n}") for n in "zxy"}).drop("_z", "_x", "_y").select(*features.columns)
 
@@ -210,11 +218,24 @@ def document(features: DataFrame, options: tiles.ExportOptions = tiles.ExportOpt
     return data if options.compression is None else gzip.compress(data, min(9, max(0, options.compression)), mtime=0)
 
 
-def read_auto(spark: SparkSession, paths: list[str], srid: int = 4326, tile: tuple[int, int, int] | None = None, layers: list[str] | None = None, **options) -> DataFrame:
-    """Files of either kind: those that begin with a brace are GeoJSON, the rest vector tiles."""
+def _sorted_out(spark: SparkSession, paths: list[str], tile: tuple[int, int, int] | None) -> DataFrame:
+    """source, z, x, y, data, json: files of either kind, told apart by how they begin."""
     files = mvt.blobs(spark, paths, tile)
-    text = _text(F.col("data"))
-    is_text = F.ltrim(text).startswith("{")
-    both = files.withColumn("json", is_text)
+    zipped = F.substring("data", 1, 2) == F.lit(ZIPPED)
+    plain = F.make_valid_utf8(F.substring("data", 1, 512).cast("string"))
+    return files.withColumn("json", _begins_as_json(F.when(zipped, _text(F.when(zipped, F.col("data")))).otherwise(plain)))
+
+
+def read_auto(spark: SparkSession, paths: list[str], srid: int = 4326, tile: tuple[int, int, int] | None = None, layers: list[str] | None = None, **options) -> DataFrame:
+    """Files of either kind: those whose first letter that isn't white space is a brace or a bracket are GeoJSON, the rest vector tiles."""
+    both = _sorted_out(spark, paths, tile)
     own = mvt.decode(both.where("not json and z is not null").drop("json"), srid, layers)
-    return own.unionByName(decode(both.where("json").select("source", text.alias("text")), layers=layers, **options))
+    return own.unionByName(decode(both.where("json").select("source", _text(F.col("data")).alias("text")), layers=layers, **options))
+
+
+def unreadable(spark: SparkSession, paths: list[str], srid: int = 4326, tile: tuple[int, int, int] | None = None) -> DataFrame:
+    """source, problem: what ``read_auto`` gives nothing for."""
+    both = _sorted_out(spark, paths, tile)
+    text = both.where("json").select("source", _text(F.col("data")).alias("text"))
+    broken = text.where(F.try_parse_json("text").isNull()).select("source", F.lit("no JSON").alias("problem"))
+    return mvt.unreadable(both.where("not json").drop("json"), srid).unionByName(broken)

@@ -8,7 +8,10 @@ task. ``register`` adds the format ``mvt`` for ``spark.read`` and ``df.write``.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs
@@ -20,6 +23,8 @@ from cartolith import schema
 from cartolith.sources import tiles
 
 ROWS = 512
+#: What reading bytes that are no tile, or not all of one, can raise.
+UNREADABLE = (ValueError, IndexError, TypeError, OverflowError)
 _PARTS_TYPE = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 _BOX_TYPE = pa.struct([(n, pa.float64()) for n in ("xmin", "ymin", "xmax", "ymax")])
 _TYPES = {"z": pa.int32(), "x": pa.int32(), "y": pa.int32(), "srid": pa.int32(), "layer_version": pa.int32(), "layer_extent": pa.int32(), "ordinal": pa.int64(), "fid": pa.decimal128(20, 0), "parts": _PARTS_TYPE, "bbox": _BOX_TYPE}
@@ -62,20 +67,66 @@ def decode(blobs: DataFrame, srid: int = 4326, layers: list[str] | None = None)
             for row in b.to_pylist():
                 try:
                     found = list(tiles.decode_tile(row["data"], row["source"], row["z"], row["x"], row["y"], srid, wanted))
-                except (ValueError, IndexError, TypeError):
+                except UNREADABLE:
                     continue
                 yield from _batches(iter(found), ARROW)
 
     return schema.with_properties(blobs.select("source", "z", "x", "y", "data").mapInArrow(run, schema.raw_type()))
 
 
+def geometries(rows: DataFrame, commands_col: str = "commands", type_col: str = "type") -> DataFrame:
+    """The rows with geom_type and parts, in tile units, in place of a command stream and a wire type; both null where nothing is drawn."""
+    from cartolith.sources import commands
+
+    others = [c for c in rows.columns if c not in (commands_col, type_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            streams, kinds = (b.column(b.schema.get_field_index(n)).to_pylist() for n in (commands_col, type_col))
+            got = [commands.read_geometry(c or [], k) or (None, None) for c, k in zip(streams, kinds)]
+            parts = pa.array([p and tiles.as_parts(p) for _, p in got], _PARTS_TYPE)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in others), pa.array([k for k, _ in got], pa.string()), parts], [*others, "geom_type", "parts"])
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in others)
+    return rows.mapInArrow(run, f"{kind}, geom_type string, parts {schema.PARTS}")
+
+
+def unreadable(blobs: DataFrame, srid: int = 4326) -> DataFrame:
+    """source, problem: what ``decode`` gives nothing for because it can't be read, and layers that it leaves out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[tuple[str, str]] = []
+            for row in b.to_pylist():
+                if row["data"] is None:
+                    found.append((row["source"], "can't be got"))
+                    continue
+                if row["z"] is None:
+                    found.append((row["source"], "no tile in its name"))
+                    continue
+                try:
+                    for _ in tiles.decode_tile(row["data"], row["source"], row["z"], row["x"], row["y"], srid):
+                        pass
+                    found += [(row["source"], text) for text in tiles.left_out(row["data"])]
+                except UNREADABLE as e:
+                    found.append((row["source"], f"no tile: {e}"))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found)], ["source", "problem"])
+
+    return blobs.select("source", "z", "x", "y", "data").mapInArrow(run, "source string, problem string")
+
+
 def wire_profile(blobs: DataFrame) -> DataFrame:
     """source, layer, layer_version, ordinal, wire_type, props_json: a row for each wire feature; empty layers give one without a type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                yield from _batches(tiles.wire_profile(row["data"], row["source"]), PROFILE)
+                try:
+                    found = list(tiles.wire_profile(row["data"], row["source"]))
+                except UNREADABLE:
+                    continue
+                yield from _batches(iter(found), PROFILE)
 
     return blobs.select("source", "data").mapInArrow(run, "source string, layer string, layer_version int, ordinal long, wire_type int, props_json string")
 
@@ -88,14 +139,17 @@ def layer_names(blobs: DataFrame) -> DataFrame:
 
         for b in batches:
             for row in b.to_pylist():
-                names = [wire.layer_name(x) for x in wire.raw_layers(tiles.unzipped(row["data"]))]
+                try:
+                    names = [wire.layer_name(x) for x in wire.raw_layers(tiles.unzipped(row["data"]))]
+                except UNREADABLE:
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array([row["source"]] * len(names), pa.string()), pa.array(names, pa.string())], ["source", "layer"])
 
     return blobs.select("source", "data").mapInArrow(run, "source string, layer string")
 
 
 def fetched(spark: SparkSession, urls: list[str], timeout: float = 60) -> DataFrame:
-    """path, content of addresses, got by the executors; what can't be got is left out."""
+    """path, content of addresses, got by the executors; null where that fails, which ``unreadable`` tells and readers skip."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import urllib.error
@@ -107,7 +161,7 @@ def fetched(spark: SparkSession, urls: list[str], timeout: float = 60) -> DataFr
                     with urllib.request.urlopen(url, timeout=timeout) as f:
                         data = f.read()
                 except (urllib.error.URLError, OSError):
-                    continue
+                    data = None
                 yield pa.RecordBatch.from_arrays([pa.array([url]), pa.array([data], pa.binary())], ["path", "content"])
 
     rows = spark.createDataFrame([(u,) for u in urls], "path string")
@@ -142,22 +196,24 @@ def empty(spark: SparkSession) -> DataFrame:
 
 
 def encode(features: DataFrame, options: tiles.ExportOptions = tiles.ExportOptions()) -> DataFrame:
-    """z, x, y, data: rows grouped by tile, which is as much as a task ever holds."""
+    """z, x, y, data, left_out: rows grouped by tile, which is as much as a task ever holds. ``left_out``: ids of features with steps beyond 32 bits, which
+    the format can't hold."""
     kept = features.select("z", "x", "y", "srid", "layer", "layer_extent", "ordinal", "fid", "fid_text", "geom_type", "parts", "props_json")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         z, x, y = (k.as_py() for k in key)
-        data = tiles.encode_tile(table.to_pylist(), z, x, y, options)
-        return pa.table({"z": pa.array([z], pa.int32()), "x": pa.array([x], pa.int32()), "y": pa.array([y], pa.int32()), "data": pa.array([data], pa.binary())})
+        lost: list[str] = []
+        data = tiles.encode_tile((r for b in table.to_batches(ROWS) for r in b.to_pylist()), z, x, y, options, lost)
+        return pa.table({"z": pa.array([z], pa.int32()), "x": pa.array([x], pa.int32()), "y": pa.array([y], pa.int32()), "data": pa.array([data], pa.binary()), "left_out": pa.array([lost], pa.list_(pa.string()))})
 
-    return kept.groupBy("z", "x", "y").applyInArrow(run, "z int, x int, y int, data binary")
+    return kept.groupBy("z", "x", "y").applyInArrow(run, "z int, x int, y int, data binary, left_out array<string>")
 
 
 def write(features: DataFrame, path: str, options: tiles.ExportOptions = tiles.ExportOptions(), mode: str = "error") -> None:
     """One file ``path/z/x/y.mvt`` for each tile. ``append`` adds to what the tile holds, ``overwrite`` replaces the folder."""
     spark = features.sparkSession
     register(spark)
-    encode(features, options).write.format("mvt").mode("overwrite" if mode == "overwrite" else "append").option("path", path).option("exists", mode).save()
+    encode(features, options).select("z", "x", "y", "data").write.format("mvt").mode("overwrite" if mode == "overwrite" else "append").option("path", path).option("exists", mode).save()
 
 
 class _Files(InputPartition):
@@ -171,7 +227,8 @@ def _filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 class MvtReader(DataSourceReader):
-    """A task for each ``filesPerTask`` files; equality and IN on the layer reach the decoder."""
+    """A task for each ``filesPerTask`` files; equality and IN on the layer reach the decoder. What is no tile is skipped, as in
+    ``decode``, or fails the job with the option ``unreadable`` set to ``fail``; ``unreadable`` (the function) lists it."""
 
     def __init__(self, options: dict) -> None:
         self.options = options
@@ -187,7 +244,7 @@ class MvtReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         fs, path = _filesystem(self.options["path"])
         info = fs.get_file_info(path)
-        found = [path] if info.type == pa.fs.FileType.File else sorted(f.path for f in fs.get_file_info(pa.fs.FileSelector(path, recursive=True)) if f.type == pa.fs.FileType.File and not f.base_name.startswith(("_", ".")))
+        found = [path] if info.type == pa.fs.FileType.File else sorted(f.path for f in fs.get_file_info(pa.fs.FileSelector(path, recursive=True)) if f.type == pa.fs.FileType.File and not f.base_name.startswith(("_", ".")) and "/_staging-" not in f.path)
         n = int(self.options.get("filespertask", 64))
         return [_Files(found[i : i + n]) for i in range(0, len(found), n)]
 
@@ -199,36 +256,72 @@ class MvtReader(DataSourceReader):
             if at is not None:
                 with fs.open_input_stream(path, compression=None) as f:
                     data = f.read()
-                yield from _batches(tiles.decode_tile(data, path, *at, int(self.options.get("srid", 4326)), self.layers), ARROW)
+                try:
+                    found = list(tiles.decode_tile(data, path, *at, int(self.options.get("srid", 4326)), self.layers))
+                except UNREADABLE:
+                    if self.options.get("unreadable", "skip") != "skip":
+                        raise
+                    continue
+                yield from _batches(iter(found), ARROW)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """(where a task's whole file lies, where it goes)."""
+
+    files: list[tuple[str, str]]
 
 
 class MvtWriter(DataSourceArrowWriter):
-    """Writes rows (z, x, y, data) as files; a file appears under its name only when it is whole, so a task may run again."""
+    """Writes rows (z, x, y, data) as files.
+
+    Every attempt of a task writes under names of its own in a folder of the job; only at the job's commit, with one attempt of
+    each task, do files go to their places, after old ones were deleted if the mode is overwrite. Until then nothing that was there changes, so a
+    task that runs again reads the same tiles to append to and finds none of its own."""
 
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.options, self.overwrite = options, overwrite
-        if overwrite:
-            fs, root = _filesystem(options["path"])
-            if fs.get_file_info(root).type == pa.fs.FileType.Directory:
-                fs.delete_dir_contents(root)
+        self.options, self.overwrite, self.staging = options, overwrite, f"_staging-{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = _filesystem(self.options["path"])
+        done: list[tuple[str, str]] = []
         for b in batches:
             for row in b.to_pylist():
                 name = f"{root}/{row['z']}/{row['x']}/{row['y']}.mvt"
-                there = fs.get_file_info(name).type == pa.fs.FileType.File
+                there = not self.overwrite and fs.get_file_info(name).type == pa.fs.FileType.File
                 if there and self.options.get("exists") == "error":
                     raise FileExistsError(name)
                 data = row["data"]
                 if there and self.options.get("exists") == "append":
                     with fs.open_input_stream(name, compression=None) as f:
                         data = merged(f.read(), data)
-                fs.create_dir(f"{root}/{row['z']}/{row['x']}", recursive=True)
-                with fs.open_output_stream(f"{name}.part", compression=None) as f:
+                folder = f"{root}/{self.staging}/{uuid.uuid4().hex[:2]}"
+                fs.create_dir(folder, recursive=True)
+                staged = f"{folder}/{uuid.uuid4().hex}.mvt"
+                with fs.open_output_stream(staged, compression=None) as f:
                     f.write(data)
-                fs.move(f"{name}.part", name)
-        return WriterCommitMessage()
+                done.append((staged, name))
+        return Written(done)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, root = _filesystem(self.options["path"])
+        if self.overwrite and fs.get_file_info(root).type == pa.fs.FileType.Directory:
+            for old in fs.get_file_info(pa.fs.FileSelector(root)):
+                if old.base_name != self.staging:
+                    (fs.delete_dir if old.type == pa.fs.FileType.Directory else fs.delete_file)(old.path)
+        files = [f for m in messages if m is not None for f in m.files]
+        for folder in sorted({name.rpartition("/")[0] for _, name in files}):
+            fs.create_dir(folder, recursive=True)
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda f: fs.move(*f), files))
+        self._clean(fs, root)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clean(*_filesystem(self.options["path"]))
+
+    def _clean(self, fs: pa.fs.FileSystem, root: str) -> None:
+        if fs.get_file_info(f"{root}/{self.staging}").type == pa.fs.FileType.Directory:
+            fs.delete_dir(f"{root}/{self.staging}")
 
 
 def merged(first: bytes, second: bytes) -> bytes:

@@ -141,6 +141,12 @@ def decode_tile(data: bytes, source: str, z: int, x: int, y: int, srid: int, lay
             }
 
 
+def left_out(data: bytes) -> list[str]:
+    """Layers that ``decode_tile`` doesn't read, in words."""
+    layers = [wire.read_layer(raw) for raw in wire.raw_layers(unzipped(data))]
+    return [f"layer {x.name}: version {x.version}, extent {x.extent}" for x in layers if x.version != 2 or not x.extent]
+
+
 def wire_profile(data: bytes, source: str) -> Iterator[dict]:
     """A row for each feature as it is on the wire: layer, version, wire type and property values; no geometry is decoded."""
     for raw in wire.raw_layers(unzipped(data)):
@@ -176,7 +182,7 @@ def tile_units(points: np.ndarray, z: int, x: int, y: int, srid: int, layer_exte
 
 
 def clip_box(z: int, x: int, y: int, srid: int, buffer: int) -> shapes.Box:
-    """The tile, larger on each side by its width times buffer / 4096."""
+    """The tile, its diagonal longer at both ends by buffer / 4096 of its length: on each side by that share of the width."""
     b = geo.bounds_of_tile(z, x, y, 3857)
     by = (b[2] - b[0]) * buffer / EXTENT
     b = (b[0] - by, b[1] - by, b[2] + by, b[3] + by)
@@ -185,8 +191,9 @@ def clip_box(z: int, x: int, y: int, srid: int, buffer: int) -> shapes.Box:
     return geo.unproject(*b[:2]) + geo.unproject(*b[2:])
 
 
-def encode_tile(rows: Iterable[dict], z: int, x: int, y: int, options: ExportOptions) -> bytes:
-    """One tile of feature rows. Without a projection nothing is clipped or simplified. Features that can't be drawn are left out."""
+def encode_tile(rows: Iterable[dict], z: int, x: int, y: int, options: ExportOptions, lost: list[str] | None = None) -> bytes:
+    """One tile of feature rows. Without a projection nothing is clipped or simplified. Features that can't be drawn are left out; ids of
+    those with steps beyond 32 bits are added to ``lost``."""
     layers: dict[str, wire.WireLayer] = {}
     places: dict[str, tuple[dict, dict]] = {}
     for row in sorted(rows, key=lambda r: (r["layer"] or "", r["ordinal"] or 0, r["fid_text"] or "")):
@@ -202,7 +209,12 @@ def encode_tile(rows: Iterable[dict], z: int, x: int, y: int, options: ExportOpt
             kind, parts = clipped
             parts = shapes.simplify(kind, parts, options.tolerance(z), lambda r: metres(r, srid))
         units = [[tile_units(r, z, x, y, srid, row["layer_extent"] or EXTENT) for r in p] for p in parts]
-        geometry = commands.write_geometry(kind, units)
+        try:
+            geometry = commands.write_geometry(kind, units)
+        except OverflowError:
+            if lost is not None:
+                lost.append(row["fid_text"])
+            continue
         if not geometry:
             continue
         name = row["layer"] or ""

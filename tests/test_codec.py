@@ -6,6 +6,7 @@ import pytest
 from cartolith.functions import geo, shapes
 from cartolith.sources import commands, tiles, wire
 
+# Streams and what they draw, as the tile format has them.
 STREAMS = [
     ("Point", wire.POINT, [9, 50, 34], [[[(25, 17)]]]),
     ("MultiPoint", wire.POINT, [17, 10, 14, 3, 9], [[[(5, 7)]], [[(3, 2)]]]),
@@ -99,6 +100,7 @@ def test_unprojected_tiles_are_rescaled_only():
 
 
 def test_mercator_constants():
+    # Degrees and metres of the projection.
     for lon, lat, x, y in ((10.5, 20.5, 1168854.653329, 2332357.812619), (-180.0, 45.0, -20037508.342789, 5621521.486192), (45.0, -45.0, 5009377.085697, -5621521.486192)):
         assert geo.project(lon, lat) == pytest.approx((x, y), abs=1e-5)
         assert geo.unproject(x, y) == pytest.approx((lon, lat), abs=1e-5)

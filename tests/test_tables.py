@@ -45,6 +45,85 @@ def test_gzip_is_smaller_and_bad_bytes_give_nothing(spark):
     assert mvt.empty(spark).count() == 0
 
 
+@pytest.mark.parametrize("mode", ["error", "append", "overwrite"])
+def test_a_task_may_run_twice(tmp_path, mode):
+    import pyarrow as pa
+
+    from cartolith.sources import tiles, wire
+
+    def tile(name):
+        return wire.write_tile([wire.WireLayer(name, 2, 4096, raw_features=[wire.write_feature(wire.WireFeature(1, [], wire.POINT, [9, 50, 34]))])])
+
+    def rows(name, *at):
+        return pa.RecordBatch.from_pylist([{"z": 0, "x": x, "y": 0, "data": tile(name)} for x in at])
+
+    options = {"path": f"file://{tmp_path}/t", "exists": mode}
+    if mode != "error":
+        first = mvt.MvtWriter(options, False)
+        first.commit([first.write(iter([rows("old", 0, 2)]))])
+    writer = mvt.MvtWriter(options, mode == "overwrite")
+    writer.write(iter([rows("new", 0)]))  # this attempt is lost
+    writer.commit([writer.write(iter([rows("new", 0)])), None])
+    found = {f: [wire.layer_name(x) for x in wire.raw_layers(open(f, "rb").read())] for f in sorted(glob.glob(f"{tmp_path}/t/**/*.mvt", recursive=True))}
+    names = [["new"]] if mode in ("error", "overwrite") else [["new", "old"], ["old"]]
+    assert [sorted(x) for x in found.values()] == names
+    assert not glob.glob(f"{tmp_path}/t/_staging*")
+    if mode == "error":
+        again = mvt.MvtWriter(options, False)
+        with pytest.raises(FileExistsError):
+            again.write(iter([rows("new", 0)]))
+        again.abort([])
+    assert list(tiles.decode_tile(tile("a"), "s", 0, 0, 0, 0))
+
+
+def test_what_cannot_be_read_is_told(spark, tmp_path, capsys):
+    from cartolith.sources import wire
+
+    old = wire.write_tile([wire.WireLayer("old", 1, 4096)])
+    for name, data in (("0_0_0.mvt", b"\x99nonsense"), ("1_0_0.mvt", old), ("noname.mvt", old), ("a.geojson", b"\n\t {no json"), ("b.geojson", b' \n{"type":"Point","coordinates":[1,2]}')):
+        (tmp_path / name).write_bytes(data)
+    paths = [f"file://{tmp_path}/{n}" for n in ("0_0_0.mvt", "1_0_0.mvt", "noname.mvt", "a.geojson", "b.geojson")]
+    told = {r.source.rpartition("/")[2]: r.problem for r in geojson.unreadable(spark, paths).collect()}
+    assert told.keys() == {"0_0_0.mvt", "1_0_0.mvt", "noname.mvt", "a.geojson"} and told["1_0_0.mvt"] == "layer old: version 1, extent 4096"
+    assert [r.geom_type for r in geojson.read_auto(spark, paths).collect()] == ["Point"]
+    mvt.register(spark)
+    bad = spark.read.format("mvt").option("path", paths[0])
+    assert bad.load().count() == 0
+    with pytest.raises(Exception, match="wire type|ValueError|varint|over the end"):
+        bad.option("unreadable", "fail").load().count()
+    cli.run(["export", "-v", "-o", str(tmp_path / "e.json"), str(tmp_path / "0_0_0.mvt")], spark)
+    assert "no tile" in capsys.readouterr().err
+
+
+def test_steps_beyond_32_bits_leave_one_feature_out(spark):
+    far = [[[{"x": 0.0, "y": 0.0}, {"x": 4e9, "y": 0.0}]]]
+    from cartolith.sources import tiles
+
+    row = {"layer": "a", "ordinal": 0, "fid": None, "fid_text": "far", "srid": 0, "geom_type": "LineString", "parts": far, "layer_extent": 4096, "props_json": "{}"}
+    lost = []
+    data = tiles.encode_tile([row, {**row, "fid_text": "near", "ordinal": 1, "parts": [[[{"x": 0.0, "y": 0.0}, {"x": 9.0, "y": 0.0}]]]}], 0, 0, 0, ExportOptions(), lost)
+    assert lost == ["far"] and len(list(tiles.decode_tile(data, "s", 0, 0, 0, 0))) == 1
+
+
+def test_large_features_and_small_tolerances_multiply_nothing(spark):
+    df = spark.createDataFrame([("1", 0.0, 0.0, 4.0, 4.0), ("2", 1.0, 1.0, 1.0001, 1.0001)], "fid_text string, a double, b double, c double, d double")
+    corners = [F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in ("ab", "cb", "cd", "ad", "ab")]
+    df = schema.features(df.withColumn("p", F.array(F.array(F.array(*corners)))), srid=4326, layer=F.lit("l"), geom_type=F.lit("Polygon"), parts=F.col("p"), bbox=schema.bbox_of(F.col("p")), props_json=F.lit("{}"))
+    size = 4 * 50 / geo.RADIUS * 180 / 3.141592653589793
+    width = F.lit(size) * F.pow(F.lit(2.0), select.level_of(F.col("bbox"), size))
+    assert df.select(F.max(F.size(select.cells(F.col("bbox"), width)))).first()[0] <= 4
+    asked = spark.createDataFrame([(1, 1.00005, 1.00005), (2, 3.9, 3.9), (3, 5.0, 5.0), (4, 0.0, 89.99)], "point_idx int, px double, py double")
+    assert sorted((r.point_idx, r.fid_text) for r in select.around_many(df, asked, 50).collect()) == [(1, "1"), (1, "2"), (2, "1")]
+    assert "Python" not in select.around_many(df, asked, 50)._jdf.queryExecution().toString() and "Python" not in select.in_box(df, (0.0, 0.0, 1.0, 1.0))._jdf.queryExecution().toString()
+
+
+def test_predicates_over_columns_reach_the_scan(spark):
+    from cartolith.queries import QUERIES
+
+    plan = QUERIES["pred_range_and"](spark, SF)._jdf.queryExecution().toString()
+    assert "variant" not in plan.lower() and "(l_quantity" in plan and all(f"IsNotNull({c})" in plan for c in ("l_quantity", "l_discount"))
+
+
 def test_geojson(spark, tmp_path):
     collection = {
         "type": "FeatureCollection",
