@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 def _logs(counts: np.ndarray) -> np.ndarray:
     """Log frequencies of items, a column for each language, with one half added to every count."""
-    return np.log((counts + 0.5) / (np.maximum(counts.sum(0), 1) + 0.5 * len(counts)))
+    return np.log((counts.astype(np.float64) + 0.5) / (np.maximum(counts.sum(0, dtype=np.float64), 1) + 0.5 * len(counts)))
 
 
 def _marked(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,32 +115,34 @@ class Model:
     def __init__(self, langs: list[str], words: list[str], counts: np.ndarray) -> None:
         """``counts``: words x languages."""
         self.langs = langs
-        text = "\n".join(words)
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(sizes + 1) - sizes - 1
+        points = np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         one, two = hashes_of(points, starts, starts + sizes)
         order = np.argsort(one, kind="stable")
         self.keys, self.again, self.words = one[order], two[order], _logs(counts)[order]
+        del one, two, order
         letters, at = _marked(points, starts, starts + sizes)
+        del points, starts
         self.alphabet = np.unique(letters)
         self.nodes: list[np.ndarray] = []  # of each length but the first: node of the first letters * alphabet + last letter
         self.grams: list[np.ndarray] = []
-        owner = np.repeat(np.arange(len(words)), sizes + 2)
-        here = np.searchsorted(self.alphabet, letters)
+        left = np.repeat(at[1:], sizes + 2) - np.arange(len(letters))  # letters to the word's end
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes + 2)
+        place, here = np.arange(len(letters), dtype=np.int32), np.searchsorted(self.alphabet, letters).astype(np.int32)
+        del letters, at
         node = here
         for size in range(1, LONGEST + 1):
-            place = np.flatnonzero(np.arange(len(letters)) + size <= at[owner + 1])
             if size > 1:
-                key = node[place] * len(self.alphabet) + here[place + size - 1]
-                known, back = np.unique(key, return_inverse=True)
+                go = left[place] >= size
+                place, node = place[go], node[go]
+                known, node = np.unique(node * np.int64(len(self.alphabet)) + here[place + size - 1], return_inverse=True)
                 self.nodes.append(known)
             else:
-                known, back = self.alphabet, here
-            summed = np.stack([np.bincount(back, counts[owner[place], k], len(known)) for k in range(len(langs))], 1) if langs else np.zeros((len(known), 0))
+                known = self.alphabet
+            own = owner[place]
+            summed = np.stack([np.bincount(node, counts[:, k][own], len(known)) for k in range(len(langs))], 1) if langs else np.zeros((len(known), 0))
             self.grams.append(_logs(summed))
-            node = np.zeros(len(letters), np.int64)
-            node[place] = back
 
     def of_unseen(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Scores of words by the longest known n-grams from left to right."""
@@ -203,15 +206,18 @@ class Model:
 
 def model_of(rows: pa.Table) -> Model:
     """The model from counts (lang, item, n); the order of rows doesn't matter."""
-    langs = sorted(set(rows["lang"].to_pylist()))
-    words = sorted(set(rows["item"].to_pylist()))
-    at, place = {x: i for i, x in enumerate(langs)}, {x: i for i, x in enumerate(words)}
-    counts = np.zeros((len(words), len(langs)))
-    counts[[place[x] for x in rows["item"].to_pylist()], [at[x] for x in rows["lang"].to_pylist()]] = rows["n"].to_numpy()
+    langs = sorted(pc.unique(rows["lang"]).to_pylist())
+    if not langs:
+        return Model([], [], np.zeros((0, 0)))
+    items = rows["item"].combine_chunks().dictionary_encode()
+    counts = np.zeros((len(items.dictionary), len(langs)), np.float32)
+    counts[items.indices.to_numpy(), pc.index_in(rows["lang"], pa.array(langs)).to_numpy()] = rows["n"].to_numpy()
+    words = items.dictionary.to_pylist()
+    del items
     return Model(langs, words, counts)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 8192) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4096) -> Model:
     return model_of(word_counts(sample(docs, id_col, text_col, lang_col, sample_rows)).toArrow())
 
 
