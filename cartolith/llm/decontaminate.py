@@ -11,12 +11,14 @@ but none below 16 characters, at most one below 24 and two below 32, as far as t
 Items of fewer than ``FREE_CHARS`` compared characters match only between word boundaries: beside a blank, an end of the text, or
 a letter of a script that doesn't part words.
 
-Benchmark items are indexed in blocks of at most ``block_chars`` characters, each of which is broadcast and scanned over
-the documents in its own pass, so memory is bounded whatever the number of items. Documents are never shuffled.
+Benchmark items are indexed in blocks of about ``block_chars`` characters, each of which is broadcast and scanned over
+the documents in a pass of its own. Where there are several, a pass is written and its index taken back before the next begins, so
+memory is bounded whatever the number of items. Documents are never shuffled.
 
 Defined cases: null or empty text matches nothing; items with fewer than ``MIN_CHARS`` compared characters, a q-gram,
-match nothing; repeated rows are matched each on its own; an empty benchmark matches nothing. Extra
-columns pass through ``clean`` untouched.
+match nothing; repeated rows are matched each on its own, repeated items too; null ids stay null; texts of any length are scanned
+whole; ties: the least edits, then the first region's end. An empty benchmark matches nothing, an empty table gives an empty table. Extra
+columns pass through ``clean`` untouched and are ignored by ``matches``.
 """
 
 from __future__ import annotations
@@ -30,9 +32,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from cartolith.llm import store
 from cartolith.llm.arrowtext import column, slices
 from cartolith.llm.workers import tidy
 
@@ -298,24 +304,28 @@ class Finder:
         return sorted(rows)
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[Index]:
-    """Indexes of the items, a bounded block at a time."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[DataFrame]:
+    """The items (k, t), in blocks of about ``block_chars`` characters. An item longer than that is a block by itself."""
     items = benchmark.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.length("t") + 64)).first()[0] or 0
     count = max(1, math.ceil(total / block_chars))
-    for n in range(count):
-        yield index_items([(r.k, r.t) for r in items.where(F.pmod(F.xxhash64("k", "t"), F.lit(count)) == n).collect()])
+    return [items.where(F.pmod(F.xxhash64("k", "t"), F.lit(count)) == n) for n in range(count)]
+
+
+def _sent(block: DataFrame) -> Broadcast:
+    """The index of a block's items on the executors."""
+    return block.sparkSession.sparkContext.broadcast(index_items([(r.k, r.t) for r in block.collect()]))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, segments, edits, region_end: a row for each document and item of which it holds a passage."""
+    spark = docs.sparkSession
     kinds = [docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
+    item_kind = to_arrow_schema(StructType([benchmark.schema[item_col]])).field(0).type
     schema = f"k {kinds[0]}, item {kinds[1]}, segments long, edits long, region_end long"
     own = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
 
-    def scan(index: Index) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
+    def scan(sent: Broadcast) -> DataFrame:
         @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(sent.value)
@@ -323,26 +333,42 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 found = finder.find(column(b, "t").to_pylist())
                 if found:
                     doc, item, *rest = zip(*found)
-                    ids = pa.array([finder.index.item_ids[i] for i in item])
+                    ids = pa.array([finder.index.item_ids[i] for i in item], item_kind)
                     yield pa.RecordBatch.from_arrays([column(b, "k").take(pa.array(doc)), ids, *(pa.array(x, pa.int64()) for x in rest)], ["k", "item", "segments", "edits", "region_end"])
 
         return own.mapInArrow(run, schema)
 
-    found = [scan(x) for x in blocks(benchmark, item_col, item_text, block_chars)]
+    parts = blocks(benchmark, item_col, item_text, block_chars)
+    if len(parts) == 1:
+        return scan(_sent(parts[0])).withColumnsRenamed({"k": id_col, "item": item_col})
+    found = []
+    for block in parts:  # one index at a time
+        sent = _sent(block)
+        found.append(store.save(spark, scan(sent), "matches")[0])
+        store.release(sent)
     return reduce(DataFrame.unionAll, found).withColumnsRenamed({"k": id_col, "item": item_col})
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark, with all their columns."""
-    for index in blocks(benchmark, item_col, item_text, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
 
+    def kept(docs: DataFrame, sent: Broadcast) -> DataFrame:
         @tidy
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(sent.value)
             for b in slices(batches, text_col, 1 << 20):
                 bad = {d for d, *_ in finder.find(column(b, text_col).to_pylist())}
-                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)]))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    parts = blocks(benchmark, item_col, item_text, block_chars)
+    before = None
+    for block in parts[:-1]:  # one index at a time
+        sent = _sent(block)
+        docs, path = store.save(docs.sparkSession, kept(docs, sent), "clean")
+        store.release(sent)
+        if before:
+            store.drop(docs.sparkSession, before)
+        before = path
+    return kept(docs, _sent(parts[-1]))

@@ -1,19 +1,21 @@
-"""URL rules looked up through a cascade of Bloom filters: exact, without a join and without Python on executors.
+"""URL rules looked up through cascades of Bloom filters: exact, without a join and without Python on executors.
 
 A URL's keys are all its host's suffixes, each followed by the starts of its path that have the length of some listed
-path. The universe is every key of every URL of the corpus. Level 1 of the cascade encodes the listed keys; level 2
-encodes the keys of the universe that pass level 1 but aren't listed; level 3 the listed keys that pass level 2; and so
-on until nothing passes wrongly. A key is listed if the first level that lacks it has an even number. So membership is
-exact for every URL of the corpus.
+path. The universe is every key of every URL of the corpus. There is a cascade for the rules that block and one for those that
+allow. Level 1 of a cascade encodes the listed keys; level 2 encodes the keys of the universe that pass level 1 but aren't
+listed; level 3 the listed keys that pass level 2; and so on until nothing passes wrongly. A key is listed if the first level
+that lacks it has an even number. So membership is exact for every URL of the corpus.
 
-Level 1 is sized so that about as many keys pass wrongly as are listed; all levels together take some
-log2(universe / list) bits for each listed key. They are literals in the plan, and a build of more than
-``most_filter_bytes`` is refused (the list is then to be looked up by a join). What reaches the driver is the set bits of
-each level, which that bound covers; the keys of the universe stay where they are.
+The list is a table. Level 1 is sized so that about as many keys pass wrongly as are listed; the corpus is read once for
+all that pass level 1, a table of about twice the list, and further levels read that. All levels together take some
+log2(universe / list) bits for each listed key. They are literals in the plan of at most ``most_filter_bytes``; what reaches the
+driver is their set bits, 63 in a row. A longer list, whose filters don't fit, is looked up by an equi-join of keys, with
+the same result.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no rule. Repeated rows are judged
-each on its own. Of the rules that fit, the one with most letters (host and path) wins; equal rules can't be listed
-twice with different verdicts. URLs that no rule fits get ``otherwise``. Extra columns are ignored.
+each on its own, whatever their ids, null ones included. Of the rules that fit, the one with most letters (host and path) wins, of those with equally many the
+one with the longer host; equal rules can't be listed with different verdicts, and listing one twice changes nothing. URLs that no rule fits get
+``otherwise``. Very long URLs are taken whole. An empty table gives an empty table, an empty list ``otherwise`` for all. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartolith.llm import store
+
 WORD = 7  # bits in a byte of a filter: bytes below 128 are read back as ASCII
 
 
@@ -55,7 +59,7 @@ def path_of(url: Column) -> Column:
 
 
 def keys_of(host: Column, path: Column, path_lengths: list[int], most_labels: int) -> Column:
-    """All keys of a URL, longest first by host and then by path; hosts of more labels than any rule keep all suffixes that a rule can equal."""
+    """All keys of a URL; hosts of more labels than any rule keep all suffixes that a rule can equal."""
     labels = F.split(host, r"\.")
     count = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), F.least(count, F.lit(most_labels))), lambda n: F.array_join(F.slice(labels, count - n + 1, n), "."))
@@ -103,58 +107,89 @@ class Cascade:
         return sum(len(x.bits) for x in self.levels)
 
 
+class TooLarge(ValueError):
+    """The filters don't fit in the bound."""
+
+
 def _filled(keys: DataFrame, number: int, n_hashes: int, n_bits: int) -> Level:
-    """Set bits of all keys, or-ed on the executors; at most n_bits / 7 rows come back."""
+    """Set bits of all keys, or-ed on the executors, nine bytes in a row; at most n_bits / 63 rows come back."""
     at = keys.select(F.explode(F.array(*positions(F.col("key"), number, n_hashes, n_bits))).alias("at"))
-    words = at.groupBy(F.floor(F.col("at") / WORD).alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 7 as int))")).alias("b"))
-    body = bytearray(n_bits // WORD + 1)
-    for r in words.collect():
-        body[r.w] = r.b
+    rows = at.groupBy(F.expr("at div 63").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 63 as int))")).alias("b"))
+    body = bytearray((n_bits // 63 + 1) * 9)
+    for r in rows.collect():
+        for i in range(9):
+            body[r.w * 9 + i] = r.b >> (7 * i) & 0x7F
     return Level(number, n_hashes, n_bits, bytes(body))
 
 
-def build(spark: SparkSession, listed: list[str], universe: DataFrame, most_filter_bytes: int = 8 << 20, most_levels: int = 40) -> Cascade:
-    """``universe`` has a column ``key``, repeated or not; it is read once to size level 1 and once for each second level."""
-    listed = sorted(set(listed))
-    if not listed:
-        return Cascade([])
-    own = spark.range(1).select(F.explode(F.array(*map(F.lit, listed))).alias("key"))
-    total = universe.agg(F.approx_count_distinct("key", 0.02)).first()[0]
+def build(listed: DataFrame, universe: DataFrame, total: int, most_filter_bytes: int = 4 << 20, most_levels: int = 40) -> Cascade:
+    """``listed`` and ``universe`` have a column ``key``, repeated or not; ``total`` is about the number of distinct keys of the universe, which is
+    read once."""
+    spark = listed.sparkSession
+    own, own_path = store.save(spark, listed.select("key").distinct(), "listed")
+    used = [own_path]
     levels: list[Level] = []
-    wrong, right = max(total, 1), len(listed)
+    inside, outside, n_inside, n_outside = own, None, own.count(), max(total, 1)
+    if not n_inside:
+        return Cascade([])
     for number in range(1, most_levels + 1):
-        rate = min(0.5, max(right, 1) / (2 * max(wrong, 1))) if number == 1 else 0.5
+        rate = min(0.5, n_inside / (2 * n_outside)) if number == 1 else 0.5
         n_hashes = max(1, round(-math.log2(rate)))
-        n_bits = max(64, math.ceil(right * n_hashes / math.log(2)))
+        n_bits = max(64, math.ceil(n_inside * n_hashes / math.log(2)))
         if n_bits / WORD + sum(len(x.bits) for x in levels) > most_filter_bytes:
-            raise ValueError(f"the filters of {len(listed)} keys would take over {most_filter_bytes} bytes")
-        others = universe.where(~F.col("key").isin(listed))
-        inside, outside = (own, others) if number % 2 else (others, own)
-        for x in levels:
-            inside = inside.where(x.has(F.col("key")))
-            outside = outside.where(x.has(F.col("key")))
+            raise TooLarge(f"the filters of {n_inside} keys would take over {most_filter_bytes} bytes")
         levels.append(_filled(inside, number, n_hashes, n_bits))
-        passed = outside.where(levels[-1].has(F.col("key")))
-        wrong, right = right, passed.agg(F.approx_count_distinct("key", 0.02)).first()[0]
-        if not passed.head(1):
+        others = universe.select("key") if outside is None else outside
+        others = others.where(levels[-1].has(F.col("key"))).distinct()
+        if outside is None:
+            others = others.join(own, "key", "left_anti")
+        passed, path = store.save(spark, others, "passed")
+        used.append(path)
+        n_passed = passed.count()
+        if not n_passed:
+            store.drop(spark, *used)
             return Cascade(levels)
+        inside, outside, n_inside, n_outside = passed, inside, n_passed, n_inside
     raise RuntimeError("the cascade did not end; hash values of two keys are equal at every level")
 
 
-def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow", **sizes: int) -> DataFrame:
-    """page_id, host, path, rule, verdict. One scan of the URL column for each level, no shuffle of pages."""
-    verdicts = {r.key: r.verdict for r in rules}
-    if len(verdicts) < len({(r.key, r.verdict) for r in rules}):
+def _longest(keys: Column) -> Column:
+    """Of an array of keys the one of most letters, of equals that of the longer host; null for none."""
+    host = lambda k: F.when(F.instr(k, "/") > 0, F.instr(k, "/") - 1).otherwise(F.length(k))
+    return F.array_max(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), host(k).alias("h"), k.alias("key"))))
+
+
+def _joined(parts: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rule and verdict of each page by an equi-join of keys: a row for each host and path meets its pages again."""
+    each = parts.select("host", "path", F.explode("keys").alias("key")).distinct().join(rules, "key")
+    best = each.groupBy("host", "path").agg(F.max(F.struct(F.length("key"), F.when(F.instr("key", "/") > 0, F.instr("key", "/") - 1).otherwise(F.length("key")), "key", "verdict")).alias("best"))
+    return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), F.col("best.verdict").alias("found"))
+
+
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, id_col: str = "page_id", url_col: str = "url", otherwise: str = "allow", **sizes: int) -> DataFrame:
+    """page_id, host, path, rule, verdict. ``rules``: a list, or a table (host, path, verdict). The URL column is read three times, pages
+    aren't shuffled."""
+    spark = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
+    keyed, _ = store.save(spark, rules.select(F.concat("host", "path").alias("key"), "host", "path", "verdict").dropDuplicates(["key", "verdict"]), "rules")
+    if keyed.groupBy("key").count().where("count > 1").head(1):
         raise ValueError("a rule is listed with two verdicts")
-    lengths = sorted({len(r.path) for r in rules}, reverse=True)
-    labels = max((r.host.count(".") + 1 for r in rules), default=1)
+    shape = keyed.agg(F.collect_set(F.length("path")).alias("lengths"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()
+    lengths, labels = sorted(shape.lengths, reverse=True), shape.labels or 1
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    parts = parts.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths, labels) if rules else F.array().cast("array<string>"))
-    cascade = build(pages.sparkSession, list(verdicts), parts.select(F.explode("keys").alias("key")), **sizes)
-    if not rules:
+    if not lengths:
         return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
-    found = parts.withColumn("hits", F.filter("keys", cascade.contains))
-    best = F.aggregate("hits", F.lit(None).cast("string"), lambda a, x: F.when(a.isNull() | (F.length(x) > F.length(a)), x).otherwise(a))
-    blocked = [k for k, v in verdicts.items() if v == "block"]
-    verdict = F.when(F.col("rule").isNull(), F.lit(otherwise)).when(F.col("rule").isin(blocked), F.lit("block")).otherwise(F.lit("allow"))
-    return found.withColumn("rule", best).select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    parts = parts.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths, labels))
+    universe = parts.select(F.explode("keys").alias("key"))
+    verdicts = [r.verdict for r in keyed.select("verdict").distinct().orderBy("verdict").collect()]  # kinds of verdicts: a few words
+    try:
+        total = universe.agg(F.approx_count_distinct("key", 0.02)).first()[0]
+        cascades = {v: build(keyed.where(F.col("verdict") == v), universe, total, **sizes) for v in verdicts}
+    except TooLarge:
+        found = _joined(parts, keyed.select("key", "verdict"))
+    else:
+        best = {v: _longest(F.filter("keys", c.contains)) for v, c in cascades.items()}
+        found = parts.select("page_id", "host", "path", F.array_max(F.array(*(F.when(b.isNotNull(), F.struct(b.alias("b"), F.lit(v).alias("verdict"))) for v, b in best.items()))).alias("best"))
+        found = found.select("page_id", "host", "path", F.col("best.b.key").alias("rule"), F.col("best.verdict").alias("found"))
+    return found.select("page_id", "host", "path", "rule", F.coalesce("found", F.lit(otherwise)).alias("verdict"))

@@ -40,11 +40,29 @@ def test_cascade_is_exact(spark):
     keys = [f"k{i}" for i in range(3000)]
     listed = random.Random(3).sample(keys, 60)
     universe = spark.createDataFrame([(k,) for k in keys + keys[:500]], "key string")
-    cascade = url_filter.build(spark, listed, universe)
+    own = spark.createDataFrame([(k,) for k in listed + listed[:5]], "key string")
+    cascade = url_filter.build(own, universe, 3000)
     got = {r.key for r in universe.where(cascade.contains(F.col("key"))).collect()}
-    assert got == set(listed) and cascade.size_bytes < 60 * 8
-    with pytest.raises(ValueError, match="bytes"):
-        url_filter.build(spark, listed, universe, most_filter_bytes=20)
+    assert got == set(listed) and cascade.size_bytes < 60 * 8 and len(cascade.levels) > 1
+    with pytest.raises(url_filter.TooLarge):
+        url_filter.build(own, universe, 3000, most_filter_bytes=20)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"most_filter_bytes": 8}])
+def test_long_lists_and_ties(spark, sizes):
+    rnd = random.Random(4)
+    rules = [(f"h{i}.net", f"/{'p' * rnd.randint(0, 3)}", rnd.choice(["block", "allow"])) for i in range(400)]
+    rules += [("net", "/abcd", "block"), ("a.net", "/ab", "allow"), ("bare.org", "", "block"), ("bare.org", "", "block")]
+    urls = [f"http://{rnd.choice(['', 'www.'])}h{rnd.randint(0, 800)}.net/{'p' * rnd.randint(0, 4)}" for _ in range(300)] + ["http://a.net/abcd", "http://b.net/abcd", "x://bare.org?q", "x://y.bare.org/" + "z" * 100_000, None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("verdict", F.lit("no"))
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, table, **sizes).collect()}
+    known = {h + p: (h, p, v) for h, p, v in rules}
+    for i, url in enumerate(urls):
+        host, slash, rest = (url or "://").split("://", 1)[1].split("?")[0].partition("/")
+        fits = [(len(k), len(h), k, v) for k, (h, p, v) in known.items() if (host == h or host.endswith("." + h)) and (slash + rest).startswith(p)]
+        assert got[i] == (max(fits)[2:] if fits else (None, "allow")), url
+    assert got[300] == ("a.net/ab", "allow") and len(got) == len(urls)
 
 
 def test_key_filter_loses_nothing(spark):
@@ -122,12 +140,33 @@ def test_passages_are_found_wherever_they_start():
     assert finder.find([text[:12]]) == []
 
 
-def test_leaks_of_the_tables(spark):
-    items = queries.table(spark, SF2, "benchmark").collect()
-    docs = queries.table(spark, SF2, "documents").collect()
-    verbatim = {(d.doc_id, i.item_id) for d in docs for i in items if i.text in (d.text or "") and len(decontaminate.compared(i.text)) >= decontaminate.MIN_CHARS}
-    found = {(r.doc_id, r.item_id) for r in queries.op2_decontaminate(spark, SF2).collect()}
-    assert verbatim <= found and len(found) <= len(verbatim) + 5
+def least_edits(a, b):
+    """The same as ``edits`` of code points, a row at a time."""
+    row = np.zeros(len(b) + 1, np.int64)
+    along = np.arange(len(b) + 1)
+    for i, x in enumerate(a):
+        new = np.empty_like(row)
+        new[0] = i + 1
+        new[1:] = np.minimum(row[:-1] + (b != x), row[1:] + 1)
+        row = np.minimum.accumulate(new - along) + along
+    return row.min()
+
+
+def test_leaks_of_the_tables_against_full_alignment(spark):
+    items = {r.item_id: decontaminate.points(r.text) for r in queries.table(spark, SF, "benchmark").collect()}
+    docs = {r.doc_id: decontaminate.points(r.text) for r in queries.table(spark, SF, "documents").collect()}
+    grams = {i: set(decontaminate.gram_codes(x).tolist()) for i, x in items.items()}
+    expected = set()
+    for d, text in docs.items():
+        own = set(decontaminate.gram_codes(text).tolist())
+        for i, item in items.items():
+            size = min(len(item), 96)
+            budget = min(int(size * 0.1), max(size // 8 - 1, 0))
+            if size < 32 or len(own & grams[i]) < size + 1 - 8 * (budget + 1):  # too few in the whole text already
+                continue
+            if any(least_edits(item[at : at + size], text) <= budget for at in range(len(item) - size + 1)):
+                expected.add((d, i))
+    assert {(r.doc_id, r.item_id) for r in queries.op2_decontaminate(spark, SF).collect()} == expected and expected
 
 
 def test_language_id_on_held_out_documents(spark):
