@@ -1,10 +1,10 @@
 """URL rules looked up through cascades of Bloom filters: exact, without a join and without Python on executors.
 
 A URL's keys are all its host's suffixes, each followed by the starts of its path that have the length of some listed
-path. The universe is every key of every URL of the corpus. There is a cascade for the rules that block and one for those that
-allow. Level 1 of a cascade encodes the listed keys; level 2 encodes the keys of the universe that pass level 1 but aren't
-listed; level 3 the listed keys that pass level 2; and so on until nothing passes wrongly. A key is listed if the first level
-that lacks it has an even number. So membership is exact for every URL of the corpus.
+path. The universe is every key of every URL of the corpus. Level 1 of the cascade encodes the listed keys; level 2 encodes
+the keys of the universe that pass level 1 but aren't listed; level 3 the listed keys that pass level 2; and so on until nothing passes
+wrongly. A key is listed if the first level that lacks it has an even number. So membership is exact for every URL of the
+corpus. The verdicts of a long list are cascades, too, whose universe is the list.
 
 The list is a table. Level 1 is sized so that about as many keys pass wrongly as are listed; the corpus is read once for
 all that pass level 1, a table of about twice the list, and further levels read that. All levels together take some
@@ -21,6 +21,7 @@ one with the longer host; equal rules can't be listed with different verdicts, a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -122,14 +123,14 @@ def _filled(keys: DataFrame, number: int, n_hashes: int, n_bits: int) -> Level:
     return Level(number, n_hashes, n_bits, bytes(body))
 
 
-def build(listed: DataFrame, universe: DataFrame, total: int, most_filter_bytes: int = 4 << 20, most_levels: int = 40) -> Cascade:
-    """``listed`` and ``universe`` have a column ``key``, repeated or not; ``total`` is about the number of distinct keys of the universe, which is
-    read once."""
+def build(listed: DataFrame, universe: DataFrame, n_listed: int, total: int, most_filter_bytes: int = 4 << 20, most_levels: int = 40) -> Cascade:
+    """``listed`` and ``universe`` have a column ``key``, the universe's repeated or not; ``n_listed`` and ``total`` are about their numbers of distinct keys. The
+    universe is read once."""
     spark = listed.sparkSession
-    own, own_path = store.save(spark, listed.select("key").distinct(), "listed")
-    used = [own_path]
+    own = listed.select("key")
+    used: list[str] = []
     levels: list[Level] = []
-    inside, outside, n_inside, n_outside = own, None, own.count(), max(total, 1)
+    inside, outside, n_inside, n_outside = own, None, n_listed, max(total, 1)
     if not n_inside:
         return Cascade([])
     for number in range(1, most_levels + 1):
@@ -173,23 +174,39 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, id_col: str = "page_i
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
     keyed, _ = store.save(spark, rules.select(F.concat("host", "path").alias("key"), "host", "path", "verdict").dropDuplicates(["key", "verdict"]), "rules")
-    if keyed.groupBy("key").count().where("count > 1").head(1):
+    shape = keyed.agg(F.collect_set(F.length("path")).alias("lengths"), F.max(F.size(F.split("host", r"\."))).alias("labels"), F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"), F.collect_set("verdict").alias("verdicts")).first()
+    if shape.n != shape["keys"]:
         raise ValueError("a rule is listed with two verdicts")
-    shape = keyed.agg(F.collect_set(F.length("path")).alias("lengths"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()
     lengths, labels = sorted(shape.lengths, reverse=True), shape.labels or 1
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if not lengths:
         return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
     parts = parts.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths, labels))
     universe = parts.select(F.explode("keys").alias("key"))
-    verdicts = [r.verdict for r in keyed.select("verdict").distinct().orderBy("verdict").collect()]  # kinds of verdicts: a few words
     try:
-        total = universe.agg(F.approx_count_distinct("key", 0.02)).first()[0]
-        cascades = {v: build(keyed.where(F.col("verdict") == v), universe, total, **sizes) for v in verdicts}
+        cascade = build(keyed, universe, shape.n, universe.agg(F.approx_count_distinct("key", 0.02)).first()[0], **sizes)
+        verdict = _verdicts(keyed, shape.n, sorted(shape.verdicts), **sizes)
     except TooLarge:
         found = _joined(parts, keyed.select("key", "verdict"))
     else:
-        best = {v: _longest(F.filter("keys", c.contains)) for v, c in cascades.items()}
-        found = parts.select("page_id", "host", "path", F.array_max(F.array(*(F.when(b.isNotNull(), F.struct(b.alias("b"), F.lit(v).alias("verdict"))) for v, b in best.items()))).alias("best"))
-        found = found.select("page_id", "host", "path", F.col("best.b.key").alias("rule"), F.col("best.verdict").alias("found"))
+        found = parts.select("page_id", "host", "path", _longest(F.filter("keys", cascade.contains))["key"].alias("rule")).withColumn("found", verdict(F.col("rule")))
     return found.select("page_id", "host", "path", "rule", F.coalesce("found", F.lit(otherwise)).alias("verdict"))
+
+
+def _verdicts(keyed: DataFrame, n: int, kinds: list[str], most_literals: int = 1000, **sizes: int) -> Callable[[Column], Column]:
+    """The verdict of a listed key as a column: from the keys of all kinds but the last, as literals where they are few, else in a cascade over the list."""
+    tests = []
+    for kind in kinds[:-1]:
+        own = keyed.where(F.col("verdict") == kind).select("key")
+        if n <= most_literals:
+            tests.append((F.lit(kind), lambda k, keys=[r.key for r in own.collect()]: k.isin(keys)))
+        else:
+            tests.append((F.lit(kind), build(own, keyed, own.count(), n, **sizes).contains))
+
+    def verdict(key: Column) -> Column:
+        out = F.lit(kinds[-1])
+        for kind, holds in tests:
+            out = F.when(holds(key), kind).otherwise(out)
+        return F.when(key.isNotNull(), out)
+
+    return verdict

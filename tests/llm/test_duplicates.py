@@ -240,6 +240,44 @@ def test_line_dedup(spark):
     assert [r.text for r in line_dedup.dedup(same).orderBy("doc_id").collect()] == ["one long line", "one long line", ""]
 
 
+def test_line_dedup_of_frequent_lines_clashing_names_and_null_ids(spark):
+    rows = [(i, f"the same line of all\nown line number {i}\nthe same line of all") for i in range(300)] + [(-5, "  THE same line of all"), (7, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for ranges in (1, 40):
+        marks = line_dedup.keep_bitmaps(docs, ranges=ranges)
+        got = {}
+        for r in line_dedup.apply_bitmaps(docs, marks).collect():
+            n, text = got.get(r.doc_id, (0, []))
+            got[r.doc_id] = (n + len(r._kept_lines) + r._n_dropped, text + r._kept_lines)
+        assert {k: (n, "\n".join(sorted(x))) for k, (n, x) in got.items()} == {k: (n, "\n".join(sorted(x.split("\n")))) for k, (n, x) in brute_lines(rows, 10).items()}
+    assert line_dedup.frequent_keys(line_dedup.hashed_lines(docs, "doc_id", "text", 10), 20).count() == 1
+    clash = docs.selectExpr("doc_id", "text", "1 AS _words", "2 AS _th", "3 AS _doc", "4 AS _kept_lines", "5 AS _N_dropped", "6 AS words")
+    out = line_dedup.dedup(clash)
+    assert out.columns == clash.columns and {tuple(r)[2:] for r in out.collect()} == {(1, 2, 3, 4, 5, 6)}
+    with pytest.raises(ValueError, match="already"):
+        line_dedup.apply_bitmaps(clash, line_dedup.keep_bitmaps(clash))
+    none = spark.createDataFrame([(None, "one long line"), (None, "one long line"), (1, "one long line")], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in line_dedup.dedup(none).collect()} == {(None, "one long line"), (1, "one long line")}
+
+
+def test_lines_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, "a line of some length") for i in range(50)], "doc_id long, text string")
+    seen = []
+    keep = line_dedup.store.save
+
+    def noted(spark, df, name, codec="snappy"):
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(spark, df, name, codec)
+
+    line_dedup.store.save = noted
+    try:
+        line_dedup.keep_bitmaps(docs)
+    finally:
+        line_dedup.store.save = keep
+    plan = dict(seen)["streamed"]
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 0
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)] + [(rnd.randint(200, 400), rnd.randint(200, 400)) for _ in range(150)] + [(5, 5)]

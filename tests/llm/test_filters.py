@@ -40,16 +40,19 @@ def test_cascade_is_exact(spark):
     keys = [f"k{i}" for i in range(3000)]
     listed = random.Random(3).sample(keys, 60)
     universe = spark.createDataFrame([(k,) for k in keys + keys[:500]], "key string")
-    own = spark.createDataFrame([(k,) for k in listed + listed[:5]], "key string")
-    cascade = url_filter.build(own, universe, 3000)
+    own = spark.createDataFrame([(k,) for k in listed], "key string")
+    cascade = url_filter.build(own, universe, 60, 3000)
     got = {r.key for r in universe.where(cascade.contains(F.col("key"))).collect()}
     assert got == set(listed) and cascade.size_bytes < 60 * 8 and len(cascade.levels) > 1
     with pytest.raises(url_filter.TooLarge):
-        url_filter.build(own, universe, 3000, most_filter_bytes=20)
+        url_filter.build(own, universe, 60, 3000, most_filter_bytes=20)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"most_filter_bytes": 8}])
-def test_long_lists_and_ties(spark, sizes):
+@pytest.mark.parametrize("sizes", [{}, {"most_filter_bytes": 8}, {"literals": 10}])
+def test_long_lists_and_ties(spark, sizes, monkeypatch):
+    if "literals" in sizes:
+        monkeypatch.setattr(url_filter._verdicts, "__defaults__", (sizes["literals"],))
+        sizes = {}
     rnd = random.Random(4)
     rules = [(f"h{i}.net", f"/{'p' * rnd.randint(0, 3)}", rnd.choice(["block", "allow"])) for i in range(400)]
     rules += [("net", "/abcd", "block"), ("a.net", "/ab", "allow"), ("bare.org", "", "block"), ("bare.org", "", "block")]
