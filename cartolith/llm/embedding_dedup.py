@@ -4,7 +4,7 @@ Every link is found; nothing depends on recall. All cosines are computed in doub
 blocks of matrix products. A task returns counts and a spanning forest, never the pairs.
 
 A label is compared whole, all its vectors with each other, unless the tables save work. Their codes are signs of the centred,
-rotated vectors, a rotation learned on a bounded sample (iterative quantisation, ``sample_rows`` of the least hashed ids); a
+rotated vectors, a rotation learned on a bounded sample (iterative quantisation, about ``sample_rows`` by a hash of the id); a
 code is cut into substrings of ``table_bits``, one table each. Rotated vectors are no further apart than the vectors, so two
 that link differ by at most 1 / tables of the greatest squared distance in one of the tables at least; where their signs differ
 there, the squares of one of the two sum to half of that at most. Each vector is thus sent to its own bucket and to those that
@@ -17,8 +17,9 @@ gathered and none is capped. Comparing a label whole takes time by the square of
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have no label, link with nothing.
 Vectors of each length are searched by themselves, with a rotation of their own; lengths of fewer than ``LEAST_FIT`` rows of the
-sample are compared whole. Repeated rows are rows of their own; rows with the same id link as one
-component. Extra columns are ignored.
+sample are compared whole. Components of four bytes and of eight are both compared in double precision as they are. Ids are integers;
+rows with a null id link with nothing, are kept and have no component. Repeated rows are rows of their own; rows with the same id link as one
+component. Ties: a cosine of exactly ``least`` links. An empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,15 +80,22 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.sqrt((matrix * matrix).sum(1, keepdims=True))
 
 
-def _matrix(array: pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(array.to_pylist()), "<f4").reshape(-1, size).astype(np.float64)
+def _matrix(array: pa.Array, size: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(array.to_pylist()), kind).reshape(-1, size).astype(np.float64)
+
+
+def kind_of(vectors: DataFrame, vec_col: str) -> str:
+    """How components travel: in four bytes if they come in four, else in eight."""
+    return "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """k, label, v: vectors that can link. The label is that of the vector's length, too."""
     v = F.col(vec_col).cast("array<double>")
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    return vectors.where(fine & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.xxhash64(F.col(label_col).cast("string"), F.size(v)).alias("label"), F.col(vec_col).cast("array<float>").alias("v"))
+    named = F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
+    own = F.col(vec_col) if kind_of(vectors, vec_col) == "<f4" else v
+    return vectors.where(fine & named).select(F.col(id_col).cast("long").alias("k"), F.xxhash64(F.col(label_col).cast("string"), F.size(v)).alias("label"), own.alias("v"))
 
 
 def _subs(turned: np.ndarray) -> np.ndarray:
@@ -133,9 +142,10 @@ def whole_up_to(turned: np.ndarray, reach: float, block_rows: int) -> int | None
     return int(block_rows * len(spots) / len(turned))
 
 
-def bucketed(own: DataFrame, quantisers: dict[int, Quantiser], table_bits: int, least: float, whole_rows: dict[int, int]) -> DataFrame:
+def bucketed(own: DataFrame, quantisers: dict[int, Quantiser], table_bits: int, least: float, whole_rows: dict[int, int], type_: str = "<f4") -> DataFrame:
     """k, label, v (binary), y (binary: the rotated vector, null in labels that are compared whole), spots (the buckets it is sent to)."""
     sent = own.sparkSession.sparkContext.broadcast(quantisers)
+    width = np.dtype(type_).itemsize
     if whole_rows:
         limit = F.element_at(F.create_map(*(F.lit(x) for pair in whole_rows.items() for x in pair)), F.size("v"))
         counts = own.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
@@ -148,16 +158,16 @@ def bucketed(own: DataFrame, quantisers: dict[int, Quantiser], table_bits: int,
         for b in batches:
             if not b.num_rows:
                 continue
-            raw = [np.asarray(x, "<f4").tobytes() for x in column(b, "v").to_pylist()]
+            raw = [np.asarray(x, type_).tobytes() for x in column(b, "v").to_pylist()]
             y: list[bytes | None] = [None] * len(raw)
             spots: list[list[int]] = [[1]] * len(raw)
-            sizes = np.where(np.array(column(b, "whole").to_pylist(), bool), 0, [len(x) // 4 for x in raw])
+            sizes = np.where(np.array(column(b, "whole").to_pylist(), bool), 0, [len(x) // width for x in raw])
             for size in np.unique(sizes[sizes > 0]).tolist():
                 dealt = np.flatnonzero(sizes == size)
                 quantiser = sent.value[size]
                 for at in range(0, len(dealt), 1024):
                     some = dealt[at : at + 1024]
-                    turned = quantiser.turned(_unit(_matrix(pa.array([raw[i] for i in some], pa.binary()), size)), table_bits)
+                    turned = quantiser.turned(_unit(_matrix(pa.array([raw[i] for i in some], pa.binary()), size, type_)), table_bits)
                     row, spot = _spots(turned, quantiser.reach(least, turned.shape[1]))
                     for i, t in zip(some, turned):
                         y[i], spots[i] = t.tobytes(), []
@@ -238,7 +248,7 @@ class Bucket:
         return count, edges
 
 
-def links(own: DataFrame, least: float, block_rows: int, table_bits: int, reach: dict[int, float]) -> DataFrame:
+def links(own: DataFrame, least: float, block_rows: int, table_bits: int, reach: dict[int, float], type_: str = "<f4") -> DataFrame:
     """a, b, n: partial link counts (b null) and forest edges (n null), from ``bucketed`` rows."""
     each = own.select("k", "label", "v", "y", F.explode("spots").alias("spot"))
     each = each.withColumns({"home": F.col("spot") % 2 == 1, "spot": F.shiftright("spot", 1)})
@@ -270,8 +280,8 @@ def links(own: DataFrame, least: float, block_rows: int, table_bits: int, reach:
                     continue
                 _, spot, lo, hi = group[s].tolist()
                 vectors = t["v"].slice(s, e - s)
-                size = len(vectors[0].as_py()) // 4
-                unit = _unit(_matrix(vectors, size))
+                size = len(vectors[0].as_py()) // np.dtype(type_).itemsize
+                unit = _unit(_matrix(vectors, size, type_))
                 raw = t["y"].slice(s, e - s).to_pylist()
                 turned = None if raw[0] is None else np.frombuffer(b"".join(raw), "<f4").reshape(e - s, -1, table_bits)
                 count, edges = Bucket(unit, turned, home[s:e], spot >> table_bits, least, reach.get(size, 0.0)).links(sides[s:e] == lo if lo != hi else None, block_rows)
@@ -304,16 +314,28 @@ def links(own: DataFrame, least: float, block_rows: int, table_bits: int, reach:
     return dealt.mapInArrow(run, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", table_bits: int = 8, sample_rows: int = 20_000, block_rows: int = 2048, whole_rows: int | None = None) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row for each vector. ``whole_rows``, if given, instead of what the sample says; results don't depend on it."""
+def sample_of(own: DataFrame, n: int, sample_rows: int) -> list[np.ndarray]:
+    """Vectors of all ``n`` rows, or of about ``sample_rows`` of them by a hash of the id."""
+    if n > sample_rows:
+        own = own.where(F.pmod(F.xxhash64(F.lit(31), "k"), F.lit(1 << 40)) < F.lit(int((1 << 40) * (sample_rows / n))))
+    vectors = own.select(F.transform("v", lambda x: x.cast("double")).alias("v")).toArrow()["v"].combine_chunks()
+    if not len(vectors):
+        return []
+    return np.split(vectors.flatten().to_numpy(), np.cumsum(pc.list_value_length(vectors).to_numpy())[:-1])
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", table_bits: int | None = None, sample_rows: int = 20_000, block_rows: int = 2048, whole_rows: int | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row for each vector. ``whole_rows``, if given, instead of what the sample says; results don't depend on
+    it, nor on ``table_bits``, which follows the number of vectors unless given."""
     spark = vectors.sparkSession
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
-    own = usable(vectors, id_col, vec_col, label_col)
-    sample = [np.asarray(r.v, np.float64) for r in own.orderBy(F.xxhash64("k"), "k").limit(sample_rows).select("v").collect()]
-    if not sample:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    own, type_ = usable(vectors, id_col, vec_col, label_col), kind_of(vectors, vec_col)
+    n = own.count()
+    if table_bits is None:
+        table_bits = int(np.clip(np.ceil(np.log2(max(n, 1) / 4096)), 8, 12))
+    sample = sample_of(own, n, sample_rows)
     quantisers, reach, most = {}, {}, {}
-    lengths = np.array([len(x) for x in sample])
+    lengths = np.array([len(x) for x in sample], np.int64)
     for size in np.unique(lengths).tolist():
         if np.count_nonzero(lengths == size) < LEAST_FIT:
             continue
@@ -324,11 +346,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
         rows = whole_up_to(turned, reach[size], block_rows) if whole_rows is None else whole_rows
         if rows is not None:
             most[size] = rows
-    coded, coded_path = store.save(spark, bucketed(own, quantisers, table_bits, least, most), "codes")
-    found, _ = store.save(spark, links(coded, least, block_rows, table_bits, reach), "links")
+    coded, coded_path = store.save(spark, bucketed(own, quantisers, table_bits, least, most, type_), "codes")
+    found, _ = store.save(spark, links(coded, least, block_rows, table_bits, reach, type_), "links")
     store.drop(spark, coded_path)
     counted = found.where("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     groups = components(found.where("b is not null"), "a", "b").withColumnRenamed("id", "vec_id")
     out = every.join(counted, "vec_id", "left").join(groups, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -322,7 +322,7 @@ def test_embedding_dedup(spark, block):
     assert all(got[k][:2] == (0, k) for k in range(900, 906))
 
 
-@pytest.mark.parametrize(("size", "limits"), [(64, {}), (64, {"block_rows": 40}), (64, {"whole_rows": 0}), (24, {"whole_rows": 0, "block_rows": 40})])
+@pytest.mark.parametrize(("size", "limits"), [(64, {}), (64, {"block_rows": 40}), (64, {"whole_rows": 0, "table_bits": 11}), (64, {"whole_rows": 0}), (24, {"whole_rows": 0, "block_rows": 40})])
 def test_embedding_dedup_finds_every_link_beside_a_common_direction(spark, size, limits):
     rnd = np.random.default_rng(size)
     common = 2.5 * np.sqrt(size) * np.eye(size)[0]
@@ -372,6 +372,25 @@ def test_embedding_dedup_searches_every_length(spark, limits):
     assert got == expected and all(n for n, _ in got.values())
 
 
+def test_embeddings_in_double_precision_and_null_ids(spark):
+    rnd = np.random.default_rng(11)
+    least = 0.93
+    a = np.zeros(8)
+    a[0] = 1.0
+    rows = []
+    for i in range(40):  # cosines a hair above and below the bound, which four bytes can't tell apart
+        v = rnd.standard_normal(8)
+        v[0] = 0
+        c = least + (1 if i % 2 else -1) * 1e-10
+        rows.append((i + 1, (c * a + np.sqrt(1 - c * c) * v / np.linalg.norm(v)).tolist(), 1))
+    rows = [(0, a.tolist(), 1), *rows, (None, a.tolist(), 1), (None, a.tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicates(df, least).collect()
+    unit = {r[0]: np.array(r[1]) for r in rows if r[0] is not None}
+    assert {r.vec_id: r.n_links for r in got if r.vec_id is not None} == {i: sum(x != i and u @ v / np.sqrt(u @ u) / np.sqrt(v @ v) >= least for x, v in unit.items()) for i, u in unit.items()}
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)] * 2
+
+
 def test_embedding_dedup_of_none(spark):
     df = spark.createDataFrame([(1, None, 1)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in embedding_dedup.near_duplicates(df).collect()] == [(1, 0, 1, True)]
