@@ -33,7 +33,7 @@ from cartolith.llm.wordpool import WordPool, flattened, per_document
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NEVER = np.int64(1) << 40
 #: Bytes of distinct pieces that a worker remembers, at PIECE and more each; a bound on memory, without effect on results.
-MEMO, PIECE = 24 << 20, 120
+MEMO, PIECE = 36 << 20, 120
 #: Words of more bytes are merged by lists of pairs for each rank, of which SPAN ranks are at hand at a time.
 LONG, SPAN = 128, 512
 

@@ -10,14 +10,19 @@ is approximate: every link between different texts is found or implied by others
    others drop all but one of the S they must share, the most frequent by exact counts first, and what is left makes
    clusters; a shingle's least document stands for it, so a shingle in k documents gives k edges, not k * k pairs.
 3. In a cluster, each document is searched among those before it by size: the inverted lists of its shingles are split
-   into L long ones and the rest; the short ones are merged and only documents found T - L times or more are probed in
+   into L long ones and the rest; the short ones are merged as sorted runs and only documents found T - L times or more are probed in
    the long ones by binary search (T: the required overlap). Documents that are already connected aren't tried again.
 4. Clusters of more than ``block_docs`` documents or ``block_shingles`` shingles are cut into blocks. Each is searched by
    itself; a document of each block's largest group is searched against those of the other blocks; what is still not with
-   the cluster's largest group is searched against every block. Pairs left out are in one group already.
+   the cluster's largest group is searched against every other block that holds a document with one of the shingles of step 2. Pairs
+   left out are in one group already, or can't link.
+
+Shingles are compared by 64-bit hashes of their words, documents' whole sets by 128 bits; neither is a polynomial that repetition could
+make collide.
 
 Defined cases: null or empty text, or text without words, has an empty set and links with nothing; fewer words than a
-shingle has are one shingle. Rows with the same id are one document. Extra columns are ignored.
+shingle has are one shingle. Ids are integers; rows with the same id are one document, rows with a null id link with nothing and have a null component. Ties: a
+similarity of exactly ``percent`` links. Texts of any length are taken whole. An empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,6 +152,16 @@ class Groups:
         return i != j
 
 
+def merged(lists: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents in ``least`` of the sorted lists or more, in how many). The lists follow each other as sorted runs, which a stable
+    sort merges as a heap would, run by run; memory is that of the lists."""
+    each = np.sort(lists[ragged(starts, lengths)], kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]])) if len(each) else np.empty(0, np.int64)
+    times = np.diff(np.append(heads, len(each)))
+    enough = times >= least
+    return each[heads[enough]], times[enough]
+
+
 def search(hashes: np.ndarray, offsets: np.ndarray, percent: int, group: np.ndarray | None = None, asked: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what isn't connected yet: a spanning forest over the links of all sets given.
 
@@ -189,9 +204,7 @@ def search(hashes: np.ndarray, offsets: np.ndarray, percent: int, group: np.ndar
         s, e, length = s[up], e[up], length[up]
         n_long = min(need - 1, int(need / (0.0085 * np.log2(max(int(length[-1]), 2)) + 1)))
         cut = len(s) - n_long
-        found = np.bincount(lists[ragged(s[:cut], length[:cut])] - low, minlength=0)
-        close = np.flatnonzero(found >= max(need - n_long, 1))
-        overlap, close = found[close], close + low
+        close, overlap = merged(lists, s[:cut], length[:cut], max(need - n_long, 1))
         if role is not None:
             other = role[close] != role[d]
             close, overlap = close[other], overlap[other]
@@ -272,8 +285,9 @@ def _searched(rows: DataFrame, percent: int, most: int) -> DataFrame:
     return rows.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
-def clusters_of(heads: DataFrame) -> DataFrame:
-    """id, component: documents with enough shared keys, joined by the rarest of them; a key's least document stands for it."""
+def clusters_of(heads: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(id, component: documents with enough shared keys, joined by the rarest of them, a key's least document standing for it; h, doc: these keys, of which
+    documents that link share one; the latter's path)."""
     spark = heads.sparkSession
     each = heads.select(F.explode("keys").alias("h"))
     shared, shared_path = store.save(spark, each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
@@ -296,62 +310,86 @@ def clusters_of(heads: DataFrame) -> DataFrame:
     ranked = found.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "h")))
     kept, kept_path = store.save(spark, ranked.where("rank <= n - need + 1").select("h", "doc"), "kept")
     lowest = kept.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "low")
-    edges, _ = store.save(spark, kept.join(lowest, "h").where("doc <> low").select("low", "doc").distinct(), "edges")
-    store.drop(spark, shared_path, kept_path)
-    return components(edges, "low", "doc")
+    edges, path = store.save(spark, kept.join(lowest, "h").where("doc <> low").select("low", "doc").distinct(), "edges")
+    store.release(passing)
+    found = components(edges, "low", "doc")
+    store.drop(spark, shared_path, path)
+    return found, kept, kept_path
 
 
-def _large_clusters(big: DataFrame, first: DataFrame, percent: int, block_shingles: int) -> DataFrame:
-    """Links between the blocks of large clusters. big: cluster, block, blocks, doc, hashes; first: links within blocks."""
-    spark = big.sparkSession
+def _grouped(big: DataFrame, edges: DataFrame) -> DataFrame:
+    """cluster, block, doc, comp: the group that the edges put each document in."""
+    comp = components(edges)
+    ids = big.select("cluster", "block", "doc").join(comp.withColumnRenamed("id", "doc"), "doc", "left")
+    return ids.withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
-    def grouped(edges: DataFrame) -> DataFrame:
-        comp = components(edges)
-        ids = big.select("cluster", "block", "doc").join(comp.withColumnRenamed("id", "doc"), "doc", "left")
-        return ids.withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
-    ids, _ = store.save(spark, grouped(first), "blocks")
+def _largest(ids: DataFrame) -> DataFrame:
+    """doc: of the largest group of each cluster's block one document."""
     own = ids.groupBy("cluster", "block", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"))
-    leaders = own.groupBy("cluster", "block").agg(F.max_by("doc", F.struct("n", "comp")).alias("doc")).select("doc")
-    across = big.join(leaders, "doc").select(F.xxhash64("cluster").alias("g"), "doc", "hashes", F.col("doc").alias("comp"), F.lit(0).alias("asked"))
-    second, _ = store.save(spark, _searched(across, percent, block_shingles), "links")
-    ids, _ = store.save(spark, grouped(first.unionAll(second)), "blocks")
+    return own.groupBy("cluster", "block").agg(F.max_by("doc", F.struct("n", "comp")).alias("doc"))
+
+
+def _large_clusters(big: DataFrame, first: DataFrame, keys: DataFrame, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """Links between the blocks of large clusters. big: cluster, block, doc, hashes; first: links within blocks; keys: h, doc."""
+    spark = big.sparkSession
+    ids, _ = store.save(spark, _grouped(big, first), "blocks")
+    links = first
+    leaders = _largest(ids)
+    while True:  # leaders of a cluster of too many blocks are dealt over blocks themselves
+        count = leaders.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        dealt = leaders.join(count, "cluster").select("cluster", F.pmod(F.xxhash64("doc", F.lit(7)), F.ceil(F.col("n") / block_docs)).alias("block"), "doc", "n")
+        dealt, _ = store.save(spark, dealt, "leaders")
+        across = big.select("doc", "hashes").join(dealt, "doc").select(F.xxhash64("cluster", "block").alias("g"), "doc", "hashes", F.col("doc").alias("comp"), F.lit(0).alias("asked"))
+        found, _ = store.save(spark, _searched(across, percent, block_shingles), "links")
+        links = links.unionAll(found)
+        if (dealt.agg(F.max("n")).first()[0] or 0) <= block_docs:
+            break
+        leaders = _largest(_grouped(dealt, found))
+    ids, _ = store.save(spark, _grouped(big, links), "blocks")
     sizes = ids.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    left = ids.join(main, "cluster").where("comp <> main").select("cluster", "doc")
-    counts = left.groupBy("cluster").agg(F.count(F.lit(1)).alias("left_docs"))
-    known = ids.select("doc", "comp")
-    rows = big.join(known, "doc").join(counts, "cluster").withColumn("parts", F.least("blocks", F.ceil(F.col("left_docs") / 256).cast("int")))
-    part = F.pmod(F.xxhash64("doc", F.lit(5)), F.col("parts"))
-    questions = rows.join(left.select("doc"), "doc", "left_semi").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    answers = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # A document left over is asked about in every block and answers in its own; the same pair may be tried twice.
-    both = questions.select("cluster", "block", "part", "doc", "hashes", "comp", F.lit(1).alias("asked")).unionAll(answers.select("cluster", "block", "part", "doc", "hashes", "comp", F.lit(0).alias("asked")))
-    rows = both.select(F.xxhash64("cluster", "block", "part").alias("g"), "doc", "hashes", "comp", "asked")
-    third, _ = store.save(spark, _searched(rows, percent, block_shingles), "links")
-    return second.unionAll(third)
-
-
-def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 8192, block_shingles: int = 2_000_000) -> DataFrame:
+    left = ids.join(main, "cluster").where("comp <> main").select("cluster", F.col("block").alias("own"), "doc", "comp")
+    # A document left over is asked about in the other blocks that hold a document with one of its keys; the same pair may be tried twice.
+    held = keys.join(ids.select("cluster", "block", "doc"), "doc").select("cluster", "block", "h").distinct()
+    asked = left.join(keys, "doc").join(held, ["cluster", "h"]).where("block <> own").select("cluster", "block", "doc", "comp").distinct()
+    asked, _ = store.save(spark, asked, "asked")
+    counts = asked.groupBy("cluster", "block").agg(F.ceil(F.count(F.lit(1)) / 256).alias("parts"))
+    asked = asked.join(counts, ["cluster", "block"]).withColumn("part", F.pmod(F.xxhash64("doc", F.lit(5)), F.col("parts")))
+    questions = asked.join(big.select("doc", "hashes"), "doc").withColumn("asked", F.lit(1))
+    answers = big.join(ids.select("doc", "comp"), "doc").join(counts, ["cluster", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("asked", F.lit(0))
+    columns = ["cluster", "block", "part", "doc", "hashes", "comp", "asked"]
+    rows = questions.select(*columns).unionAll(answers.select(*columns))
+    found, _ = store.save(spark, _searched(rows.select(F.xxhash64("cluster", "block", "part").alias("g"), "doc", "hashes", "comp", "asked"), percent, block_shingles), "links")
+    return links.unionAll(found)
+
+
+def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 2048, block_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links): a row for each row of ``docs``."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     heads, _ = store.save(spark, prefixes(own, frequencies(own, k), k, percent), "prefixes")
-    filled = heads.where("n > 0")
+    filled = heads.where("n > 0 and doc is not null")
     classes, _ = store.save(spark, filled.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep")), "classes")
-    reps = filled.join(classes.select("s1", "s2", "n", F.col("rep").alias("doc")), ["s1", "s2", "n", "doc"], "left_semi").dropDuplicates(["doc", "s1", "s2"])
-    clusters, _ = store.save(spark, clusters_of(reps).withColumnsRenamed({"id": "doc", "component": "cluster"}), "clusters")
-    sets = sets_of(own, keyfilter.build(clusters, "doc"), k).join(clusters, "doc")
-    sets, _ = store.save(spark, sets, "sets")
-    sizes = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
-    large, _ = store.save(spark, sizes.select("cluster", blocks.alias("blocks")).where("blocks > 1"), "large")
-    dealt = sets.join(large, "cluster", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")), F.lit(0)))
-    rows = dealt.select(F.xxhash64("cluster", "block").alias("g"), "doc", "hashes", F.col("doc").alias("comp"), F.lit(0).alias("asked"))
-    links, _ = store.save(spark, _searched(rows, percent, block_shingles), "links")
-    if large.head(1):
-        big, _ = store.save(spark, dealt.where("blocks is not null").select("cluster", "block", "blocks", "doc", "hashes"), "large-sets")
-        links = links.unionAll(_large_clusters(big, links, percent, block_shingles))
+    used: list[str] = []
+    with store.scope(used):  # what only the links are made from
+        reps = filled.join(classes.select("s1", "s2", "n", F.col("rep").alias("doc")), ["s1", "s2", "n", "doc"], "left_semi").dropDuplicates(["doc", "s1", "s2"])
+        clusters, keys, _ = clusters_of(reps)
+        clusters, _ = store.save(spark, clusters.withColumnsRenamed({"id": "doc", "component": "cluster"}), "clusters")
+        sets = sets_of(own.where("k is not null"), keyfilter.build(clusters, "doc"), k).join(clusters, "doc")
+        sets, _ = store.save(spark, sets, "sets")
+        sizes = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+        blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
+        large, _ = store.save(spark, sizes.select("cluster", blocks.alias("blocks")).where("blocks > 1"), "large")
+        dealt = sets.join(large, "cluster", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")), F.lit(0)))
+        rows = dealt.select(F.xxhash64("cluster", "block").alias("g"), "doc", "hashes", F.col("doc").alias("comp"), F.lit(0).alias("asked"))
+        links, _ = store.save(spark, _searched(rows, percent, block_shingles), "links")
+        if large.head(1):
+            big, _ = store.save(spark, dealt.where("blocks is not null").select("cluster", "block", "doc", "hashes"), "large-sets")
+            links = _large_clusters(big, links, keys, percent, block_docs, block_shingles)
+        links, links_path = store.save(spark, links, "links")
+    store.drop(spark, *(p for p in used if p != links_path))
     found = components(links).select(F.col("id").alias("rep"), "component")
+    store.drop(spark, links_path)
     member = heads.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").join(found, "rep", "left")
-    return member.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc").alias("component_id"))
+    return member.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc")).alias("component_id"))

@@ -79,6 +79,9 @@ def test_jaccard_join_of_repeated_rows_and_none(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f")]
     assert [(r.doc_id, r.component_id) for r in jaccard_join.join(documents(rows, spark), 4, 85).orderBy("doc_id").collect()] == [(1, 1), (1, 1), (2, 1)]
     assert jaccard_join.join(documents(rows, spark).limit(0), 4, 85).count() == 0
+    none = jaccard_join.join(documents([(None, "a b c d e f"), (3, "a b c d e f"), (9, "a b c d e f"), (None, None)], spark), 4, 85).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in none if r.doc_id) == [(3, 3, 3), (9, 3, 3)]
+    assert sorted((r.n_shingles, r.component_id) for r in none if not r.doc_id) == [(0, None), (3, None)]
 
 
 def test_search_of_asked_against_others():
@@ -122,6 +125,9 @@ def test_substring_dedup_of_repeated_rows_and_none(spark):
     docs = documents([(1, "a b c"), (1, "a b c"), (2, "a b c x")], spark)
     out = substring_dedup.apply_repeats(docs, substring_dedup.repeats(docs, window=3)).orderBy("doc_id").collect()
     assert [(r.doc_id, r.n_removed, r.kept) for r in out] == [(1, 0, "a b c"), (1, 0, "a b c"), (2, 3, "x")]
+    nameless = documents([(None, "a b c"), (None, "a b c"), (2, "a b c x"), (3, "a b c")], spark)
+    out = substring_dedup.apply_repeats(nameless, substring_dedup.repeats(nameless, window=3)).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in out) == [(0, 0), (0, 0), (2, 0), (3, 3)]
     none = docs.limit(0)
     assert substring_dedup.apply_repeats(none, substring_dedup.repeats(none)).count() == 0
 
