@@ -86,6 +86,8 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        cut = spec.get("pre_tokenizer") or {}
+        self.fits = not spec.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         tokens, self.special = token_table(spec)
         size = len(tokens)
         self.by_bytes = {b: i for i, b in enumerate(tokens) if b}
@@ -352,6 +354,8 @@ class DocumentEncoder:
 
     def __init__(self, path: str) -> None:
         self.bpe = ByteBpe(path)
+        if not self.bpe.fits:
+            raise ValueError("a vocabulary that isn't cut as byte-level ones of this family are")
         self.pool = WordPool(self._encode)
 
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -57,11 +57,11 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc, th (hash of the text), words: map of word number -> 64 bits, 1 for a dropped line; only documents that lose lines.
     ``ranges``: of hashes; eight for each shuffle partition unless given."""
     spark = docs.sparkSession
-    hashed, _ = store.save(spark, hashed_lines(docs, id_col, text_col, min_chars), "lines")
+    hashed, hashed_path = store.save(spark, hashed_lines(docs, id_col, text_col, min_chars), "lines")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges or 8 * n
     most = max(1, hashed.count() // ranges)
-    hot, _ = store.save(spark, frequent_keys(hashed, most), "frequent")
+    hot, hot_path = store.save(spark, frequent_keys(hashed, most), "frequent")
     # Two keys for each range at most, by their definition.
     dealt = hashed.join(F.broadcast(hot), ["h1", "h2"], "left")
     own = F.least(F.floor((F.col("h1") / F.lit(2.0**64) + 0.5) * ranges), F.lit(ranges - 1)).cast("long")
@@ -73,6 +73,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     new = (F.lag("h1").over(stream) != F.col("h1")) | (F.lag("h2").over(stream) != F.col("h2")) | F.lag("h1").over(stream).isNull()
     seen = ranged.withColumn("new", new).withColumn("first", F.last(F.when(F.col("new"), F.col("doc")), ignorenulls=True).over(so_far))
     seen, _ = store.save(spark, seen.where((F.col("doc") > F.col("first")) | (F.col("slices") > 1)).select("h1", "h2", "doc", "th", "pos", "first", "slices"), "streamed")
+    store.drop(spark, hashed_path, hot_path)
     firsts = seen.where("slices > 1").groupBy("h1", "h2").agg(F.min("first").alias("carried"))
     owned = seen.join(F.broadcast(firsts), ["h1", "h2"], "left").withColumn("owner", F.least("first", F.coalesce("carried", "first")))
     dropped = owned.where(F.col("doc") > F.col("owner"))

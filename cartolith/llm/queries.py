@@ -62,6 +62,21 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+OP4_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s FROM worded
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+numbered AS (SELECT doc_id, dense_rank() OVER (ORDER BY s) AS s FROM shingles),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM numbered a JOIN numbered b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+reach AS (SELECT doc_id AS id, doc_id AS seen FROM documents UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.seen = links.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT id AS doc_id, min(seen) AS component_id FROM reach GROUP BY id) USING (doc_id)
+"""
+
+
 URL_RULES = [
     url_filter.parse_rule("net/", "block"),
     url_filter.parse_rule("example.net/en/", "allow"),
@@ -129,6 +144,23 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP9_SQL = r"""
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM worded WHERE len(w) >= 50)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM windows) WHERE first < doc_id
+), words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM worded),
+marked AS (
+  SELECT doc_id, i, word, coalesce(max(start) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > i - 50, FALSE) AS gone
+  FROM (SELECT words.doc_id, words.i, word, later.i AS start FROM words LEFT JOIN later ON later.doc_id = words.doc_id AND later.i = words.i)
+)
+SELECT doc_id, count(word) AS n_words, count(*) FILTER (gone AND word IS NOT NULL) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents LEFT JOIN marked USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -136,4 +168,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_files, op2_decontaminate, op3_line_dedup, op4_jaccard_join, op5_url_filter, op6_token_counts, op7_language_id, op8_embedding_dedup, op9_substring_dedup, op10_bpe)
 }
-SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_url_filter": OP5_SQL, "op8_embedding_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_embedding_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL}

@@ -285,10 +285,9 @@ def frequent_repeats(suffixes: DataFrame, window: int, most_sent: int) -> tuple[
     """(k, th, start, stop for suffixes of very frequent anchors; what to release). The windows' first documents are sent to the executors if they
     take ``most_sent`` bytes or fewer, else joined."""
     spark = suffixes.sparkSession
-    hashes, path = store.save(spark, _first_by_hash(suffixes, int(spark.conf.get("spark.sql.shuffle.partitions")), window), "hashes")
+    hashes, _ = store.save(spark, _first_by_hash(suffixes, int(spark.conf.get("spark.sql.shuffle.partitions")), window), "hashes")
     passing = spark.sparkContext.broadcast(keyfilter.build(hashes, "w"))
     first, _ = store.save(spark, _first_documents(suffixes, window, passing), "first", "zstd")
-    store.drop(spark, path)
     if (first.agg(F.sum(F.octet_length("w") + 16)).first()[0] or 0) > most_sent:
         return _joined_repeats(suffixes, first, window, passing), [passing]
     known = first.toArrow().combine_chunks()
@@ -338,22 +337,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         raise ValueError("a window has two words at least")
     spark = docs.sparkSession
     own = _own(docs, id_col, text_col).where("k is not null")
-    known, known_path = store.save(spark, repeated_anchors(own.select("k", "t"), window), "anchors")
-    often = known.where(F.col("n") > most_group).select("h")
-    frequent = bool(often.head(1))
-    # A rare anchor that passes the filter of frequent ones wrongly is found the other way just as well.
-    rows, sent = suffix_rows(own, window, keyfilter.build(known, "h"), keyfilter.build(often, "h"))
-    rows, _ = store.save(spark, rows, "suffixes", "zstd")
-    store.release(sent)
-    store.drop(spark, known_path)
+    used: list[str] = []
+    with store.scope(used):  # what only the spans are made from
+        known, _ = store.save(spark, repeated_anchors(own.select("k", "t"), window), "anchors")
+        often = known.where(F.col("n") > most_group).select("h")
+        frequent = bool(often.head(1))
+        # A rare anchor that passes the filter of frequent ones wrongly is found the other way just as well.
+        rows, sent = suffix_rows(own, window, keyfilter.build(known, "h"), keyfilter.build(often, "h"))
+        rows, _ = store.save(spark, rows, "suffixes", "zstd")
+        store.release(sent)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = grouped_repeats(rows.where("not often").repartition(n, "h"), window)
     found, _ = store.save(spark, found, "spans")
     if frequent:
-        more, sent = frequent_repeats(rows.where("often"), window, most_sent)
+        with store.scope(used):
+            more, sent = frequent_repeats(rows.where("often"), window, most_sent)
         more, _ = store.save(spark, more, "spans")
         store.release(*sent)
         found = found.unionAll(more)
+    store.drop(spark, *used)
     return found.groupBy(F.col("k").alias("doc"), "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 

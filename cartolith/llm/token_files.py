@@ -16,6 +16,7 @@ their ids' bytes. Extra columns are ignored. An empty table gives empty tables.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,19 +37,30 @@ STEP = 64
 MAX_BITS = 20
 BLOCK_SCHEMA = "part int, block long, doc_ids array<long>, sizes array<long>, payload binary, checkpoints binary"
 BLOCK_COLUMNS = ["part", "block", "doc_ids", "sizes", "payload", "checkpoints"]
-LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+|\n")
-WIDE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
 #: Printable letters and signs below U+0250, each its own composed form, whose lower case depends on nothing else.
 LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
 LATIN_LINES = re.compile("[\n!-~\u00a1-\u012f\u0131-\u024f]*")
 
 
+def word_pattern(spec: dict) -> str | None:
+    """The pattern that a tokenizers file cuts words with, if it composes letters, makes white space blanks and letters lower case, then
+    cuts by a pattern that takes no white space and turns bytes into letters; else None."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [x.get("type") for x in steps] != ["NFC", "Replace", "Lowercase"] or (steps[1].get("pattern"), steps[1].get("content")) != ({"Regex": r"\s+"}, " "):
+        return None
+    if [x.get("type") for x in cuts] != ["Split", "ByteLevel"] or cuts[0].get("behavior") != "Removed" or not cuts[0].get("invert") or cuts[1].get("use_regex") or cuts[1].get("add_prefix_space"):
+        return None
+    pattern = cuts[0].get("pattern", {}).get("Regex")
+    return pattern if pattern and not regex.search(pattern, " \t\n") else None
+
+
 class WordEncoder:
     """A tokenizers file whose normalizer and pre-tokenizer never look across white space.
 
     Each word between blanks or line ends is encoded by the library, once while it stays in the pool. Latin words are
-    put in lower case and cut here, which spares the library's slow Unicode steps; the ids are from the library's model.
-    All other words go through the library as they are.
+    put in lower case and cut here, by the file's own pattern, which spares the library's slow Unicode steps; the ids are from the
+    library's model. All other words go through the library as they are, and so do whole texts where the file is of another kind.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,6 +68,12 @@ class WordEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.model = self.lib.model
+        with open(path, encoding="utf-8") as f:
+            pattern = word_pattern(json.load(f))
+        self.fits = pattern is not None
+        if pattern is not None:
+            self.wide = regex.compile(pattern + "|\n")
+            self.latin = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9") + "|\n")
         self.letters = {b: c for c, b in byte_letters().items()}
         self.pieces = WordPool(self._tokenize, 22 << 20)
         self.pool = WordPool(self._encode)
@@ -68,7 +86,7 @@ class WordEncoder:
     def _latin(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All words at once: put in lower case and cut as one text with a line for each."""
         low = "\n".join(words).lower()
-        cut = (LATIN_PIECES if low.isascii() else WIDE_PIECES).findall(low)
+        cut = (self.latin if low.isascii() else self.wide).findall(low)
         ids, sizes = self.pieces.encode_words(cut)
         line = np.cumsum(np.fromiter(map("\n".__eq__, cut), bool, len(cut)))
         return ids, np.bincount(line, sizes, len(words)).astype(np.int64)
@@ -97,6 +115,9 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
+        if not self.fits:
+            ids, lengths = flattened([e.ids for e in self.lib.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)])
+            return ids, np.concatenate([[0], np.cumsum(lengths)])
         for i, t in enumerate(texts):
             if t:
                 w = t.replace("\n", " ").split(" ")

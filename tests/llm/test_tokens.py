@@ -99,6 +99,22 @@ def test_a_new_pair_that_ranks_first_goes_one_by_one(tmp_path):
         assert own.merge_long(word.encode()) == lib.encode(word).ids
 
 
+def test_vocabularies_of_other_kinds(tmp_path, word):
+    import json
+
+    with open(WORD) as f:
+        spec = json.load(f)
+    assert word[0].fits and token_files.word_pattern(spec).startswith("'s|'t")
+    spec["normalizer"]["normalizers"].pop()
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(spec))
+    own, lib = token_files.WordEncoder(str(path)), Tokenizer.from_file(str(path))
+    texts = ["Some CASED text", None, "", "don't\nX"]
+    assert not own.fits and lists(*own.encode(texts)) == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    with pytest.raises(ValueError, match="cut"):
+        bpe.DocumentEncoder(WORD)
+
+
 def test_decode_replaces_a_column_of_its_name(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
     got = bpe.decode(bpe.encode(docs, BYTE).withColumn("decoded", F.lit(7)), BYTE).collect()
