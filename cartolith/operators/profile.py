@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CLASSES = {"point_features": ("Point", "MultiPoint"), "line_features": ("LineString", "MultiLineString"), "polygon_features": ("Polygon", "MultiPolygon")}
+MOST_COLUMNS = 10_000
 WIRE = {"point_features": 1, "line_features": 2, "polygon_features": 3}
 
 
@@ -41,17 +42,25 @@ def property_histogram(features: DataFrame, keys: list[str] | None = None) -> Da
     return rows.groupBy("layer", "key", "value_text").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _column_names(rows: DataFrame, column: str) -> list[str]:
+    """Distinct texts, which are to be column names: ``MOST_COLUMNS`` at most come to the driver, more are an error."""
+    found = [r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect()]
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"over {MOST_COLUMNS} columns; property_presence and property_histogram have them as rows")
+    return sorted(found)
+
+
 def property_table(features: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """A row for each layer, a column for each key (sorted), 0 where there is none. Keys are column names, so their number is bound by what a table can have."""
+    """A row for each layer, a column for each key (sorted), 0 where there is none."""
     counted = property_presence(features)
-    names = sorted(keys if keys is not None else [r.key for r in counted.select("key").distinct().collect()])
+    names = sorted(keys) if keys is not None else _column_names(counted, "key")
     return counted.groupBy("layer").pivot("key", names).sum("n").na.fill(0).orderBy("layer")
 
 
 def value_table(features: DataFrame, keys: list[str], values: list[str] | None = None) -> DataFrame:
     """A row for each key, a column for each value (sorted), summed over layers."""
     counted = property_histogram(features, keys)
-    names = sorted(values if values is not None else [r.value_text for r in counted.select("value_text").distinct().collect() if r.value_text is not None])
+    names = sorted(values) if values is not None else _column_names(counted, "value_text")
     return counted.groupBy("key").pivot("value_text", names).sum("n").na.fill(0).orderBy("key")
 
 

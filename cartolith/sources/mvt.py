@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -203,7 +204,9 @@ def encode(features: DataFrame, options: tiles.ExportOptions = tiles.ExportOptio
     def run(key: tuple, table: pa.Table) -> pa.Table:
         z, x, y = (k.as_py() for k in key)
         lost: list[str] = []
-        data = tiles.encode_tile((r for b in table.to_batches(ROWS) for r in b.to_pylist()), z, x, y, options, lost)
+        order = pa.table({n: pc.fill_null(table[n], v) for n, v in (("layer", ""), ("ordinal", 0), ("fid_text", ""))})
+        table = table.take(pc.sort_indices(order, [(n, "ascending") for n in order.column_names]))
+        data = tiles.encode_tile((r for b in table.to_batches(ROWS) for r in b.to_pylist()), z, x, y, options, lost, True)
         return pa.table({"z": pa.array([z], pa.int32()), "x": pa.array([x], pa.int32()), "y": pa.array([y], pa.int32()), "data": pa.array([data], pa.binary()), "left_out": pa.array([lost], pa.list_(pa.string()))})
 
     return kept.groupBy("z", "x", "y").applyInArrow(run, "z int, x int, y int, data binary, left_out array<string>")

@@ -191,12 +191,12 @@ def clip_box(z: int, x: int, y: int, srid: int, buffer: int) -> shapes.Box:
     return geo.unproject(*b[:2]) + geo.unproject(*b[2:])
 
 
-def encode_tile(rows: Iterable[dict], z: int, x: int, y: int, options: ExportOptions, lost: list[str] | None = None) -> bytes:
+def encode_tile(rows: Iterable[dict], z: int, x: int, y: int, options: ExportOptions, lost: list[str] | None = None, in_order: bool = False) -> bytes:
     """One tile of feature rows. Without a projection nothing is clipped or simplified. Features that can't be drawn are left out; ids of
-    those with steps beyond 32 bits are added to ``lost``."""
+    those with steps beyond 32 bits are added to ``lost``. Rows that come in order are taken one at a time."""
     layers: dict[str, wire.WireLayer] = {}
     places: dict[str, tuple[dict, dict]] = {}
-    for row in sorted(rows, key=lambda r: (r["layer"] or "", r["ordinal"] or 0, r["fid_text"] or "")):
+    for row in rows if in_order else sorted(rows, key=lambda r: (r["layer"] or "", r["ordinal"] or 0, r["fid_text"] or "")):
         srid, kind = row["srid"] or 0, row["geom_type"]
         number = commands.wire_type(kind) if kind else None
         if number is None:
@@ -230,6 +230,7 @@ def encode_tile(rows: Iterable[dict], z: int, x: int, y: int, options: ExportOpt
                     layer.values.append(got)
         fid = int(row["fid"]) if row["fid"] is not None and 0 <= row["fid"] <= UINT64 else None
         layer.raw_features.append(wire.write_feature(wire.WireFeature(fid, tags, number, geometry)))
-        layer.keys = list(keys)
+    for name, (keys, _) in places.items():
+        layers[name].keys = list(keys)
     data = wire.write_tile([layers[n] for n in sorted(layers)])
     return data if options.compression is None else gzip.compress(data, min(9, max(0, options.compression)), mtime=0)

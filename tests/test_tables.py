@@ -190,6 +190,15 @@ def test_restructure(spark):
     assert profile.tables(None, "k") == ({"property"}, ["k"])
 
 
+def test_pivots_of_too_many_columns_are_refused(spark, monkeypatch):
+    from cartolith.queries import order_features
+
+    monkeypatch.setattr(profile, "MOST_COLUMNS", 2)
+    assert profile.property_table(order_features(spark, SF)).columns == ["layer", "priority", "rest"]
+    with pytest.raises(ValueError, match="columns"):
+        profile.value_table(order_features(spark, SF), ["rest"])
+
+
 def test_value_functions(spark):
     row = spark.range(1).select(
         values.pairs(F.array(*map(F.lit, (1, 2, 3)))), values.pairs(F.array().cast("array<int>")), values.unique(F.array(F.lit(1), F.lit(1))), values.appended(F.array(F.lit(1)), F.lit(None).cast("int")),
