@@ -25,18 +25,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return across.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Tells whether two sets of edges are the same."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component (the least id): one row for every id that has an edge to another."""
     spark = edges.sparkSession
     own = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
     now, path = store.save(spark, own, "edges")
-    seen = None
-    while True:
+    seen = _mark(now)
+    while seen[0]:
         after, new_path = store.save(spark, _small_star(_large_star(now)), "edges")
-        mark = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        mark = _mark(after)
         store.drop(spark, path)
         now, path = after, new_path
-        if mark == seen:
+        if mark == seen:  # stars already
             break
         seen = mark
     found = now.select(F.col("u").alias("id"), F.col("v").alias("component"))

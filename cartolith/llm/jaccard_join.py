@@ -364,7 +364,7 @@ def _large_clusters(big: DataFrame, first: DataFrame, keys: DataFrame, percent:
     return links.unionAll(found)
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 2048, block_shingles: int = 2_000_000) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 8192, block_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links): a row for each row of ``docs``."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -383,11 +383,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         large, _ = store.save(spark, sizes.select("cluster", blocks.alias("blocks")).where("blocks > 1"), "large")
         dealt = sets.join(large, "cluster", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")), F.lit(0)))
         rows = dealt.select(F.xxhash64("cluster", "block").alias("g"), "doc", "hashes", F.col("doc").alias("comp"), F.lit(0).alias("asked"))
-        links, _ = store.save(spark, _searched(rows, percent, block_shingles), "links")
+        links, links_path = store.save(spark, _searched(rows, percent, block_shingles), "links")
         if large.head(1):
             big, _ = store.save(spark, dealt.where("blocks is not null").select("cluster", "block", "doc", "hashes"), "large-sets")
-            links = _large_clusters(big, links, keys, percent, block_docs, block_shingles)
-        links, links_path = store.save(spark, links, "links")
+            links, links_path = store.save(spark, _large_clusters(big, links, keys, percent, block_docs, block_shingles), "links")
     store.drop(spark, *(p for p in used if p != links_path))
     found = components(links).select(F.col("id").alias("rep"), "component")
     store.drop(spark, links_path)
