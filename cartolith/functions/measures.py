@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,8 +65,13 @@ def _sum(items: Column, weight, value) -> Column:
     return F.aggregate(items, zero, add)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value evaluated once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _mean(total: Column) -> Column:
-    return F.when(total["w"] != 0, F.struct((total["x"] / total["w"]).alias("x"), (total["y"] / total["w"]).alias("y")))
+    return let(total, lambda t: F.when(t["w"] != 0, F.struct((t["x"] / t["w"]).alias("x"), (t["y"] / t["w"]).alias("y"))))
 
 
 def _polygon_sum(rings: Column, origin: Column) -> Column:
@@ -88,7 +95,7 @@ def centroid(kind: Column, parts: Column) -> Column:
     origin = F.get(points, F.lit(0))
     zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     area = _mean(F.aggregate(F.transform(parts, lambda p: _polygon_sum(p, origin)), zero, lambda t, r: F.struct(*((t[n] + r[n]).alias(n) for n in "wxy"))))
-    area = F.when(area.isNotNull(), F.struct((area["x"] + origin["x"]).alias("x"), (area["y"] + origin["y"]).alias("y")))
+    area = let(area, lambda a: F.when(a.isNotNull(), F.struct((a["x"] + origin["x"]).alias("x"), (a["y"] + origin["y"]).alias("y"))))
 
     def length(s: Column) -> Column:
         return F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"])

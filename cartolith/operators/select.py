@@ -15,8 +15,12 @@ from cartolith.plans.program import Near, Node, parse_or_search
 def with_centroid(features: DataFrame, name: str = "centroid") -> DataFrame:
     """Struct x, y in degrees, on the JVM."""
     own = measures.centroid(F.col("geom_type"), F.col("parts"))
-    c = F.when(F.col("srid") == 4326, own).when(F.col("srid") == 3857, F.struct(geo.lon_of(own["x"]).alias("x"), geo.lat_of(own["y"]).alias("y")))
-    return features.withColumn(name, F.when(c["x"].isNotNull(), c))
+
+    def degrees(c: Column) -> Column:
+        fit = F.when(F.col("srid") == 4326, c).when(F.col("srid") == 3857, F.struct(geo.lon_of(c["x"]).alias("x"), geo.lat_of(c["y"]).alias("y")))
+        return F.when(c["x"].isNotNull(), fit)
+
+    return features.withColumn(name, measures.let(own, degrees))
 
 
 def query(features: DataFrame, text: str | list[Node], layer: str | None = None, keep: Column | None = None, strict: bool = False) -> DataFrame:
