@@ -189,7 +189,7 @@ def prepared(features: DataFrame, options: tiles.ExportOptions = tiles.ExportOpt
                     out.append(row)
                     continue
                 if options.buffer and row["z"] is not None and srid:
-                    got = shapes.clip(kind, parts, tiles.clip_box(row["z"], row["x"], row["y"], srid, options.buffer))
+                    got = tiles.clipped(kind, parts, row["z"], row["x"], row["y"], srid, options.buffer)
                     if got is None:
                         continue
                     kind, parts = got
