@@ -38,3 +38,8 @@ def test_points_on_edges_of_any_tile_are_in_the_tile_of_their_place():
                 assert len(list(tiles.decode_tile(tiles.encode_tile([row], *tile, tiles.ExportOptions()), "s", *tile, 0))) == 1, (tile, x, y)
     # A line that ends on the edge from outside has no length inside.
     assert tiles.clipped("LineString", [[tiles.np.array([(-10.0, 10.0), (0.0, 10.0)])]], 1, 1, 0, 4326, 0) is None
+
+
+def test_points_on_edges_are_counted(spark, tmp_path):
+    got, wanted = against_sql(spark, tmp_path, "wire_counts", [1, 2250, 4500, 6750, 13500, 20250])
+    assert got == wanted and sum(r[5] for r in got) == 6
