@@ -47,8 +47,13 @@ def tile_bounds(z: Column | int, x: Column | int, y: Column | int) -> Column:
     return F.struct(xmin.alias("xmin"), (ymax - u).alias("ymin"), (xmin + u).alias("xmax"), ymax.alias("ymax"))
 
 
+def tile_of_east(east: Column, z: Column | int) -> Column:
+    """The column of tiles so many degrees east of the antimeridian."""
+    return F.floor(east / 360 * F.pow(F.lit(2.0), col(z))).cast("int")
+
+
 def tile_x(lon: Column, z: Column | int) -> Column:
-    return F.floor((lon + 180) / 360 * F.pow(F.lit(2.0), col(z))).cast("int")
+    return tile_of_east(lon + 180, z)
 
 
 def tile_y(lat: Column, z: Column | int) -> Column:
@@ -132,16 +137,19 @@ def minimal_tile(xmin: float, ymin: float, xmax: float, ymax: float, max_zoom: i
     return 0, 0, 0
 
 
-def least_tile(xmin: Column, ymin: Column, xmax: Column, ymax: Column, max_zoom: int = 14) -> Column:
-    """The same as a column: struct z, x, y."""
+def least_tile(xmin: Column, ymin: Column, xmax: Column | None, ymax: Column, max_zoom: int = 14, width: Column | float | None = None) -> Column:
+    """The same as a column: struct z, x, y. A box given by its ``width`` has its east edge counted from the antimeridian in one addition, as the sum
+    xmin + width, rounded before 180 is added, can come to lie on a tile's edge that the box ends short of."""
 
-    def at(lon: Column, lat: Column, z: Column) -> tuple[Column, Column]:
+    def at(east: Column, lat: Column, z: Column) -> tuple[Column, Column]:
         side = F.pow(F.lit(2.0), z).cast("int")
         lat = F.greatest(F.least(lat, F.lit(MOST_LAT)), F.lit(-MOST_LAT))
-        return tuple(F.greatest(F.least(v, side - 1), F.lit(0)) for v in (tile_x(lon, z), tile_y(lat, z)))
+        return tuple(F.greatest(F.least(v, side - 1), F.lit(0)) for v in (tile_of_east(east, z), tile_y(lat, z)))
+
+    ends = xmax + 180 if width is None else xmin + (180 + col(width))
 
     def tile(z: Column) -> Column:
-        (x, y), (right, low) = at(xmin, ymax, z), at(xmax, ymin, z)
+        (x, y), (right, low) = at(xmin + 180, ymax, z), at(ends, ymin, z)
         return F.when((x == right) & (y == low), F.struct(z.alias("z"), x.alias("x"), y.alias("y")))
 
     zooms = F.array(*map(F.lit, range(max_zoom, -1, -1)))

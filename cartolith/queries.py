@@ -642,5 +642,5 @@ FROM {sql_points()}, (SELECT unnest(range(15))::INT AS z)) WHERE z = 0 OR (least
 def least_tile(spark, sf):
     x, y = xy()
     y = y / 2
-    at = geo.least_tile(x, y, x + 0.7, y + 0.3)
+    at = geo.least_tile(x, y, None, y + 0.3, width=0.7)
     return points(spark, sf).select(F.col("ordinal").alias("c_custkey"), at["z"].alias("z"))

@@ -43,3 +43,9 @@ def test_points_on_edges_of_any_tile_are_in_the_tile_of_their_place():
 def test_points_on_edges_are_counted(spark, tmp_path):
     got, wanted = against_sql(spark, tmp_path, "wire_counts", [1, 2250, 4500, 6750, 13500, 20250])
     assert got == wanted and sum(r[5] for r in got) == 6
+
+
+def test_boxes_that_end_at_edges(spark, tmp_path):
+    # 3220, 5470 and 7720 end short of an edge, once rounded; the others at one.
+    got, wanted = against_sql(spark, tmp_path, "least_tile", [1, 970, 3220, 5470, 7720, 9970, 12220])
+    assert got == wanted and dict(got)[3220] == 9
