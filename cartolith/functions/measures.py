@@ -54,6 +54,38 @@ def meets_box(kind: Column, parts: Column, box: Column) -> Column:
     return F.coalesce(vertex | ((lines | polygons) & edge) | (polygons & middle), F.lit(False))
 
 
+#: Vertices of a line or ring whose coordinates become columns: as many as a closed rectangle has.
+SHORT = 5
+
+
+def short_run(kind: Column, parts: Column) -> Column:
+    """The vertices of a line, or a polygon's ring, if it has ``SHORT`` at most and is the only one; else null."""
+    drawn = kind.isin("LineString", "MultiLineString", "Polygon", "MultiPolygon")
+    only = F.get(F.get(parts, F.lit(0)), F.lit(0))
+    return F.when(drawn & (F.size(parts) == 1) & (F.size(F.get(parts, F.lit(0))) == 1) & (F.size(only) <= SHORT), only)
+
+
+def places(run: str) -> list[Column]:
+    """Its coordinates as columns x0, y0, x1 and so on, null after the end."""
+    return [F.get(F.col(run), F.lit(i))[a].alias(f"{a}{i}") for i in range(SHORT) for a in "xy"]
+
+
+def unsettled(kind: Column, parts: Column, run: Column) -> Column:
+    """The parts where these columns may not settle whether a shape meets a box: not those of short lines, nor of single points."""
+    return F.when((kind != "Point") & (run.isNull() | kind.isin("Polygon", "MultiPolygon")), parts)
+
+
+def short_meets_box(box: Column) -> Column:
+    """Whether a vertex or an edge of the run in these columns has a point in common with a box. Comparisons alone, compiled as such."""
+    v = [{a: F.col(f"{a}{i}") for a in "xy"} for i in range(SHORT)]
+    met = _inside(v[0], box)
+    for p in v[1:]:
+        met = met | _inside(p, box)
+    for a, b in zip(v, v[1:]):
+        met = met | _crosses({"a": a, "b": b}, box)
+    return F.coalesce(met, F.lit(False))
+
+
 def _sum(items: Column, weight, value) -> Column:
     """w, x, y: sums of weights and of weighted vertices."""
     zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))

@@ -74,11 +74,32 @@ def level_of(box: Column, size: float) -> Column:
     return F.least(F.greatest(F.ceil(F.log2(side / size)).cast("int"), F.lit(0)), F.lit(LEVELS))
 
 
+_SIDES = "xmin", "ymin", "xmax", "ymax"
+
+
+def _box_of(name: str) -> dict[str, Column]:
+    """A box held in plain columns, which cost less to read for each pair of rows than a struct's fields."""
+    return {n: F.col(f"{name}_{n}") for n in _SIDES}
+
+
+def _plain(rows: DataFrame, box: str, *others: Column | str) -> DataFrame:
+    return rows.select(*others, *(F.col(f"{box}.{n}").alias(f"{box}_{n}") for n in _SIDES))
+
+
+def _in_cells(rows: DataFrame, box: str, size: float) -> DataFrame:
+    """A row for each cell, cx and cy, of the row's grid that its box touches, and the cells' width."""
+    b, width = _box_of(box), F.col("width")
+    out = rows.withColumn("width", F.lit(size) * F.pow(F.lit(2.0), F.col("grid")))
+    for a in "xy":
+        out = out.withColumn(f"c{a}", F.explode(F.sequence(F.floor(b[f"{a}min"] / width).cast("long"), F.floor(b[f"{a}max"] / width).cast("long"))))
+    return out
+
+
 def around_many(features: DataFrame, points: DataFrame, tolerance: float, srid: int = 4326, include_duplicates: bool = True, keep: Column | None = None, cell: float | None = None) -> DataFrame:
     """point_idx, layer, fid_text of features near points (point_idx, px, py): an equi-join on grid cells, then boxes, then
     shapes. The least cells are four tolerances wide and double from level to level. A feature is in the cells of the level of its own
     size, four at most, and a point's square in those of every level that the extent of the projection has, so neither a large feature nor
-    a small tolerance multiplies rows. A pair found in several cells counts once, in the cell of the corner where the two
+    a small tolerance multiplies rows. Shapes of a few vertices are settled by plain columns, others by folds over their parts. A pair found in several cells counts once, in the cell of the corner where the two
     boxes' overlap begins. Cells with very many rows are split by AQE.
 
     Without duplicates each feature is reported only at its first point; features are told apart by layer and id."""
@@ -95,19 +116,24 @@ def around_many(features: DataFrame, points: DataFrame, tolerance: float, srid:
     levels = LEVELS if extent is None else min(LEVELS, max(0, math.ceil(math.log2(extent / size))) + 1)
     # Near the poles a square of degrees is wide: its cells are those of its own level at least.
     asked = points.select("point_idx", square.alias("square")).withColumn("own", F.least(level_of(F.col("square"), size), F.lit(levels)))
-    asked = asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("width", F.lit(size) * F.pow(F.lit(2.0), F.greatest("level", "own")))
-    asked = asked.select("point_idx", "square", "level", F.greatest("level", "own").alias("grid"), F.explode(cells(F.col("square"), F.col("width"))).alias("cell"))
+    asked = asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("grid", F.greatest("level", "own"))
+    asked = _in_cells(_plain(asked, "square", "point_idx", "level", "grid"), "square", size)
     rows = features.where((F.col("srid") == srid) & F.col("bbox").isNotNull())
     rows = (rows if keep is None else rows.where(keep)).select("layer", "fid_text", "ordinal", "geom_type", "parts", "bbox")
-    rows = rows.withColumn("level", F.least(level_of(F.col("bbox"), size), F.lit(levels)))
-    wide = asked.where("grid > level").select("grid", "level").distinct()  # a row for each pair of levels at most
-    fine = rows.withColumn("grid", F.col("level"))
-    coarse = rows.join(F.broadcast(wide), "level")
-    rows = fine.unionByName(coarse).withColumn("width", F.lit(size) * F.pow(F.lit(2.0), F.col("grid")))
-    rows = rows.withColumn("cell", F.explode(cells(F.col("bbox"), F.col("width"))))
-    both = asked.join(rows, ["level", "grid", "cell"]).where(geo.boxes_meet(F.col("square"), F.col("bbox")))
-    corner = F.struct(*(F.floor(F.greatest(F.col(f"square.{a}min"), F.col(f"bbox.{a}min")) / F.col("width")).cast("long").alias(f"c{a}") for a in "xy"))
-    hits = both.where(F.col("cell") == corner).where(_exact(F.col("square"))).select("point_idx", "layer", "fid_text", "ordinal")
+    rows = rows.withColumn("level", F.least(level_of(F.col("bbox"), size), F.lit(levels))).withColumn("short", measures.short_run(F.col("geom_type"), F.col("parts")))
+    left = measures.unsettled(F.col("geom_type"), F.col("parts"), F.col("short")).alias("parts")
+    rows = _plain(rows, "bbox", "layer", "fid_text", "ordinal", "geom_type", "level", left, *measures.places("short"))
+    wide = asked.where("grid > level").groupBy("level").agg(F.collect_set("grid").alias("wide"))  # a row for each level at most
+    rows = rows.join(F.broadcast(wide), "level", "left").withColumn("grid", F.explode(F.concat(F.array("level"), F.coalesce("wide", F.array().cast("array<int>"))))).drop("wide")
+    rows = _in_cells(rows, "bbox", size)
+    square, box = _box_of("square"), _box_of("bbox")
+    # Both sides are shuffled: the pairs of a cell are the work, and where one side is broadcast, files of the other are too few tasks for them.
+    both = asked.drop("width").hint("merge").join(rows, ["level", "grid", "cx", "cy"]).where(geo.boxes_meet(square, box))
+    for a in "xy":
+        both = both.where(F.col(f"c{a}") == F.floor(F.greatest(square[f"{a}min"], box[f"{a}min"]) / F.col("width")).cast("long"))
+    exact = (F.col("geom_type") == "Point") | measures.short_meets_box(square) | (F.col("parts").isNotNull() & measures.meets_box(F.col("geom_type"), F.col("parts"), square))
+    # Shapes are judged after the join, as the number that is made there can't be pushed into it: folds would keep the join from being compiled.
+    hits = both.withColumn("pair", F.monotonically_increasing_id()).where((F.col("pair") >= 0) & exact).select("point_idx", "layer", "fid_text", "ordinal")
     if not include_duplicates:
         first = Window.partitionBy("layer", "fid_text").orderBy("point_idx", "ordinal")
         hits = hits.withColumn("n", F.row_number().over(first)).where("n = 1")

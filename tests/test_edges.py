@@ -1,6 +1,7 @@
 """Places that lie on edges of tiles: queries against their SQL, and the encoder alone."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cartolith.functions import geo
@@ -49,3 +50,35 @@ def test_boxes_that_end_at_edges(spark, tmp_path):
     # 3220, 5470 and 7720 end short of an edge, once rounded; the others at one.
     got, wanted = against_sql(spark, tmp_path, "least_tile", [1, 970, 3220, 5470, 7720, 9970, 12220])
     assert got == wanted and dict(got)[3220] == 9
+
+
+def test_many_points_against_shapes_of_all_kinds(spark):
+    import numpy as np
+
+    from cartolith import schema
+    from cartolith.functions import shapes
+    from cartolith.operators import select
+
+    def ring(x, y, *corners):
+        return [{"x": float(x + a), "y": float(y + b)} for a, b in corners]
+
+    rng, rows = np.random.default_rng(5), []
+    square, hole = ((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), ((1, 1), (3, 1), (3, 3), (1, 3), (1, 1))
+    for i, (x, y) in enumerate(rng.uniform(-9, 9, (120, 2)).round(2)):
+        walk = np.cumsum(rng.uniform(-1, 1, (12, 2)), 0)
+        kind, parts = [
+            ("Point", [[ring(x, y, (0, 0))]]), ("LineString", [[ring(x, y, (0, 0), (3, 0), (3, 4))]]), ("LineString", [[ring(x, y, *walk)]]), ("LineString", [[ring(x, y, (0, 0))]]),
+            ("Polygon", [[ring(x, y, *square)]]), ("Polygon", [[ring(x, y, *square), ring(x, y, *hole)]]), ("MultiPolygon", [[ring(x, y, *square)], [ring(x + 6, y, *square)]]),
+            ("MultiLineString", [[ring(x, y, (0, 0), (2, 5))], [ring(x, y, (1, 0), (3, 5))]]), ("MultiPoint", [[ring(x, y, (0, 0))], [ring(x, y, (5, 5))]]), ("MultiPoint", [[ring(x, y, (0, 0), (5, 5))]]),
+        ][i % 10]
+        rows.append((i, kind, parts))
+    df = spark.createDataFrame(rows, f"k long, kind string, p {schema.PARTS}")
+    df = schema.features(df, srid=4326, layer=F.lit("l"), ordinal=F.col("k"), fid_text=F.col("k").cast("string"), geom_type=F.col("kind"), parts=F.col("p"), bbox=schema.bbox_of(F.col("p")), props_json=F.lit("{}"))
+    asked = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-9, 9, (60, 2)).round(2))]
+    found = select.around_many(df, spark.createDataFrame(asked, "point_idx int, px double, py double"), 30_000)
+    wanted = {(i, str(k)) for i, x, y in asked for k, kind, parts in rows if shapes.meets_box(kind, tiles.from_parts(parts), geo.point_box(x, y, 30_000, 4326))}
+    got = [(r.point_idx, r.fid_text) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 60
+    # Pairs are made by a join that shuffles both sides, and folds over shapes are no part of it.
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line and "cx" in line]
+    assert joins and all("SortMergeJoin" in line and "lambda" not in line for line in joins)
