@@ -68,6 +68,8 @@ class WordEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.model = self.lib.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words that it is asked come once, so its own memo of them only costs time
         with open(path, encoding="utf-8") as f:
             pattern = word_pattern(json.load(f))
         self.fits = pattern is not None
@@ -75,8 +77,9 @@ class WordEncoder:
             self.wide = regex.compile(pattern + "|\n")
             self.latin = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9") + "|\n")
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.pieces = WordPool(self._tokenize, 22 << 20)
-        self.pool = WordPool(self._encode)
+        # Room for about 750,000 words and 350,000 pieces: with less room, words that come again are encoded again.
+        self.pieces = WordPool(self._tokenize, 48 << 20)
+        self.pool = WordPool(self._encode, 96 << 20)
 
     def _tokenize(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces; a line end, which only separates words, has none."""

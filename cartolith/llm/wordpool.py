@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 
@@ -23,13 +23,16 @@ class WordPool:
         self.words: list[str] = []
         self.starts, self.lengths, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
-    def _add(self, words: list[str]) -> None:
+    def _add(self, words: list[str]) -> dict[str, int]:
+        """Their places, which are in the index too."""
         ids, lengths = self.encode(words)
         self.size += WORD * len(words) + sum(map(len, words)) + 4 * len(ids)
         starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.index.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        places = dict(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.index.update(places)
         self.words += words
         self.starts, self.lengths, self.ids = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
+        return places
 
     def _trim(self, used: np.ndarray) -> None:
         keep = np.unique(used)
@@ -47,8 +50,8 @@ class WordPool:
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
         if missing.size:
-            self._add(list(dict.fromkeys(words[i] for i in missing)))
-            at[missing] = np.fromiter((self.index[words[i]] for i in missing), np.int64, missing.size)
+            new = list(compress(words, (at < 0).tolist()))
+            at[missing] = np.fromiter(map(self._add(list(dict.fromkeys(new))).__getitem__, new), np.int64, missing.size)
         lengths = self.lengths[at]
         ids = self.ids[ragged(self.starts[at], lengths)]
         if self.size > self.limit:
