@@ -46,6 +46,12 @@ def test_points_on_edges_are_counted(spark, tmp_path):
     assert got == wanted and sum(r[5] for r in got) == 6
 
 
+def test_points_of_all_keys_are_counted(spark, tmp_path):
+    # A key's longitude repeats after 36000 keys, its latitude after 17000, and a point is clipped by each alone: no key from 0 has other ones.
+    got, wanted = against_sql(spark, tmp_path, "wire_counts", range(36000))
+    assert got == wanted and sum(r[5] for r in got) == 36000
+
+
 def test_boxes_that_end_at_edges(spark, tmp_path):
     # 3220, 5470 and 7720 end short of an edge, once rounded; the others at one.
     got, wanted = against_sql(spark, tmp_path, "least_tile", [1, 970, 3220, 5470, 7720, 9970, 12220])
