@@ -54,3 +54,8 @@ def binary_column(body: np.ndarray, offsets: np.ndarray) -> pa.Array:
     if offsets[-1] > np.iinfo(np.int32).max:
         raise ValueError("a slice of over 2 GiB")
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
+
+
+def string_column(body: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A column of UTF-8 text from flat bytes and byte offsets."""
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body))])

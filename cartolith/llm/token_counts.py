@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolith.llm.arrowtext import column, slices
-from cartolith.llm.bpe import document_encoder
+from cartolith.llm.bpe import SLICE, document_encoder
 
 
 def lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None) -> DataFrame:
@@ -28,8 +28,8 @@ def lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = document_encoder(tokenizer_path)
-        for b in slices(batches, "t"):
-            _, offsets = own.encode(column(b, "t").to_pylist())
+        for b in slices(batches, "t", SLICE):
+            _, offsets = own.encode_column(column(b, "t"))
             yield pa.RecordBatch.from_arrays([column(b, "k"), column(b, "grp"), pa.array(np.diff(offsets))], ["k", "grp", "n_tokens"])
 
     out = docs.select(F.col(id_col).alias("k"), group.alias("grp"), F.col(text_col).alias("t")).mapInArrow(run, f"k {kind}, grp string, n_tokens long")

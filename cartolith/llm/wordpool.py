@@ -6,6 +6,7 @@ from collections.abc import Callable
 from itertools import chain, compress, repeat
 
 import numpy as np
+import pyarrow as pa
 
 from cartolith.llm.arrowtext import ragged
 
@@ -59,6 +60,12 @@ class WordPool:
         return ids, lengths
 
 
+def distinct(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(each word once, in the order of first places; which of them each word is). Words are compared in full."""
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
 def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, lists), np.int64, len(lists))
     return np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths

@@ -32,6 +32,7 @@ def held(kind: str, make: Callable[..., Any], *key: Any) -> Any:
     if (kind, *key) not in _HELD:
         vacate()
         _HELD[kind, *key] = make(*key)
+        give_back()
     return _HELD[kind, *key]
 
 

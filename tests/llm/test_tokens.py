@@ -227,3 +227,37 @@ def test_counts_for_every_limit(spark):
     assert token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(docs.limit(0), BYTE))).count() == 0
     grouped = token_counts.lengths(spark.createDataFrame([(1, None, None), (2, "", None)], "doc_id long, text string, lang string"), BYTE, group_col="lang")
     assert [(r.grp, r.n_tokens, r.n_docs) for r in token_counts.histogram(grouped).collect()] == [(None, 0, 2)]
+
+
+def test_white_space_of_all_kinds_parts_chunks(byte):
+    rnd = random.Random(11)
+    parts = [" ", "  ", "\n", "\t", "\xa0", " ", "　 ", "  ", "\x85", "\x1c", "<|endoftext|>", " <|startoftext|> ", "<|endof", "text|>", "日本", "é", "'s", "12", "à", "word", "The"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(2000)]
+    ids, offsets = byte[0].encode(texts)
+    expected = [byte[2].encode(t, add_special_tokens=False).ids for t in texts]
+    assert lists(ids, offsets) == expected
+    assert byte[1].decimal_digests(ids, offsets) == [hashlib.sha256(",".join(map(str, e)).encode()).hexdigest() for e in expected]
+    assert byte[1].text_digests(ids, offsets) == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+
+def test_a_worker_of_the_byte_encoder_stays_small():
+    """Encoding 12 MB of ever new words adds little to a process that has loaded the tables."""
+    import subprocess
+    import sys
+
+    code = f"""
+import random, resource
+import pyarrow as pa
+from cartolith.llm import bpe
+from cartolith.llm.arrowtext import slices
+own = bpe.document_encoder({BYTE!r})
+rnd = random.Random(1)
+texts = [" ".join("".join(rnd.choices("etaoinshrdlu", k=rnd.randint(4, 12))) for _ in range(400)) for _ in range(3300)]
+batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for b in slices(iter([batch]), "t", getattr(bpe, "SLICE", 2 << 20)):
+    getattr(own, "encode_column", lambda x: own.encode(x.to_pylist()))(b.column(0))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, cwd=queries.__file__.rsplit("/cartolith/", 1)[0]).stdout.split()[-1])
+    assert grown < 170 << 10, f"{grown >> 10} MB"
