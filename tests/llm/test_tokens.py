@@ -261,3 +261,27 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
 """
     grown = int(subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, cwd=queries.__file__.rsplit("/cartolith/", 1)[0]).stdout.split()[-1])
     assert grown < 170 << 10, f"{grown >> 10} MB"
+
+
+def test_proposals_take_no_step_of_the_interpreter_for_each_letter(byte):
+    """Encoding new words takes fewer lines of Python than there are words, whatever their letters."""
+    import sys
+
+    own = bpe.DocumentEncoder(BYTE)
+    rnd = random.Random(7)
+    words = list({"".join(rnd.choice("etaoinshrdluéñ") for _ in range(rnd.randint(5, 14))) for _ in range(3000)})
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event == "line" and frame.f_code.co_filename == bpe.__file__
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        ids, offsets = own.encode([" ".join(words)])
+    finally:
+        sys.settrace(before)
+    assert ids.tolist() == byte[2].encode(" ".join(words), add_special_tokens=False).ids
+    assert steps < 12 * len(words)
