@@ -285,3 +285,10 @@ def test_proposals_take_no_step_of_the_interpreter_for_each_letter(byte):
         sys.settrace(before)
     assert ids.tolist() == byte[2].encode(" ".join(words), add_special_tokens=False).ids
     assert steps < 12 * len(words)
+
+
+def test_lengths_are_counted_without_texts_as_strings(spark, byte):
+    """``token_counts.lengths`` hands columns to the encoder, in slices that bound what it needs meanwhile."""
+    assert bpe.SLICE <= 1 << 20
+    got = token_counts.lengths(spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string"), BYTE).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [len(byte[2].encode(t or "", add_special_tokens=False).ids) for t in ODD]
